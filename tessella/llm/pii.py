@@ -245,15 +245,17 @@ def added_spans(texts: list[str], bases: list[list[tuple[int, int, int]]], model
     out = []
     for t, s, y, first in zip(texts, spans, own, firsts, strict=True):
         found: list[tuple[int, int, int]] = []
+        whole = -2  # where the last added token ended, marks included
         for k, ((a, b), label) in enumerate(zip(s, y, strict=True)):
             best = int(p[first + k].argmax())
             if label or best == OUTSIDE or p[first + k, best] < SURE:
                 continue
+            joins, whole = a - whole == 1, b
             while a < b and not t[a].isalnum() and t[a] not in "+(":
                 a += 1
-            while b > a and not t[b - 1].isalnum():
+            while b > a and not t[b - 1].isalnum() and not (t[b - 1] == ")" and "(" in t[a:b]):
                 b -= 1
-            if found and found[-1][1] == best - 1 and a - found[-1][2] == 1:
+            if joins and found and found[-1][1] == best - 1:
                 found[-1] = (found[-1][0], best - 1, b)
             elif a < b:
                 found.append((a, best - 1, b))
