@@ -4,7 +4,8 @@
    one class; classes go on, copies do not.
 2. Chosen paths: RUNS trees split the classes. At each node the path's hash samples two coordinates of the
    sketch, and a class goes to the child named by its value there, so sets meet where they share sampled
-   tokens. Two levels are taken at once; buckets above BUCKET classes are split further. A pair of similarity
+   tokens. Two levels are taken at once; buckets above BUCKET classes are split further, unless their children
+   keep most of them (then they are truly similar, and splitting only multiplies them). A pair of similarity
    0.8 meets in one run with probability 0.94 (p = 1 - (1 - 0.8 p')^2 over four levels or fewer), in all RUNS
    with 1 - 0.06^RUNS, above TARGET_RECALL; RUNS is the least number that reaches it.
 3. Small buckets are compared by sketch; pairs far below the threshold are dropped, the others joined to
@@ -12,7 +13,7 @@
 4. Each candidate component meets once with its full sets, and all its pairs are verified exactly, in blocks
    of BLOCK classes. A class's links are counted there; again only a spanning forest leaves the task.
 
-Buckets that MAX_LEVELS levels cannot split are compared whole, in blocks, so no pair is lost to a cap.
+Large buckets that are dense, or left after MAX_LEVELS levels, are compared whole, in blocks, so no pair is lost to a cap.
 
 Cases: a null or empty text, or one without words, has no set: all such are copies of each other, linked to
 nothing else; a text of fewer than five words has one shingle of all its words. A row with a null doc_id is
@@ -24,7 +25,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -38,8 +39,11 @@ from tessella.llm.components import components
 WIDTH, THRESHOLD = 5, 0.8
 SKETCH, BRANCH = 128, 2
 TARGET_RECALL = 0.9999
-BUCKET, BLOCK, MAX_LEVELS = 512, 256, 7
-#: Sketches that agree in less than this share belong to pairs below the threshold: 5.1 standard errors away.
+BUCKET, BLOCK, MAX_LEVELS = 2048, 256, 7
+#: A bucket whose children keep this share of its members is one group of similar sets, which no split would part.
+DENSE = 0.5
+#: Buckets compare the lowest byte of each sketch value. Sketches that agree in less than this share belong to pairs
+#: below the threshold: 5.1 standard errors away.
 LEAST_AGREEMENT = THRESHOLD - 5.1 * math.sqrt(THRESHOLD * (1 - THRESHOLD) / SKETCH)
 
 
@@ -91,14 +95,14 @@ def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part in slices(batches):
         sets = [shingles(t, hashes) for t in utf8(part.column(1))]
         digests = np.frombuffer(b"".join(xxhash.xxh3_128_digest(s.tobytes()) for s in sets), np.int64).reshape(-1, 2)
-        sketches = [sketch(s).tobytes() if len(s) else None for s in sets]
-        yield pa.RecordBatch.from_arrays(
-            [part.column(0), pa.array(digests[:, 0]), pa.array(digests[:, 1]), pa.array(sketches, pa.binary())], names=["id", "a", "b", "sketch"]
-        )
+        sketches = [sketch(s) if len(s) else None for s in sets]
+        full = pa.array([None if x is None else x.tobytes() for x in sketches], pa.binary())
+        low = pa.array([None if x is None else x.astype(np.uint8).tobytes() for x in sketches], pa.binary())
+        yield pa.RecordBatch.from_arrays([part.column(0), pa.array(digests[:, 0]), pa.array(digests[:, 1]), full, low], names=["id", "a", "b", "sketch", "low"])
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(-1, SKETCH)
+def _matrix(column: pa.Array, kind: type = np.uint32) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(-1, SKETCH)
 
 
 def _roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -115,9 +119,9 @@ def _roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _deeper(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part in slices(batches, 1024):
-        below = children(part.column("path").to_numpy().view(np.uint64), _matrix(part.column("sketch"))).view(np.int64)
-        reps = part.column("rep").to_numpy()
-        yield pa.RecordBatch.from_arrays([pa.array(below.T.ravel()), pa.array(np.tile(reps, BRANCH))], names=["path", "rep"])
+        parents, reps = part.column("path").to_numpy(), part.column("rep").to_numpy()
+        below = children(parents.view(np.uint64), _matrix(part.column("sketch"))).view(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(np.tile(parents, BRANCH)), pa.array(below.T.ravel()), pa.array(np.tile(reps, BRANCH))], names=["parent", "path", "rep"])
 
 
 class Forest:
@@ -158,17 +162,11 @@ def groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Ta
         yield pa.Table.from_batches(kept)
 
 
-def pairs_of(n: int, split: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """All pairs of n items or, with split, those with one item before it and one from it on."""
-    if split:
-        return np.repeat(np.arange(split), n - split), np.tile(np.arange(split, n), split)
-    return np.triu_indices(n, 1)
-
-
-def _blocked(df: DataFrame, group: str, sizes: DataFrame) -> DataFrame:
-    """df with bi, bj: a group of more than BLOCK rows is cut into blocks, and each row goes to every pair of blocks that has its own."""
-    n = F.ceil(F.col("members") / F.lit(BLOCK)).cast("long")
-    met = df.join(sizes, group).withColumn("_n", n).withColumn("_own", F.pmod(F.xxhash64("rep"), F.col("_n")))
+def _blocked(df: DataFrame, block: int) -> DataFrame:
+    """df, with the members of its rows' groups, gets bi, bj: a group of more than block rows is cut into blocks, and each row
+    goes to every pair of blocks that has its own."""
+    n = F.ceil(F.col("members") / F.lit(block)).cast("long")
+    met = df.withColumn("_n", n).withColumn("_own", F.pmod(F.xxhash64("rep"), F.col("_n")))
     other = met.withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)))
     return other.withColumns({"bi": F.least("_own", "_other"), "bj": F.greatest("_own", "_other")}).withColumnRenamed("_own", "own").drop("_n", "_other", "members")
 
@@ -179,16 +177,15 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reps, own = part.column("rep").to_numpy(), part.column("own").to_numpy()
         order = np.lexsort((reps, own))
         reps, own = reps[order], own[order]
-        sketches = _matrix(part.column("sketch"))[order]
+        sketches = _matrix(part.column("low"), np.uint8)[order]
         split = int(np.searchsorted(own, part.column("bj")[0].as_py())) if part.column("bi")[0] != part.column("bj")[0] else 0
         if split == len(reps) or (split == 0 and part.column("bi")[0] != part.column("bj")[0]):
             continue
-        i, j = pairs_of(len(reps), split)
         forest = Forest(len(reps))
-        for at in range(0, len(i), 16384):
-            a, b = i[at : at + 16384], j[at : at + 16384]
-            alike = (sketches[a] == sketches[b]).mean(axis=1) >= LEAST_AGREEMENT
-            forest.join(np.stack([a[alike], b[alike]], axis=1))
+        for x in range(split or len(reps) - 1):  # each item against the later ones, or against the other block
+            first = split or x + 1
+            alike = first + np.flatnonzero((sketches[first:] == sketches[x]).sum(axis=1) >= LEAST_AGREEMENT * SKETCH)
+            forest.join(np.stack([np.full(len(alike), x), alike], axis=1))
         edges = [(reps[x], reps[forest.root(x)]) for x in range(len(reps)) if forest.root(x) != x]
         if edges:
             u, v = np.array(edges, np.int64).T
@@ -237,49 +234,49 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def buckets(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """((path, rep) of all buckets of two classes or more that are compared, (path, members))."""
+def buckets(classes: DataFrame) -> DataFrame:
+    """(path, rep, members) of all buckets of two classes or more that are to be compared."""
     light = classes.where(F.col("sketch").isNotNull()).select("rep", "sketch")
-    rows = light.mapInArrow(_roots, "rep long, paths array<long>").select(F.explode("paths").alias("path"), "rep")
-    rows = saved(rows.distinct(), "paths")
-    done, counted = [], []
+    rows = saved(light.mapInArrow(_roots, "rep long, paths array<long>").select(F.explode("paths").alias("path"), "rep"), "paths")
+    done = []
     for level in range(2, MAX_LEVELS + 1):
         sizes = saved(rows.groupBy("path").agg(F.count(F.lit(1)).alias("members")).where("members > 1"), "buckets")
-        last = level == MAX_LEVELS or sizes.where(F.col("members") > BUCKET).limit(1).count() == 0
-        small = sizes if last else sizes.where(F.col("members") <= BUCKET)
-        done.append(rows.join(small.select("path"), "path"))
-        counted.append(small)
-        if last:
+        large = sizes.where(F.col("members") > BUCKET)
+        if level == MAX_LEVELS or large.limit(1).count() == 0:
+            done.append(rows.join(sizes, "path"))
             break
-        large = rows.join(sizes.where(F.col("members") > BUCKET).select("path"), "path")
-        rows = saved(large.join(light, "rep").select("path", "rep", "sketch").mapInArrow(_deeper, "path long, rep long").distinct(), "paths")
-    union = lambda frames: frames[0] if len(frames) == 1 else union([frames[0].unionByName(frames[1]), *frames[2:]])
-    return union(done), union(counted)
+        split = rows.join(large.select("path"), "path").join(light, "rep").select("path", "rep", "sketch")
+        below = saved(split.mapInArrow(_deeper, "parent long, path long, rep long"), "paths")
+        met = below.groupBy("parent", "path").agg(F.count(F.lit(1)).alias("n")).where("n > 1").groupBy("parent").agg(F.sum("n").alias("n"))
+        parted = large.join(met.select(F.col("parent").alias("path"), "n"), "path", "left").where(F.coalesce("n", F.lit(0)) < DENSE * BRANCH * F.col("members"))
+        parted = saved(parted.select("path"), "parted")
+        done.append(rows.join(sizes.join(parted, "path", "left_anti"), "path"))
+        rows = saved(below.join(parted.select(F.col("path").alias("parent")), "parent").select("path", "rep"), "paths")
+    return reduce(DataFrame.unionByName, [x.select("path", "rep", "members") for x in done])
 
 
 def joined(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row of df: key, class_id (the smallest id of its connected group), copy_id (the smallest id with the same
     set of shingles), n_links (the other rows of similarity 0.8 or more, copies included)."""
     source = df.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
-    rows = saved(source.mapInArrow(_sketched, "id long, a long, b long, sketch binary"), "sketches")
-    found = rows.where(F.col("id").isNotNull()).groupBy("a", "b").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n_docs"))
+    rows = saved(source.mapInArrow(_sketched, "id long, a long, b long, sketch binary, low binary"), "sketches")
+    found = rows.where(F.col("id").isNotNull()).groupBy("a", "b").agg(
+        F.min("id").alias("rep"), F.count(F.lit(1)).alias("n_docs"), F.first("sketch").alias("sketch"), F.first("low").alias("low")
+    )
     found = saved(found, "classes")
-    one = rows.join(found.select("a", "b", F.col("rep").alias("id")), ["a", "b", "id"]).groupBy("a", "b", "id").agg(F.first("sketch").alias("sketch"))
-    classes = saved(one.select(F.col("id").alias("rep"), "sketch"), "class-sketches")
 
-    paths, sizes = buckets(classes)
-    sized = _blocked(paths.join(classes, "rep"), "path", sizes)
     order = ["path", "bi", "bj"]
-    edges = sized.repartition(*order).sortWithinPartitions(*order).mapInArrow(_candidates, "u long, v long").distinct()
+    pairs = _blocked(buckets(found), BUCKET).join(found.select("rep", "low"), "rep")
+    edges = pairs.repartition(*order).sortWithinPartitions(*order).mapInArrow(_candidates, "u long, v long").distinct()
     parts = components(edges)
 
     members = saved(parts.join(found.select(F.col("rep").alias("id"), "n_docs"), "id").select(F.col("id").alias("rep"), "comp", "n_docs"), "members")
     hashes_of = F.col("id") == F.col("rep")
-    texts = source.join(members, hashes_of).select("rep", "comp", "n_docs", "text")
-    sets = texts.mapInArrow(_sets, "rep long, comp long, n_docs long, items binary")
     counts = members.groupBy("comp").agg(F.count(F.lit(1)).alias("members"))
+    texts = source.join(members.join(counts, "comp"), hashes_of).select("rep", "comp", "n_docs", "members", "text")
+    sets = texts.mapInArrow(_sets, "rep long, comp long, n_docs long, members long, items binary")
     order = ["comp", "bi", "bj"]
-    checked = _blocked(sets, "comp", counts).repartition(*order).sortWithinPartitions(*order)
+    checked = _blocked(sets, BLOCK).repartition(*order).sortWithinPartitions(*order)
     links = saved(checked.mapInArrow(_verified, "rep long, hangs long, links long, link_classes long"), "links")
 
     linked = links.groupBy("rep").agg(F.sum("links").alias("links"))
@@ -297,8 +294,8 @@ def joined(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hashes = WordHashes()
     for part in slices(batches):
-        items = [shingles(t, hashes).tobytes() for t in utf8(part.column(3))]
-        yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), pa.array(items, pa.binary())], names=["rep", "comp", "n_docs", "items"])
+        items = [shingles(t, hashes).tobytes() for t in utf8(part.column(4))]
+        yield pa.RecordBatch.from_arrays([*part.columns[:4], pa.array(items, pa.binary())], names=["rep", "comp", "n_docs", "members", "items"])
 
 
 def one_of_each(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -235,9 +235,11 @@ def test_ngram_join(spark, docs, odd, empty):
     assert 1 - (1 - ngram_join.run_recall(ngram_join.MAX_LEVELS)) ** ngram_join.RUNS >= ngram_join.TARGET_RECALL
 
 
-def test_ngram_join_of_large_groups(spark, monkeypatch):
+@pytest.mark.parametrize("dense", [0.5, 2.0])
+def test_ngram_join_of_large_groups(spark, monkeypatch, dense):
     """Buckets and components above their bounds are split and compared in blocks."""
     monkeypatch.setattr(ngram_join, "BUCKET", 8)
+    monkeypatch.setattr(ngram_join, "DENSE", dense)
     monkeypatch.setattr(ngram_join, "BLOCK", 16)
     words = [f"w{k}" for k in range(400)]
     rows = [(k, " ".join([*words[:k], "changed", *words[k + 1 :]])) for k in range(0, 400, 5)]
