@@ -38,10 +38,10 @@ def hilbert_cell(key: int, order: int) -> tuple[int, int]:
     return x, y
 
 
-def _tables() -> tuple[int, int, int]:
-    """Packed tables of two bits an entry, at 4 * state + quadrant: (digit, next state) by the quadrant's own bits, and the
-    quadrant by the digit. A state says whether the axes are swapped (1) and both flipped (2)."""
-    digits = nexts = quadrants = 0
+def _tables() -> tuple[int, int, int, int]:
+    """Packed tables of two bits an entry, at 4 * state + quadrant: (digit, next state) by the quadrant's own bits, and
+    (quadrant, next state) by the digit. A state says whether the axes are swapped (1) and both flipped (2)."""
+    digits = nexts = quadrants = follows = 0
     for state in range(4):
         swap, flip = state & 1, state >> 1
         for quadrant in range(4):
@@ -52,10 +52,11 @@ def _tables() -> tuple[int, int, int]:
             digits |= digit << at
             nexts |= new << at
             quadrants |= quadrant << (2 * (4 * state + digit))
-    return digits, nexts, quadrants
+            follows |= new << (2 * (4 * state + digit))
+    return digits, nexts, quadrants, follows
 
 
-DIGITS, NEXTS, QUADRANTS = _tables()
+DIGITS, NEXTS, QUADRANTS, FOLLOWS = _tables()
 
 
 def _entry(table: int, at: Column) -> Column:
@@ -78,10 +79,11 @@ def hilbert_cell_columns(key: Column, order: int) -> tuple[Column, Column]:
     """The cell of a key column."""
     x = y = state = F.lit(0).cast("long")
     for level in reversed(range(order)):
-        quadrant = _entry(QUADRANTS, state * 4 + F.shiftright(key, 2 * level).bitwiseAND(F.lit(3)))
+        at = state * 4 + F.shiftright(key, 2 * level).bitwiseAND(F.lit(3))  # refers to the state once, like all that follows
+        quadrant = _entry(QUADRANTS, at)
         x = x.bitwiseOR(F.shiftleft(F.shiftright(quadrant, 1), level))
         y = y.bitwiseOR(F.shiftleft(quadrant.bitwiseAND(F.lit(1)), level))
-        state = _entry(NEXTS, state * 4 + quadrant)
+        state = _entry(FOLLOWS, at)
     return x, y
 
 

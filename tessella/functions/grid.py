@@ -50,7 +50,7 @@ class GridSpec:
 
         def one(v: Column, origin: float, extent: float) -> Column:
             scaled = self._scaled(v.cast("double"), F.lit(float(origin)), F.lit(float(extent)))
-            return F.when(~F.isnan(scaled), F.least(F.greatest(scaled, F.lit(0.0)), F.lit(top)).cast("long"))
+            return F.when(scaled.isNotNull() & ~F.isnan(scaled), F.least(F.greatest(scaled, F.lit(0.0)), F.lit(top)).cast("long"))
 
         return one(x, self.x_origin, self.width), one(y, self.y_origin, self.height)
 

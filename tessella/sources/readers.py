@@ -19,11 +19,11 @@ def polygons_parquet(spark: SparkSession, path: str) -> DataFrame:
     Empty and null polygons are rejected. Vertex fields are named (``, _1) or (x, y)."""
     df = spark.read.parquet(path)
     vertex = df.schema["Polygon"].dataType.elementType.names
-    mean = lambda f: F.aggregate(F.transform("Polygon", lambda v: v[f].cast("double")), F.lit(0.0), lambda a, b: a + b) / F.size("Polygon")
+    total = lambda f: F.aggregate(F.transform("Polygon", lambda v: v[f].cast("double")), F.lit(0.0), lambda a, b: a + b)
     mpp = F.coalesce(F.col("mpp").cast("double"), F.lit(1.0)) if "mpp" in df.columns else F.lit(1.0)
     df = df.where(F.size(F.coalesce("Polygon", F.array().cast(df.schema["Polygon"].dataType))) > 0)
     out = df.select(
-        F.col("case_id").alias("group_id"), mean(vertex[0]).alias("x"), mean(vertex[1]).alias("y"), F.coalesce(F.col("type"), F.lit("unknown")).alias("class_label"),
+        F.col("case_id").alias("group_id"), F.try_divide(total(vertex[0]), F.size("Polygon")).alias("x"), F.try_divide(total(vertex[1]), F.size("Polygon")).alias("y"), F.coalesce(F.col("type"), F.lit("unknown")).alias("class_label"),
         F.concat_ws("_", F.col("tile_minx").cast("long"), F.col("tile_miny").cast("long")).alias("tile_id"), (F.col("AreaInPixels").cast("double") * mpp * mpp).alias("area"),
     )
     return valid(out).withColumn("perimeter", F.sqrt("area") * 4).withColumn("object_id", _id("group_id", "x", "y", "area"))
@@ -41,7 +41,7 @@ def _pairs(lines: DataFrame, group: str, label: str, values: Column) -> DataFram
     pairs = F.transform(F.sequence(F.lit(0), F.floor(F.size("v") / 2).cast("int") - 1), lambda i: F.struct(F.get("v", i * 2).alias("x"), F.get("v", i * 2 + 1).alias("y")))
     good = F.filter(pairs, lambda p: p["x"].isNotNull() & p["y"].isNotNull())
     rows = rows.withColumn("p", good).where(F.size("p") > 0)
-    mean = lambda c: F.aggregate("p", F.lit(0.0), lambda a, b: a + b[c]) / F.size("p")
+    mean = lambda c: F.try_divide(F.aggregate("p", F.lit(0.0), lambda a, b: a + b[c]), F.size("p"))
     out = rows.select(F.lit(group).alias("group_id"), mean("x").alias("x"), mean("y").alias("y"), F.lit(label).alias("class_label"), "area")
     return valid(out).withColumn("perimeter", F.sqrt("area") * 4).withColumn("object_id", _id("group_id", "x", "y", "area"))
 
