@@ -243,7 +243,7 @@ def buckets(classes: DataFrame) -> DataFrame:
         sizes = saved(rows.groupBy("path").agg(F.count(F.lit(1)).alias("members")).where("members > 1"), "buckets")
         large = sizes.where(F.col("members") > BUCKET)
         if level == MAX_LEVELS or large.limit(1).count() == 0:
-            done.append(rows.join(sizes, "path"))
+            done.append(rows.join(sizes.hint("merge"), "path"))
             break
         split = rows.join(large.select("path"), "path").join(light, "rep").select("path", "rep", "sketch")
         below = saved(split.mapInArrow(_deeper, "parent long, path long, rep long"), "paths")
@@ -266,14 +266,15 @@ def joined(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     found = saved(found, "classes")
 
     order = ["path", "bi", "bj"]
-    pairs = _blocked(buckets(found), BUCKET).join(found.select("rep", "low"), "rep")
+    # merge: these sides grow with the data, so the plan is the same at every size
+    pairs = _blocked(buckets(found), BUCKET).join(found.select("rep", "low").hint("merge"), "rep")
     edges = pairs.repartition(*order).sortWithinPartitions(*order).mapInArrow(_candidates, "u long, v long").distinct()
     parts = components(edges)
 
     members = saved(parts.join(found.select(F.col("rep").alias("id"), "n_docs"), "id").select(F.col("id").alias("rep"), "comp", "n_docs"), "members")
     hashes_of = F.col("id") == F.col("rep")
     counts = members.groupBy("comp").agg(F.count(F.lit(1)).alias("members"))
-    texts = source.join(members.join(counts, "comp"), hashes_of).select("rep", "comp", "n_docs", "members", "text")
+    texts = source.join(members.join(counts, "comp").hint("merge"), hashes_of).select("rep", "comp", "n_docs", "members", "text")
     sets = texts.mapInArrow(_sets, "rep long, comp long, n_docs long, members long, items binary")
     order = ["comp", "bi", "bj"]
     checked = _blocked(sets, BLOCK).repartition(*order).sortWithinPartitions(*order)
