@@ -28,6 +28,11 @@ def _text(text: str) -> Column:
     return F.coalesce(F.col(text), F.lit(""))
 
 
+def let(value: Column, then) -> Column:
+    """then(value), with value computed once however often then refers to it."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
 def words_of(text: Column) -> Column:
     return F.filter(F.split(text, r"[ \t-\r]+"), lambda w: w != "")
 
@@ -46,21 +51,33 @@ def n_dup_lines_of(text: Column) -> Column:
     return (F.size(lines) - F.size(F.array_distinct(lines))).cast("long")
 
 
+def _doubled(hashes: Column, step: int) -> Column:
+    """From the hashes of all runs of step words those of runs of twice as many."""
+
+    def pairs(h: Column) -> Column:
+        later = F.slice(h, step + 1, F.greatest(F.size(h) - step, F.lit(0)))
+        return F.filter(F.zip_with(h, later, lambda a, b: F.when(b.isNotNull(), F.xxhash64(a, b))), lambda x: x.isNotNull())
+
+    return let(hashes, pairs)
+
+
 def window_hashes_of(words: Column, width: int = WINDOW) -> Column:
     """A 64-bit hash for each run of width words; width is a power of two."""
     hashes, step = F.transform(words, lambda w: F.xxhash64(w)), 1
     while step < width:
-        later = F.slice(hashes, step + 1, F.greatest(F.size(hashes) - step, F.lit(0)))
-        hashes = F.filter(F.zip_with(hashes, later, lambda a, b: F.when(b.isNotNull(), F.xxhash64(a, b))), lambda h: h.isNotNull())
-        step *= 2
+        hashes, step = _doubled(hashes, step), 2 * step
     return hashes
 
 
 def covered_by_repeats(hashes: Column, width: int = WINDOW) -> Column:
     """How many words lie in windows whose hash occurs twice or more."""
     ordered = F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("at"))))
-    numbered = F.zip_with(ordered, F.slice(ordered, 2, F.greatest(F.size(ordered) - 1, F.lit(0))), lambda a, b: F.struct(a.alias("one"), b.alias("next")))
-    pairs = F.filter(numbered, lambda p: p["one"]["h"] == p["next"]["h"])
+
+    def repeats(o: Column) -> Column:
+        both = F.zip_with(o, F.slice(o, 2, F.greatest(F.size(o) - 1, F.lit(0))), lambda a, b: F.struct(a.alias("one"), b.alias("next")))
+        return F.filter(both, lambda p: p["one"]["h"] == p["next"]["h"])
+
+    pairs = let(ordered, repeats)
     starts = F.sort_array(F.array_distinct(F.flatten(F.transform(pairs, lambda p: F.array(p["one"]["at"], p["next"]["at"])))))
     return F.aggregate(
         starts,
@@ -72,8 +89,8 @@ def covered_by_repeats(hashes: Column, width: int = WINDOW) -> Column:
 
 def n_repeat_words_of(words: Column) -> Column:
     """Words in windows of 8 words that are found twice or more in the text, the first included; compared by 64-bit hashes."""
-    hashes = window_hashes_of(words)
-    return F.when(F.size(F.array_distinct(hashes)) == F.size(hashes), F.lit(0).cast("long")).otherwise(covered_by_repeats(hashes))
+    none = F.lit(0).cast("long")
+    return let(window_hashes_of(words), lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), none).otherwise(covered_by_repeats(h)))
 
 
 @dataclass(frozen=True)
