@@ -32,12 +32,12 @@ def polygons_parquet(spark: SparkSession, path: str) -> DataFrame:
 def polygons_csv(spark: SparkSession, path: str, group: str, label: str = "nucleus") -> DataFrame:
     """Lines "area,physical,x0:y0:x1:y1:..."; blank lines, the header, short lines and fewer than four coordinates are skipped, bad pairs within a line too."""
     lines = spark.read.text(path).where((F.trim("value") != "") & ~F.col("value").startswith("Area")).select(F.split("value", ",", 3).alias("f")).where(F.size("f") == 3)
-    values = F.expr("transform(split(trim(BOTH '\" ' FROM f[2]), ':'), v -> try_cast(v AS double))")
+    values = F.expr("transform(split(trim(BOTH '\" ' FROM get(f, 2)), ':'), v -> try_cast(v AS double))")
     return _pairs(lines, group, label, values)
 
 
 def _pairs(lines: DataFrame, group: str, label: str, values: Column) -> DataFrame:
-    rows = lines.select(F.expr("try_cast(f[0] AS double)").alias("area"), values.alias("v")).where(F.size("v") >= 4)
+    rows = lines.select(F.expr("try_cast(get(f, 0) AS double)").alias("area"), values.alias("v")).where(F.size("v") >= 4)
     pairs = F.transform(F.sequence(F.lit(0), F.floor(F.size("v") / 2).cast("int") - 1), lambda i: F.struct(F.get("v", i * 2).alias("x"), F.get("v", i * 2 + 1).alias("y")))
     good = F.filter(pairs, lambda p: p["x"].isNotNull() & p["y"].isNotNull())
     rows = rows.withColumn("p", good).where(F.size("p") > 0)
