@@ -1,7 +1,7 @@
 """N-gram Jaccard join by chosen paths: texts whose sets of five-word shingles have a similarity of 0.8 or more.
 
-1. Each text becomes its set of shingle hashes and a sketch of 128 min-wise values. Texts with one set are
-   one class; classes go on, copies do not.
+1. Each text becomes its set of shingle hashes and a sketch of 128 min-wise values, of which 16 bits are kept:
+   all low bytes, then all high bytes. Texts with one set are one class; classes go on, copies do not.
 2. Chosen paths: RUNS trees split the classes. At each node the path's hash samples two coordinates of the
    sketch, and a class goes to the child named by its value there, so sets meet where they share sampled
    tokens. Two levels are taken at once; buckets above BUCKET classes are split further, unless their children
@@ -96,18 +96,23 @@ def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets = [shingles(t, hashes) for t in utf8(part.column(1))]
         digests = np.frombuffer(b"".join(xxhash.xxh3_128_digest(s.tobytes()) for s in sets), np.int64).reshape(-1, 2)
         sketches = [sketch(s) if len(s) else None for s in sets]
-        full = pa.array([None if x is None else x.tobytes() for x in sketches], pa.binary())
-        low = pa.array([None if x is None else x.astype(np.uint8).tobytes() for x in sketches], pa.binary())
-        yield pa.RecordBatch.from_arrays([part.column(0), pa.array(digests[:, 0]), pa.array(digests[:, 1]), full, low], names=["id", "a", "b", "sketch", "low"])
+        packed = pa.array([None if x is None else x.astype(np.uint8).tobytes() + (x >> 8).astype(np.uint8).tobytes() for x in sketches], pa.binary())
+        yield pa.RecordBatch.from_arrays([part.column(0), pa.array(digests[:, 0]), pa.array(digests[:, 1]), packed], names=["id", "a", "b", "sketch"])
 
 
-def _matrix(column: pa.Array, kind: type = np.uint32) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(-1, SKETCH)
+def _bytes(column: pa.Array) -> np.ndarray:
+    """A row of SKETCH bytes for each value, or two: its low bytes and its high bytes."""
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, SKETCH)
+
+
+def _values(column: pa.Array) -> np.ndarray:
+    planes = _bytes(column)
+    return planes[::2] | planes[1::2].astype(np.uint16) << 8
 
 
 def _roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part in slices(batches, 1024):
-        sketches = _matrix(part.column(1))
+        sketches = _values(part.column(1))
         paths = []
         for run in range(RUNS):
             for first in children(np.full(len(sketches), run + 1, np.uint64), sketches).T:
@@ -120,7 +125,7 @@ def _roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _deeper(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part in slices(batches, 1024):
         parents, reps = part.column("path").to_numpy(), part.column("rep").to_numpy()
-        below = children(parents.view(np.uint64), _matrix(part.column("sketch"))).view(np.int64)
+        below = children(parents.view(np.uint64), _values(part.column("sketch"))).view(np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(np.tile(parents, BRANCH)), pa.array(below.T.ravel()), pa.array(np.tile(reps, BRANCH))], names=["parent", "path", "rep"])
 
 
@@ -177,7 +182,7 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reps, own = part.column("rep").to_numpy(), part.column("own").to_numpy()
         order = np.lexsort((reps, own))
         reps, own = reps[order], own[order]
-        sketches = _matrix(part.column("low"), np.uint8)[order]
+        sketches = _bytes(part.column("low"))[order]
         split = int(np.searchsorted(own, part.column("bj")[0].as_py())) if part.column("bi")[0] != part.column("bj")[0] else 0
         if split == len(reps) or (split == 0 and part.column("bi")[0] != part.column("bj")[0]):
             continue
@@ -259,15 +264,15 @@ def joined(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row of df: key, class_id (the smallest id of its connected group), copy_id (the smallest id with the same
     set of shingles), n_links (the other rows of similarity 0.8 or more, copies included)."""
     source = df.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
-    rows = saved(source.mapInArrow(_sketched, "id long, a long, b long, sketch binary, low binary"), "sketches")
+    rows = saved(source.mapInArrow(_sketched, "id long, a long, b long, sketch binary"), "sketches")
     found = rows.where(F.col("id").isNotNull()).groupBy("a", "b").agg(
-        F.min("id").alias("rep"), F.count(F.lit(1)).alias("n_docs"), F.first("sketch").alias("sketch"), F.first("low").alias("low")
+        F.min("id").alias("rep"), F.count(F.lit(1)).alias("n_docs"), F.first("sketch").alias("sketch")
     )
     found = saved(found, "classes")
 
     order = ["path", "bi", "bj"]
     # merge: these sides grow with the data, so the plan is the same at every size
-    pairs = _blocked(buckets(found), BUCKET).join(found.select("rep", "low").hint("merge"), "rep")
+    pairs = _blocked(buckets(found), BUCKET).join(found.select("rep", F.substring("sketch", 1, SKETCH).alias("low")).hint("merge"), "rep")
     edges = pairs.repartition(*order).sortWithinPartitions(*order).mapInArrow(_candidates, "u long, v long").distinct()
     parts = components(edges)
 
