@@ -40,7 +40,7 @@ def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The remaining documents' token ids, each checked to decode to its text's bytes."""
     path, pattern = vocabulary()
-    coded = bpe.decode(bpe.encode(docs, path, pattern, offsets=False), path, pattern)
+    coded = bpe.encode_and_decode(docs, path, pattern)
     same = F.col("decoded") == F.coalesce("text", F.lit("")).cast("binary")
     return coded.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", same.alias("round_trip"))
 

@@ -30,8 +30,8 @@ from tessella.llm.common import slices
 SPACE = r" \t-\r\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 SPACE_CHARS = frozenset(map(chr, [*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 CHUNK = re.compile(rf"[{SPACE}]*[^\W_]++(?=[.,!?*%&$|])|[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
-#: Pieces whose ids a worker keeps.
-KEPT_PIECES = 600_000
+#: Pieces whose ids a worker keeps at most, for as long as a task runs: some 60 MB. Workers are reused, so more would stay in memory.
+KEPT_PIECES = 100_000
 
 
 def byte_table() -> list[str]:
@@ -110,17 +110,25 @@ def codec(path: str, pattern: str) -> Codec:
     return Codec(path, pattern)
 
 
-def _appended(df: DataFrame, run, fields: list[T.StructField], reads: str, spare: list[str]) -> DataFrame:
-    """df with the fields that run makes from the column reads, a slice of rows at a time."""
+INTS = T.ArrayType(T.IntegerType(), True)
+IDS, ENDS = T.StructField("ids", INTS), T.StructField("ends", INTS)
+DECODED, DECODED_TEXT = T.StructField("decoded", T.BinaryType()), T.StructField("decoded_text", T.StringType())
+
+
+def _appended(df: DataFrame, run, fields: list[T.StructField], reads: str, path: str, pattern: str) -> DataFrame:
+    """df with the fields that run makes, with a codec, from the column reads, a slice of rows at a time."""
     others = [f for f in df.schema.fields if f.name not in {x.name for x in fields}]
     schema = T.StructType([*others, *fields])
-    source = df.select(*[F.col(f"`{f.name}`") for f in others], *[F.col(f"`{c}`").alias(f"__{c}") for c in spare])
+    source = df.select(*[F.col(f"`{f.name}`") for f in others], F.col(f"`{reads}`").alias("__own"))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches):
-            columns = [part.column(k) for k in range(len(others))]
-            own = part.column(part.schema.get_field_index(f"__{reads}" if spare else reads))
-            yield pa.RecordBatch.from_arrays([*columns, *run(own)], names=[f.name for f in schema.fields])
+        own = codec(path, pattern)
+        try:
+            for part in slices(batches):
+                columns = [part.column(k) for k in range(len(others))]
+                yield pa.RecordBatch.from_arrays([*columns, *run(own, part.column(len(others)))], names=[f.name for f in schema.fields])
+        finally:
+            own.kept.clear()
 
     return source.mapInArrow(each, schema)
 
@@ -131,33 +139,48 @@ def _lists(values: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))
 
 
+def _encoded(own: Codec, column: pa.Array) -> list[np.ndarray]:
+    return own.encode(["" if t is None else t for t in column.to_pylist()])
+
+
+def _ends(own: Codec, found: list[np.ndarray]) -> pa.Array:
+    return _lists([np.cumsum(own.lengths[v], dtype=np.int32) for v in found])
+
+
 def encode(df: DataFrame, path: str, pattern: str, text: str = "text", offsets: bool = True) -> DataFrame:
     """Adds ids array<int> and, if asked for, ends array<int>: the byte of the text's UTF-8 form at which each token ends."""
-    ints = T.ArrayType(T.IntegerType(), True)
-    fields = [T.StructField("ids", ints), *([T.StructField("ends", ints)] if offsets else [])]
 
-    def run(column: pa.Array) -> list[pa.Array]:
-        own = codec(path, pattern)
-        found = own.encode(["" if t is None else t for t in column.to_pylist()])
-        return [_lists(found), *([_lists([np.cumsum(own.lengths[v], dtype=np.int32) for v in found])] if offsets else [])]
+    def run(own: Codec, column: pa.Array) -> list[pa.Array]:
+        found = _encoded(own, column)
+        return [_lists(found), *([_ends(own, found)] if offsets else [])]
 
-    return _appended(df, run, fields, text, [])
+    return _appended(df, run, [IDS, *([ENDS] if offsets else [])], text, path, pattern)
 
 
 def decode(df: DataFrame, path: str, pattern: str, ids: str = "ids") -> DataFrame:
     """Adds decoded binary, the exact bytes of the ids, and decoded_text, in which a character that is split at the end of the ids shows as U+FFFD."""
 
-    def run(column: pa.Array) -> list[pa.Array]:
-        own = codec(path, pattern)
+    def run(own: Codec, column: pa.Array) -> list[pa.Array]:
         found = [own.decode(v or []) for v in column.to_pylist()]
         return [pa.array(found, pa.binary()), pa.array([b.decode("utf-8", "replace") for b in found], pa.string())]
 
-    return _appended(df, run, [T.StructField("decoded", T.BinaryType()), T.StructField("decoded_text", T.StringType())], ids, [])
+    return _appended(df, run, [DECODED, DECODED_TEXT], ids, path, pattern)
+
+
+def encode_and_decode(df: DataFrame, path: str, pattern: str, text: str = "text") -> DataFrame:
+    """Adds ids array<int> and decoded binary, the bytes of those ids: both directions in one Python worker, as two
+    operators in a row would hold two workers with a codec each for every core."""
+
+    def run(own: Codec, column: pa.Array) -> list[pa.Array]:
+        found = _encoded(own, column)
+        return [_lists(found), pa.array([own.decode(v.tolist()) for v in found], pa.binary())]
+
+    return _appended(df, run, [IDS, DECODED], text, path, pattern)
 
 
 def digests(df: DataFrame, path: str, pattern: str) -> DataFrame:
     """Per document: doc_id, n_tokens, ids_sha256 of the decimal ids joined by commas, decoded_sha256 of the decoded bytes."""
-    coded = decode(encode(df.select("doc_id", "text"), path, pattern, offsets=False).drop("text"), path, pattern)
+    coded = encode_and_decode(df.select("doc_id", "text"), path, pattern)
     return coded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
