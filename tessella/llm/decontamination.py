@@ -7,12 +7,15 @@ the only thing broadcast, lets documents emit only windows that can match. For e
 difference of positions) the slots of matching windows must be consistent: each value of the item
 must stand for one value in the document, as it does in a copy (the same) and in a re-parameterised question.
 
+Each window is also hashed by its words as they are (case and surrounding punctuation apart), whatever their kinds.
+
 A document is contaminated by an item if, at one alignment and with consistent slots, it holds HITS windows
-(13 words in a row, or as many in pieces), or all windows of a shorter item. Items of fewer
-than WINDOW words have one window, of all their words, and match as such runs in any document.
+(13 words in a row, or as many in pieces), or all windows of a shorter item, either of template words or word
+for word. Items of fewer than WINDOW words have one window, of all their words, and match as such runs in any document.
 
-Cases: null and empty texts and items have no windows; windows with fewer than PLAIN ordinary words say too
-little and are not used; rows with one doc_id are one document; equal items are all reported. A null doc_id
+Cases: null and empty texts and items have no windows; templates with fewer than PLAIN ordinary words say too
+little and are not used, so that such windows match word for word only; an item without other windows is found
+as a copy, not with other values. Rows with one doc_id are one document; equal items are all reported. A null doc_id
 cannot be reported and is never dropped. Empty tables give empty results; other columns pass through.
 """
 
@@ -62,6 +65,8 @@ class Templates(WordHashes):
 
 UNIT_HASHES = np.sort(np.array([Templates().of(u) & ~7 & ((1 << 64) - 1) for u in UNITS], np.uint64))
 PLACEHOLDER = mix(np.arange(1, 5, dtype=np.uint64))
+#: Keeps the hashes of windows of words apart from those of templates.
+VERBATIM = np.uint64(0x5851F42D4C957F2D)
 
 
 def template(text: bytes, words: Templates) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -88,15 +93,13 @@ def template(text: bytes, words: Templates) -> tuple[np.ndarray, np.ndarray, np.
     return np.where(kinds == WORD, own, PLACEHOLDER[kinds]), kinds, own
 
 
-def _template_windows(text: bytes, words: Templates) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]:
-    """(window hashes, usable, kinds, own hashes, width) of a text."""
-    shown, kinds, own = template(text, words)
-    width = min(WINDOW, len(shown))
-    hashes = windows(shown, WINDOW)
-    if not len(hashes):
-        return hashes, np.zeros(0, bool), kinds, own, width
+def _windows_at(shown: np.ndarray, kinds: np.ndarray, own: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, start, verbatim) of each window of width words: usable templates, then the words themselves."""
     plain = np.cumsum(np.concatenate([[0], kinds == WORD]))
-    return hashes, plain[width:] - plain[: len(hashes)] >= min(PLAIN, width), kinds, own, width
+    usable = np.flatnonzero(plain[width:] - plain[:-width] >= min(PLAIN, width))
+    words = windows(own, width) ^ VERBATIM
+    hashes = np.concatenate([windows(shown, width)[usable], words])
+    return hashes, np.concatenate([usable, np.arange(len(words))]), np.arange(len(hashes)) >= len(usable)
 
 
 def _slots(kinds: np.ndarray, own: np.ndarray, at: int, width: int) -> list[int]:
@@ -105,41 +108,37 @@ def _slots(kinds: np.ndarray, own: np.ndarray, at: int, width: int) -> list[int]
     return own[at : at + width][here].astype(np.int64).tolist()
 
 
-FOUND = "id long, hash long, at int, slots array<long>"
+FOUND = "id long, hash long, at int, verbatim boolean, slots array<long>"
 
 
 def _windows_of(batches: Iterator[pa.RecordBatch], table: np.ndarray | None, short: list[int]) -> Iterator[pa.RecordBatch]:
-    """The usable windows whose hash has its bit in the table (without a table: all). short: the widths below WINDOW that the items have."""
+    """The windows whose hash has its bit in the table (without a table: all). short: the widths below WINDOW that the items have."""
     words = Templates()
     for part in slices(batches):
-        ids, hashes_out, places, slots = [], [], [], []
+        ids, hashes_out, places, verbatim_out, slots = [], [], [], [], []
         for id, text in zip(part.column(0).to_pylist(), utf8(part.column(1)), strict=True):
-            hashes, usable, kinds, own, width = _template_windows(text, words)
-            found = [(hashes, usable, width)]
-            if table is not None and width and short:
-                shown = np.where(kinds == WORD, own, PLACEHOLDER[kinds])
-                plain = np.cumsum(np.concatenate([[0], kinds == WORD]))
-                for w in short:
-                    if w < len(shown) and w != width:
-                        h = windows(shown, w)
-                        found.append((h, plain[w:] - plain[: len(h)] >= min(PLAIN, w), w))
-            for hashes, usable, width in found:
+            shown, kinds, own = template(text, words)
+            width = min(WINDOW, len(shown))
+            for w in [width, *(w for w in short if w < width)] if width else []:
+                hashes, starts, verbatim = _windows_at(shown, kinds, own, w)
                 if table is not None:
                     bit = mix(hashes) % np.uint64(BITS)
-                    usable = usable & ((table[(bit >> np.uint64(3)).astype(np.int64)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1).astype(bool)
-                for at in np.flatnonzero(usable).tolist():
+                    kept = np.flatnonzero((table[(bit >> np.uint64(3)).astype(np.int64)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1)
+                    hashes, starts, verbatim = hashes[kept], starts[kept], verbatim[kept]
+                for hash, at, as_is in zip(hashes.astype(np.int64).tolist(), starts.tolist(), verbatim.tolist(), strict=True):
                     ids.append(id)
-                    hashes_out.append(int(hashes[at].astype(np.int64)))
+                    hashes_out.append(hash)
                     places.append(at)
-                    slots.append(_slots(kinds, own, at, width))
+                    verbatim_out.append(as_is)
+                    slots.append([] if as_is else _slots(kinds, own, at, w))
         yield pa.RecordBatch.from_arrays(
-            [pa.array(ids, pa.int64()), pa.array(hashes_out, pa.int64()), pa.array(places, pa.int32()), pa.array(slots, pa.list_(pa.int64()))],
-            names=["id", "hash", "at", "slots"],
+            [pa.array(ids, pa.int64()), pa.array(hashes_out, pa.int64()), pa.array(places, pa.int32()), pa.array(verbatim_out, pa.bool_()), pa.array(slots, pa.list_(pa.int64()))],
+            names=["id", "hash", "at", "verbatim", "slots"],
         )
 
 
 def item_windows(benchmark: DataFrame, key: str = "item_id", text: str = "text") -> DataFrame:
-    """(item, hash, item_at, item_slots, item_windows, width) of the benchmark."""
+    """(item, hash, item_at, item_slots, item_windows, item_templates, width) of the benchmark; item_templates counts the usable ones."""
     rows = benchmark.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).where(F.col("id").isNotNull())
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,9 +150,9 @@ def item_windows(benchmark: DataFrame, key: str = "item_id", text: str = "text")
         del words
 
     found = rows.mapInArrow(made, FOUND + ", width int")
-    sizes = found.groupBy("id").agg(F.count(F.lit(1)).alias("item_windows"))
+    sizes = found.groupBy("id").agg(F.count_if("verbatim").alias("item_windows"), F.count_if(~F.col("verbatim")).alias("item_templates"))
     return found.join(sizes, "id").select(
-        F.col("id").alias("item"), "hash", F.col("at").alias("item_at"), F.col("slots").alias("item_slots"), "item_windows", "width"
+        F.col("id").alias("item"), "hash", F.col("at").alias("item_at"), F.col("slots").alias("item_slots"), "item_windows", "item_templates", "width"
     )
 
 
@@ -183,15 +182,21 @@ def matches(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: st
 
     rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).where(F.col("id").isNotNull())
     found = rows.mapInArrow(run, FOUND).join(items, "hash").where(F.size("slots") == F.size("item_slots"))
-    aligned = found.select("id", "item", "item_at", "item_windows", (F.col("at") - F.col("item_at")).alias("offset"), F.arrays_zip("item_slots", "slots").alias("pairs"))
+    sizes = ["item_windows", "item_templates"]
+    aligned = found.select("id", "item", "item_at", "verbatim", *sizes, (F.col("at") - F.col("item_at")).alias("offset"), F.arrays_zip("item_slots", "slots").alias("pairs"))
     group = ["id", "item", "offset"]
     counted = aligned.groupBy(*group).agg(
-        F.countDistinct("item_at").alias("n_windows"), F.first("item_windows").alias("item_windows"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs")
+        F.countDistinct(F.when(F.col("verbatim"), F.col("item_at"))).alias("n_words"),
+        F.countDistinct(F.when(~F.col("verbatim"), F.col("item_at"))).alias("n_templates"),
+        *[F.first(c).alias(c) for c in sizes],
+        F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"),
     )
     consistent = F.size("pairs") == F.size(F.array_distinct(F.transform("pairs", lambda p: p["item_slots"])))
-    kept = counted.where(consistent & (F.col("n_windows") >= F.least(F.lit(HITS), "item_windows")))
+    as_words = F.col("n_words") >= F.least(F.lit(HITS), "item_windows")
+    as_template = (F.col("item_templates") > 0) & (F.col("n_templates") >= F.least(F.lit(HITS), "item_templates"))
+    kept = counted.where(consistent & (as_words | as_template))
     return kept.groupBy(F.col("id").alias(key), F.col("item").alias("item_id")).agg(
-        F.max("n_windows").alias("n_windows"), F.max("item_windows").alias("item_windows"), F.max(F.size("pairs")).cast("long").alias("n_slots")
+        F.max(F.greatest("n_words", "n_templates")).alias("n_windows"), F.max("item_windows").alias("item_windows"), F.max(F.size("pairs")).cast("long").alias("n_slots")
     )
 
 

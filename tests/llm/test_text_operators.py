@@ -339,3 +339,18 @@ def test_decontamination(spark, docs, odd, empty, small):
     got = {(r["doc_id"], r["item_id"]) for r in decontamination.matches(spark.createDataFrame(asked, "doc_id long, text string"), bench).collect()}
     assert got == {(1, 1), (3, 2)}
     assert decontamination.clean(docs, benchmark).count() == docs.count() - len({i for i, _ in found})
+
+
+def decontaminated(spark, items, asked):
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    rows = decontamination.matches(spark.createDataFrame(list(enumerate(asked)), "doc_id long, text string"), bench)
+    return {(r["doc_id"], r["item_id"]) for r in rows.collect()}
+
+
+def test_decontamination_finds_copies_of_items_with_few_ordinary_words(spark):
+    items = [
+        "2, 4, 8, 16, 32, 64, 128, 256, what comes next?", "Find the next: 2 4 8 16 32 64 128 256", "What is 17 + 25?",
+        "The Old Man And The Sea Was Written By Ernest Hemingway In 1951", "Anna Boris Carla Diego", "ordinary words alone make up this one item",
+    ]
+    asked = [f"so they asked ({b}) and went on" for b in items] + ["2, 4, 8, 16, 32, 64, 128, 255, what comes next?", "What is 17 + 26?", "Anna Boris Clara Diego"]
+    assert decontaminated(spark, items, asked) == {(k, k) for k in range(len(items))}
