@@ -9,9 +9,9 @@ must stand for one value in the document, as it does in a copy (the same) and in
 
 Each window is also hashed by its words as they are (case and surrounding punctuation apart), whatever their kinds.
 
-A document is contaminated by an item if, at one alignment and with consistent slots, it holds HITS windows
-(13 words in a row, or as many in pieces), or all windows of a shorter item, either of template words or word
-for word. Items of fewer than WINDOW words have one window, of all their words, and match as such runs in any document.
+A document is contaminated by an item if, at one alignment, it holds HITS windows (13 words in a row, or as many
+in pieces), or all windows of a shorter item, either word for word, whatever the other slots, or as templates with
+consistent slots. Items of fewer than WINDOW words have one window, of all their words, and match as such runs in any document.
 
 Cases: null and empty texts and items have no windows; templates with fewer than PLAIN ordinary words say too
 little and are not used, so that such windows match word for word only; an item without other windows is found
@@ -194,9 +194,14 @@ def matches(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: st
     consistent = F.size("pairs") == F.size(F.array_distinct(F.transform("pairs", lambda p: p["item_slots"])))
     as_words = F.col("n_words") >= F.least(F.lit(HITS), "item_windows")
     as_template = (F.col("item_templates") > 0) & (F.col("n_templates") >= F.least(F.lit(HITS), "item_templates"))
-    kept = counted.where(consistent & (as_words | as_template))
+    kept = counted.where(as_words | (consistent & as_template)).select(
+        *group[:2],
+        "item_windows",
+        F.when(consistent, F.greatest("n_words", "n_templates")).otherwise(F.col("n_words")).alias("n_windows"),
+        F.when(consistent, F.size("pairs")).otherwise(F.size(F.filter("pairs", lambda p: p["item_slots"] == p["slots"]))).alias("n_slots"),
+    )
     return kept.groupBy(F.col("id").alias(key), F.col("item").alias("item_id")).agg(
-        F.max(F.greatest("n_words", "n_templates")).alias("n_windows"), F.max("item_windows").alias("item_windows"), F.max(F.size("pairs")).cast("long").alias("n_slots")
+        F.max("n_windows").alias("n_windows"), F.max("item_windows").alias("item_windows"), F.max("n_slots").cast("long").alias("n_slots")
     )
 
 

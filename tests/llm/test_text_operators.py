@@ -354,3 +354,16 @@ def test_decontamination_finds_copies_of_items_with_few_ordinary_words(spark):
     ]
     asked = [f"so they asked ({b}) and went on" for b in items] + ["2, 4, 8, 16, 32, 64, 128, 255, what comes next?", "What is 17 + 26?", "Anna Boris Clara Diego"]
     assert decontaminated(spark, items, asked) == {(k, k) for k in range(len(items))}
+
+
+def test_decontamination_finds_edited_copies_with_many_verbatim_windows(spark):
+    item = (
+        "A farmer keeps 5 goats in the upper field and feeds them hay each morning before the sun comes up, and when the winter "
+        "is over the farmer sells some of them at the market in town for a price of 5 coins"
+    )
+    changed = item.replace("5 goats", "7 goats")
+    asked = [item, item.replace("5 coins", "6 coins"), item.replace("5", "6"), item.replace("5 goats", "8 goats").replace("5 coins", "9 coins"), changed]
+    assert decontaminated(spark, [item], asked) == {(k, 0) for k in range(5)}
+    pieces = " ".join("zzz" if k % 12 == 11 else w for k, w in enumerate(item.split()))
+    few = " ".join(item.split()[:12])  # five windows
+    assert decontaminated(spark, [item], [pieces, few]) == {(0, 0)}
