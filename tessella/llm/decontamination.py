@@ -7,6 +7,10 @@ the only thing broadcast, lets documents emit only windows that can match. For e
 difference of positions) the slots of matching windows must be consistent: each value of the item
 must stand for one value in the document, as it does in a copy (the same) and in a re-parameterised question.
 
+A capital that begins a sentence or line tells nothing, so such a word is taken both ways, on both sides: a window
+is hashed once for each choice of words and names that leaves it usable. A window that matches only with such a
+name counts if its values agree with the others', but never rules out an alignment.
+
 Each window is also hashed by its words as they are (case and surrounding punctuation apart), whatever their kinds.
 
 A document is contaminated by an item if, at one alignment, it holds HITS windows (13 words in a row, or as many
@@ -29,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import WordHashes, mix, saved, slices, utf8, windows
+from tessella.llm.common import WordHashes, mix, saved, slices, utf8
 
 WINDOW, HITS, PLAIN = 8, 6, 4
 #: Bits of the table that is broadcast: 2 MB whatever the benchmark's size; a fuller table lets more windows pass to the join.
@@ -67,16 +71,20 @@ UNIT_HASHES = np.sort(np.array([Templates().of(u) & ~7 & ((1 << 64) - 1) for u i
 PLACEHOLDER = mix(np.arange(1, 5, dtype=np.uint64))
 #: Keeps the hashes of windows of words apart from those of templates.
 VERBATIM = np.uint64(0x5851F42D4C957F2D)
+FACTOR = np.uint64(0x9FB21C651E98DF25)
+#: FACTOR to the powers 0 to WINDOW - 1.
+POWERS = np.array([pow(int(FACTOR), k, 1 << 64) for k in range(WINDOW)], np.uint64)
 
 
-def template(text: bytes, words: Templates) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(template hashes, kinds, the words' own hashes) of a text."""
+def template(text: bytes, words: Templates) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(template hashes, kinds, the words' own hashes, places of words that may be names) of a text."""
     lines = text.split(b"\n") if b"\n" in text else [text]
     split = [x.split() for x in lines]
     flat = [w for x in split for w in x]
     coded = words.array(flat)
     own, flags = coded >> np.uint64(3), coded & np.uint64(7)
     kinds = np.zeros(len(flat), np.uint8)
+    either = np.zeros(0, np.int64)
     if len(flat):
         starts = np.concatenate([[True], (flags[:-1] & np.uint64(4)) != 0])
         firsts = np.cumsum([0, *[len(x) for x in split]])[:-1]
@@ -90,55 +98,85 @@ def template(text: bytes, words: Templates) -> tuple[np.ndarray, np.ndarray, np.
             at = np.minimum(np.searchsorted(UNIT_HASHES, bare), len(UNIT_HASHES) - 1)
             after = after[(UNIT_HASHES[at] == bare) & (kinds[after] != NUM)]
             kinds[after] = UNIT
-    return np.where(kinds == WORD, own, PLACEHOLDER[kinds]), kinds, own
+        either = np.flatnonzero((flags & np.uint64(2) != 0) & (kinds == WORD))
+    return np.where(kinds == WORD, own, PLACEHOLDER[kinds]), kinds, own, either
 
 
-def _windows_at(shown: np.ndarray, kinds: np.ndarray, own: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, start, verbatim) of each window of width words: usable templates, then the words themselves."""
-    plain = np.cumsum(np.concatenate([[0], kinds == WORD]))
-    usable = np.flatnonzero(plain[width:] - plain[:-width] >= min(PLAIN, width))
-    words = windows(own, width) ^ VERBATIM
-    hashes = np.concatenate([windows(shown, width)[usable], words])
-    return hashes, np.concatenate([usable, np.arange(len(words))]), np.arange(len(hashes)) >= len(usable)
+def _sums(hashes: np.ndarray, width: int) -> np.ndarray:
+    """For each run of width words the sum of their hashes, each times its place's factor."""
+    total = np.zeros(len(hashes) - width + 1, np.uint64)
+    for k in range(width):
+        total = total * FACTOR + hashes[k : len(hashes) - width + 1 + k]
+    return total
 
 
-def _slots(kinds: np.ndarray, own: np.ndarray, at: int, width: int) -> list[int]:
+def _windows_at(shown: np.ndarray, kinds: np.ndarray, own: np.ndarray, either: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, start, names) of each window of width words: the usable templates, then the words themselves (names: -1).
+
+    names has a bit for each word of the window's that may be a name, in order, set where it is taken as one.
+    """
+    least = min(PLAIN, width)
+    plain = np.cumsum(np.concatenate([[0], kinds == WORD]))
+    plain = plain[width:] - plain[:-width]
+    starts = np.flatnonzero(plain >= least)
+    totals, plain, names = _sums(shown, width)[starts], plain[starts], np.zeros(len(starts), np.int64)
+    if len(either):
+        first = np.searchsorted(either, starts)
+        many = np.searchsorted(either, starts + width) - first
+        for j in range(int(many.max(initial=0))):
+            more = np.flatnonzero((many > j) & (plain > least))
+            if not len(more):
+                continue
+            word = either[first[more] + j]
+            changed = totals[more] + (PLACEHOLDER[NAME] - own[word]) * POWERS[width - 1 - (word - starts[more])]
+            totals, names = np.concatenate([totals, changed]), np.concatenate([names, names[more] | (1 << j)])
+            starts, plain = np.concatenate([starts, starts[more]]), np.concatenate([plain, plain[more] - 1])
+            first, many = np.concatenate([first, first[more]]), np.concatenate([many, many[more]])
+    words = _sums(own, width)
+    hashes = np.concatenate([mix(totals + np.uint64(width)), mix(words + np.uint64(width)) ^ VERBATIM])
+    return hashes, np.concatenate([starts, np.arange(len(words))]), np.concatenate([names, np.full(len(words), -1)])
+
+
+def _slots(kinds: np.ndarray, own: np.ndarray, either: np.ndarray, at: int, width: int, names: int) -> list[int]:
     """The own hashes of the placeholders of a window, in order."""
     here = kinds[at : at + width] != WORD
+    if names:
+        inside = either[np.searchsorted(either, at) :][: names.bit_length()] - at
+        here[inside[[bool(names >> j & 1) for j in range(len(inside))]]] = True
     return own[at : at + width][here].astype(np.int64).tolist()
 
 
-FOUND = "id long, hash long, at int, verbatim boolean, slots array<long>"
+FOUND = "id long, hash long, at int, names int, slots array<long>"
 
 
 def _windows_of(batches: Iterator[pa.RecordBatch], table: np.ndarray | None, short: list[int]) -> Iterator[pa.RecordBatch]:
     """The windows whose hash has its bit in the table (without a table: all). short: the widths below WINDOW that the items have."""
     words = Templates()
     for part in slices(batches):
-        ids, hashes_out, places, verbatim_out, slots = [], [], [], [], []
+        ids, hashes_out, places, names_out, slots = [], [], [], [], []
         for id, text in zip(part.column(0).to_pylist(), utf8(part.column(1)), strict=True):
-            shown, kinds, own = template(text, words)
+            shown, kinds, own, either = template(text, words)
             width = min(WINDOW, len(shown))
             for w in [width, *(w for w in short if w < width)] if width else []:
-                hashes, starts, verbatim = _windows_at(shown, kinds, own, w)
+                hashes, starts, names = _windows_at(shown, kinds, own, either, w)
                 if table is not None:
                     bit = mix(hashes) % np.uint64(BITS)
                     kept = np.flatnonzero((table[(bit >> np.uint64(3)).astype(np.int64)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1)
-                    hashes, starts, verbatim = hashes[kept], starts[kept], verbatim[kept]
-                for hash, at, as_is in zip(hashes.astype(np.int64).tolist(), starts.tolist(), verbatim.tolist(), strict=True):
+                    hashes, starts, names = hashes[kept], starts[kept], names[kept]
+                for hash, at, taken in zip(hashes.astype(np.int64).tolist(), starts.tolist(), names.tolist(), strict=True):
                     ids.append(id)
                     hashes_out.append(hash)
                     places.append(at)
-                    verbatim_out.append(as_is)
-                    slots.append([] if as_is else _slots(kinds, own, at, w))
+                    names_out.append(taken)
+                    slots.append([] if taken < 0 else _slots(kinds, own, either, at, w, taken))
         yield pa.RecordBatch.from_arrays(
-            [pa.array(ids, pa.int64()), pa.array(hashes_out, pa.int64()), pa.array(places, pa.int32()), pa.array(verbatim_out, pa.bool_()), pa.array(slots, pa.list_(pa.int64()))],
-            names=["id", "hash", "at", "verbatim", "slots"],
+            [pa.array(ids, pa.int64()), pa.array(hashes_out, pa.int64()), pa.array(places, pa.int32()), pa.array(names_out, pa.int32()), pa.array(slots, pa.list_(pa.int64()))],
+            names=["id", "hash", "at", "names", "slots"],
         )
 
 
 def item_windows(benchmark: DataFrame, key: str = "item_id", text: str = "text") -> DataFrame:
-    """(item, hash, item_at, item_slots, item_windows, item_templates, width) of the benchmark; item_templates counts the usable ones."""
+    """(item, hash, item_at, item_names, item_slots, item_windows, item_templates, width) of the benchmark; item_templates counts the usable ones."""
     rows = benchmark.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).where(F.col("id").isNotNull())
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,9 +188,9 @@ def item_windows(benchmark: DataFrame, key: str = "item_id", text: str = "text")
         del words
 
     found = rows.mapInArrow(made, FOUND + ", width int")
-    sizes = found.groupBy("id").agg(F.count_if("verbatim").alias("item_windows"), F.count_if(~F.col("verbatim")).alias("item_templates"))
+    sizes = found.groupBy("id").agg(F.count_if(F.col("names") == -1).alias("item_windows"), F.count_if(F.col("names") == 0).alias("item_templates"))
     return found.join(sizes, "id").select(
-        F.col("id").alias("item"), "hash", F.col("at").alias("item_at"), F.col("slots").alias("item_slots"), "item_windows", "item_templates", "width"
+        F.col("id").alias("item"), "hash", F.col("at").alias("item_at"), F.col("names").alias("item_names"), F.col("slots").alias("item_slots"), "item_windows", "item_templates", "width"
     )
 
 
@@ -170,6 +208,22 @@ def bit_table(items: DataFrame) -> bytes:
     return table.tobytes()
 
 
+def _agreeing(templates):
+    """(the item's windows whose slots agree, pairs of values); if those of kind 1 disagree among themselves (0, pairs of equal values)."""
+    values: dict[int, int] = {}
+    places = set()
+    for kind, _, at, pairs in sorted(templates):  # kind 1 first; the others from the fewest slots up
+        if kind == 2 and at in places:
+            continue
+        more: dict[int, int] = {}
+        if all(values.get(a, b) == b == more.setdefault(a, b) for a, b in pairs):
+            values.update(more)
+            places.add(at)
+        elif kind == 1:
+            return 0, len({a for k, _, _, x in templates for a, b in x if k == 1 and a == b})
+    return len(places), len(values)
+
+
 def matches(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, item_id, n_windows, item_windows, n_slots) of each document and item whose best alignment is contaminated."""
     spark = docs.sparkSession
@@ -183,25 +237,22 @@ def matches(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: st
     rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).where(F.col("id").isNotNull())
     found = rows.mapInArrow(run, FOUND).join(items, "hash").where(F.size("slots") == F.size("item_slots"))
     sizes = ["item_windows", "item_templates"]
-    aligned = found.select("id", "item", "item_at", "verbatim", *sizes, (F.col("at") - F.col("item_at")).alias("offset"), F.arrays_zip("item_slots", "slots").alias("pairs"))
+    pairs = F.arrays_zip("item_slots", "slots")
+    kind = F.when(F.col("names") == -1, 0).when((F.col("names") == 0) & (F.col("item_names") == 0), 1).otherwise(2)
+    aligned = found.select("id", "item", "item_at", kind.alias("kind"), "item_windows", "item_templates", (F.col("at") - F.col("item_at")).alias("offset"), pairs.alias("pairs"))
     group = ["id", "item", "offset"]
     counted = aligned.groupBy(*group).agg(
-        F.countDistinct(F.when(F.col("verbatim"), F.col("item_at"))).alias("n_words"),
-        F.countDistinct(F.when(~F.col("verbatim"), F.col("item_at"))).alias("n_templates"),
-        *[F.first(c).alias(c) for c in sizes],
-        F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"),
+        F.countDistinct(F.when(F.col("kind") == 0, F.col("item_at"))).alias("n_words"),
+        F.collect_set(F.when(F.col("kind") > 0, F.struct("kind", F.size("pairs").alias("n"), "item_at", "pairs"))).alias("templates"),
+        F.first("item_windows").alias("item_windows"),
+        F.first("item_templates").alias("item_templates"),
     )
-    consistent = F.size("pairs") == F.size(F.array_distinct(F.transform("pairs", lambda p: p["item_slots"])))
+    judged = counted.select(*group[:2], "n_words", "item_windows", "item_templates", F.udf(_agreeing, "n_templates long, n_slots long")("templates").alias("t"))
     as_words = F.col("n_words") >= F.least(F.lit(HITS), "item_windows")
-    as_template = (F.col("item_templates") > 0) & (F.col("n_templates") >= F.least(F.lit(HITS), "item_templates"))
-    kept = counted.where(as_words | (consistent & as_template)).select(
-        *group[:2],
-        "item_windows",
-        F.when(consistent, F.greatest("n_words", "n_templates")).otherwise(F.col("n_words")).alias("n_windows"),
-        F.when(consistent, F.size("pairs")).otherwise(F.size(F.filter("pairs", lambda p: p["item_slots"] == p["slots"]))).alias("n_slots"),
-    )
+    as_template = (F.col("item_templates") > 0) & (F.col("t.n_templates") >= F.least(F.lit(HITS), "item_templates"))
+    kept = judged.where(as_words | as_template).select(*group[:2], "item_windows", F.greatest("n_words", "t.n_templates").alias("n_windows"), "t.n_slots")
     return kept.groupBy(F.col("id").alias(key), F.col("item").alias("item_id")).agg(
-        F.max("n_windows").alias("n_windows"), F.max("item_windows").alias("item_windows"), F.max("n_slots").cast("long").alias("n_slots")
+        F.max("n_windows").alias("n_windows"), F.max("item_windows").alias("item_windows"), F.max("n_slots").alias("n_slots")
     )
 
 

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessella.llm import bpe, decontamination, licenses, line_dedup, ngram_join, pii, quality, secret_scan, training_order, urls
+from tessella.llm import bpe, common, decontamination, licenses, line_dedup, ngram_join, pii, quality, secret_scan, training_order, urls
 from tessella.llm.queries import vocabulary
 
 
@@ -367,3 +367,33 @@ def test_decontamination_finds_edited_copies_with_many_verbatim_windows(spark):
     pieces = " ".join("zzz" if k % 12 == 11 else w for k, w in enumerate(item.split()))
     few = " ".join(item.split()[:12])  # five windows
     assert decontaminated(spark, [item], [pieces, few]) == {(0, 0)}
+
+
+def test_decontamination_takes_names_that_begin_sentences(spark):
+    items = [
+        "Anna has 12 apples. Tom has 7 pears. Anna gives 3 apples to Tom. How many apples does Anna have left",
+        "Natalia baked 48 cakes for her friends and sold half of them",
+        "What did Anna buy at the market? Tom wants to know the price of it",
+    ]
+    asked = [
+        "Maria has 15 apples. Ben has 9 pears. Maria gives 4 apples to Ben. How many apples does Maria have left",
+        "Olivia baked 52 cakes for her friends and sold half of them",
+        "so what did Maria buy at the market? Ben wants to know the price of it",
+        "they say Olivia baked 52 cakes for her friends and sold half of them",
+        "Olivia baked 52 pies for his friends and sold half of them",
+    ]
+    assert decontaminated(spark, items, asked) == {(0, 0), (1, 1), (2, 2), (3, 1)}
+    # every choice of words and names, against one hash at a time
+    text = b"One two three. Four five six seven. Eight nine ten Eleven 12 thirteen.\nSome more words"
+    shown, kinds, own, either = decontamination.template(text, decontamination.Templates())
+    hashes, starts, names = (x.tolist() for x in decontamination._windows_at(shown, kinds, own, either, 8))
+    plain = {}
+    for at in range(len(own) - 7):
+        inside = [p for p in either.tolist() if at <= p < at + 8]
+        for mask in range(1 << len(inside)):
+            as_names = [p for j, p in enumerate(inside) if mask >> j & 1]
+            form = shown.copy()
+            form[as_names] = decontamination.PLACEHOLDER[decontamination.NAME]
+            if (kinds[at : at + 8] == decontamination.WORD).sum() - len(as_names) >= decontamination.PLAIN:
+                plain[at, mask] = int(common.windows(form[at : at + 8], 8)[0])
+    assert len(either) == 4 and plain == {(a, n): h for h, a, n in zip(hashes, starts, names, strict=True) if n >= 0}
