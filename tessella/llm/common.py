@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: The white space that separates words: space and U+0009 to U+000D.
 WORD_BREAK = " \t\n\x0b\x0c\r"
@@ -22,13 +23,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which driver and executors share; a new local one only if none is set (tests)."""
-    checkpoint = spark.sparkContext._jsc.sc().getCheckpointDir()
+    """The folder that driver and executors share: of spark.checkpoint.dir or of setCheckpointDir(). None set is an error, as a
+    folder of one machine's own would lose data on a cluster; in local mode one machine is all there is."""
+    context = spark.sparkContext
+    checkpoint = context._jsc.sc().getCheckpointDir()
     if checkpoint.isDefined():
         return checkpoint.get()
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    spark.sparkContext.setCheckpointDir(configured or tempfile.mkdtemp(prefix="tessella-"))
-    return spark.sparkContext._jsc.sc().getCheckpointDir().get()
+    if configured is None:
+        if not context.master.startswith("local[") and context.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        configured = tempfile.mkdtemp(prefix="tessella-")
+    context.setCheckpointDir(configured)
+    return context._jsc.sc().getCheckpointDir().get()
 
 
 def saved(df: DataFrame, name: str) -> DataFrame:
@@ -39,6 +46,17 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def smallest_hashes(df: DataFrame, rows: int, seed: int) -> DataFrame:
+    """The rows rows of df with the smallest hashes of their values: the same on each run, never more. Twice as many are chosen
+    by the hash alone before they are ordered, so that the tasks keep few; equal rows count each."""
+    total = df.count()
+    if total <= rows:
+        return df
+    hashed = df.withColumn("__order", F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns], F.lit(seed)), F.lit(1 << 40)))
+    few = hashed.where(F.col("__order") < min(1 << 40, int(2 * (rows + 64) / total * (1 << 40))))
+    return few.orderBy("__order").limit(rows).drop("__order")
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, rows):

@@ -2,17 +2,18 @@ r"""Personal data: exact base patterns, then a skip-chain conditional random fie
 
 Candidate tokens are runs without white space that hold a digit or @; all others are outside any entity.
 Within a document, neighbouring candidates are linked in a chain, and each candidate is linked to the
-nearest earlier one of the same normalised form (letters and digits, lower case) and of the same skeleton of 5
-or more digits: skip links, linear in number however often a token repeats. Unary potentials are a softmax
-regression on token shapes, pairwise ones smoothed log-odds of label pairs; both are fitted on the base labels of a
-bounded sample (FIT_DOCS documents, by hash of doc_id). Tokens in base spans are observed. Loopy belief
-propagation then carries their labels along the links, so that a token which the patterns miss, but which
-repeats or resembles one they found, gets the same label. Tokens with a marginal of at least SURE are added as spans,
-neighbouring ones of a kind as one. Base spans always stay.
+nearest earlier one of the same form, for each of its forms (letters and digits in lower case; 5 or more digits; the
+last 7 of 8 or more digits; the part of 5 or more characters before an @; those of a whole base span of several tokens): skip links, linear in number however often a token
+repeats. Unary potentials are a softmax regression on token shapes, pairwise ones smoothed log-odds of label pairs; both are
+fitted on the base labels of a bounded sample (the FIT_DOCS documents of the smallest hashes of id and text). Tokens in base
+spans are observed. Loopy belief propagation then carries their labels along the links, so that a token which the patterns
+miss, but which repeats or resembles one they found, gets the same label. Tokens with a marginal of at least SURE are
+added as spans, neighbouring ones of a kind as one. Base spans always stay. The number of rounds is fixed, so a
+document's result does not depend on the documents that share its batch.
 
 Cases: a null text counts as empty; a row is a document of its own, so repeated rows give repeated results; a null
 doc_id is hashed like any other; empty tables fit no model and give an empty result; other columns are left
-out. Texts are read whole, and every pattern scans in linear time.
+out, so names cannot clash. Texts are read whole, and every pattern scans in linear time; numbers of any length are safe.
 """
 
 from __future__ import annotations
@@ -26,12 +27,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import slices
+from tessella.llm.common import slices, smallest_hashes
 
 KINDS = ["email", "ip", "card", "phone"]
 OUTSIDE, LABELS = 0, 5
 FIT_DOCS = 4000
-SURE, ROUNDS = 0.9, 8
+SURE, ROUNDS = 0.85, 8
 
 #: Fixed values of the contract; possessive and bounded forms that match the same.
 AT = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -65,7 +66,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
             else:
                 last = max(last, m.start())
     for m in IP.finditer(text):
-        if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m.groups()):
+        if all(len(p) <= 3 and int(p or 0) <= 255 for p in (x.lstrip("0") for x in m.groups())):
             spans.append((m.start(), 1, m.end()))
     for m in CARD.finditer(text):
         if m.end() - m.start() >= 12:
@@ -91,13 +92,14 @@ def candidates(text: str) -> list[tuple[int, int]]:
     return out
 
 
-N_FEATURES = 22
+N_FEATURES = 24
 
 
 def features(token: str) -> list[int]:
     """The indexes of the token's shape features."""
     digits = sum(c.isdigit() for c in token)
     letters = sum(c.isalpha() for c in token)
+    number = re.sub("[^0-9]", "", token) if 12 <= digits <= 19 else ""
     return [
         0,
         1 + min(4, digits // 4),
@@ -110,21 +112,43 @@ def features(token: str) -> list[int]:
         *([19] if any(q in token for q in "\"'") else []),
         *([20] if digits == len(token) else []),
         *([21] if digits and letters else []),
+        *([22 + luhn(number)] if 12 <= len(number) <= 19 else []),
     ]
 
 
-def links(text: str, spans: list[tuple[int, int]]) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
-    """(chain links, skip links) between candidates, as pairs of positions."""
+def forms_of(token: str) -> set[tuple[str, str]]:
+    """The forms by which tokens, or whole base spans, resemble each other."""
+    plain = WORDY.sub("", token).lower()
+    if not plain:
+        return set()
+    digits = "".join(c for c in plain if c.isdigit())
+    forms = {("t", plain)}
+    if len(digits) >= 5:
+        forms.add(("d", digits))
+    if len(digits) >= 8:
+        forms.add(("e", digits[-7:]))
+    local = WORDY.sub("", token.partition("@")[0]).lower()
+    if "@" in token and len(local) >= 5:
+        forms.add(("t", local))
+    return forms
+
+
+def links(text: str, spans: list[tuple[int, int]], base: list[tuple[int, int, int]]) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
+    """(chain links, skip links) between candidates, as pairs of positions. A base span of several candidates lends its own
+    forms to the last of them."""
     chain = [(k, k + 1) for k in range(len(spans) - 1) if spans[k + 1][0] - spans[k][1] == 1]
-    skip, seen = [], {}
+    skip, seen, at = [], {}, 0
+    ends = sorted(base, key=lambda x: (x[2], x[0]))
     for k, (a, b) in enumerate(spans):
-        plain = WORDY.sub("", text[a:b]).lower()
-        digits = "".join(c for c in plain if c.isdigit())
-        for form in {("t", plain), *([("d", digits)] if len(digits) >= 5 else [])}:
-            if plain:
-                if form in seen:
-                    skip.append((seen[form], k))
-                seen[form] = k
+        forms = forms_of(text[a:b])
+        while at < len(ends) and ends[at][2] <= b:
+            if ends[at][0] < a < ends[at][2]:
+                forms |= forms_of(text[ends[at][0] : ends[at][2]])
+            at += 1
+        for form in forms:
+            if form in seen:
+                skip.append((seen[form], k))
+            seen[form] = k
     return chain, sorted(set(skip))
 
 
@@ -186,8 +210,6 @@ def marginals(model: Model, unary: np.ndarray, chain: np.ndarray, skip: np.ndarr
         top = scores.max(1)
         new = top + np.log(np.exp(scores - top[:, None, :]).sum(1))
         new -= new.max(1, keepdims=True)
-        if np.abs(new - messages).max() < 1e-3:
-            break
         messages = 0.5 * messages + 0.5 * new
     belief = unary.copy()
     np.add.at(belief, target, messages)
@@ -196,9 +218,8 @@ def marginals(model: Model, unary: np.ndarray, chain: np.ndarray, skip: np.ndarr
 
 
 def fit(df: DataFrame, key: str = "doc_id", text: str = "text", rows: int = FIT_DOCS) -> Model:
-    """A model from the base labels of about rows documents; counts of shapes and label pairs leave the executors."""
-    total = df.count()
-    chosen = df if total <= rows else df.where(F.pmod(F.xxhash64(F.col(key), F.lit(11)), F.lit(1 << 40)) < int(rows / total * (1 << 40)))
+    """A model from the base labels of rows documents at most; counts of shapes and label pairs leave the executors."""
+    chosen = smallest_hashes(df.select(key, text), rows, 11)
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
@@ -206,9 +227,10 @@ def fit(df: DataFrame, key: str = "doc_id", text: str = "text", rows: int = FIT_
             for t in part.column(0).to_pylist():
                 t = t or ""
                 spans = candidates(t)
-                own = labels_of(spans, base_spans(t))
+                base = base_spans(t)
+                own = labels_of(spans, base)
                 found += [("u", ",".join(map(str, features(t[a:b]))), y) for (a, b), y in zip(spans, own, strict=True)]
-                for kind, pairs in zip("cs", links(t, spans), strict=True):
+                for kind, pairs in zip("cs", links(t, spans, base), strict=True):
                     found += [(kind, "", own[i] * LABELS + own[j]) for i, j in pairs]
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], kind) for k, kind in enumerate((pa.string(), pa.string(), pa.int32()))], names=["what", "shape", "label"])
 
@@ -227,11 +249,11 @@ def added_spans(texts: list[str], bases: list[list[tuple[int, int, int]]], model
     spans = [candidates(t) for t in texts]
     own = [labels_of(s, b) for s, b in zip(spans, bases, strict=True)]
     chain, skip, rows, firsts = [], [], [], []
-    for t, s, y in zip(texts, spans, own, strict=True):
+    for t, s, y, base in zip(texts, spans, own, bases, strict=True):
         first = len(rows)
         firsts.append(first)
         if any(y) or len(s) > 1:
-            c, k = links(t, s)
+            c, k = links(t, s, base)
             chain += [(first + i, first + j) for i, j in c]
             skip += [(first + i, first + j) for i, j in k]
         for (a, b), label in zip(s, y, strict=True):

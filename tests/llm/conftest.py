@@ -4,6 +4,7 @@ import pytest
 ODD = [
     (1, None), (2, ""), (3, "\n\n"), (4, "x" * 30_000), (5, "one two three"), (5, "one two three"), (6, "  lead and trail  \n"),
     (None, "a document without an id but with some words in it"), (7, "word " * 4000), (8, "0123456789 " * 300), (9, "é𝒳 ü\x85ñ\u3000z"),
+    (10, "0" * 5000 + "1.1.1.1"), (11, "iVBORw0KGgo" * 4000 + "="),
 ]
 
 
