@@ -35,10 +35,11 @@ CLASSES = [
     ("entropy_alnum", r"^(?=.*[0-9])(?=.*[A-Za-z])[A-Za-z0-9]+$", 3.6),
     ("entropy_base64", r"^(?=.*[0-9])(?=.*[a-z])(?=.*[A-Z])[A-Za-z0-9+/_=-]+$", 3.8),
 ]
-#: Candidates that fit one of these are never reported: identifiers in UUID form, examples, placeholders, paths of plain words.
+#: Candidates that fit one of these are never reported: identifiers in UUID form, examples and placeholders (of 64 characters
+#: at most, as longer strings hold such runs by chance), paths of plain words.
 ALLOWED = [
     r"^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$",
-    r"(?i)example|placeholder|dummy|xxxx|0123456789|abcdefgh",
+    r"(?i)^(?=.{0,64}$).*(example|placeholder|dummy|xxxx|0123456789|abcdefgh)",
     r"^[A-Za-z_=/-]+$",
     r"^[0-9_=/+-]+$",
 ]
