@@ -24,7 +24,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines of 40 characters or more in five documents or more stay in one; n_chars follows the text."""
-    return line_dedup.deduplicated(docs).drop("_n_lines", "_n_dropped").withColumn("n_chars", F.length("text").cast("long"))
+    return line_dedup.deduplicated(docs).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: The white space that separates words: space and U+0009 to U+000D.
@@ -57,6 +57,29 @@ def smallest_hashes(df: DataFrame, rows: int, seed: int) -> DataFrame:
     return few.orderBy("__order").limit(rows).drop("__order")
 
 
+def named(name: str) -> Column:
+    """The column of that name, whatever characters are in it."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df does not have, in any case of letters."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
+def rows_without(df: DataFrame, key: str, gone: DataFrame) -> DataFrame:
+    """The rows of df whose key is not in the only column of gone. Rows with a null key stay and take no part in the
+    join, so that they never meet in one task; other columns pass through, whatever their names."""
+    id = fresh(df, "id")
+    own = df.withColumn(id, named(key).cast("long"))
+    kept = own.where(named(id).isNotNull()).join(gone.toDF(id).distinct(), id, "left_anti")
+    order = [named(c) for c in df.columns]
+    return kept.select(*order).unionByName(own.where(named(id).isNull()).select(*order))
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, rows):

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import WordHashes, mix, saved, slices, utf8
+from tessella.llm.common import WordHashes, mix, rows_without, saved, slices, utf8
 
 WINDOW, HITS, PLAIN = 8, 6, 4
 #: Bits of the table that is broadcast: 2 MB whatever the benchmark's size; a fuller table lets more windows pass to the join.
@@ -258,5 +258,4 @@ def matches(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: st
 
 def clean(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of docs that no item contaminates."""
-    found = matches(docs, benchmark, key, text).select(F.col(key).alias("_found")).distinct()
-    return docs.join(found, F.col(f"`{key}`") == F.col("_found"), "left_anti")
+    return rows_without(docs, key, matches(docs, benchmark, key, text).select(key))

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import WordHashes, mix, saved, slices, utf8, windows
+from tessella.llm.common import WordHashes, mix, named, rows_without, saved, slices, utf8, windows
 from tessella.llm.components import components
 
 WIDTH, THRESHOLD = 5, 0.8
@@ -306,5 +306,5 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def one_of_each(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of df but those whose group has a smaller id."""
-    extra = joined(df, key, text).where(F.col(key) != F.col("class_id")).select(F.col(key).alias("_extra")).distinct()
-    return df.join(extra, F.col(f"`{key}`") == F.col("_extra"), "left_anti")
+    extra = joined(df, key, text).where(named(key) != F.col("class_id")).select(key)
+    return rows_without(df, key, extra)

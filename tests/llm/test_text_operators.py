@@ -252,14 +252,14 @@ def test_quality(docs, odd, empty):
 # --- line dedup
 
 
-def brute_lines(rows):
+def brute_lines(rows, least=5):
     key = lambda x: x.strip(" \t\n\x0b\x0c\r").translate({c: c + 32 for c in range(65, 91)})
     holders = collections.defaultdict(list)
     for n, (i, t) in enumerate(rows):
         for k in {key(x) for x in t.split("\n")}:
             if len(k) >= 40:
                 holders[k].append(i)
-    keeper = {k: max((i for i in v if i is not None), default=None) for k, v in holders.items() if len(v) >= 5}
+    keeper = {k: max((i for i in v if i is not None), default=None) for k, v in holders.items() if len(v) >= least}
     out = []
     for i, t in rows:
         lines = t.split("\n")
@@ -274,7 +274,28 @@ def test_line_dedup(spark, docs, odd, empty):
     for df in (docs, odd, spark.createDataFrame(made, "doc_id long, text string")):
         assert counted(tuple(r) for r in line_dedup.report(df).collect()) == counted(brute_lines(texts(df)))
     assert line_dedup.report(empty).count() == 0
-    assert line_dedup.deduplicated(odd).columns == [*odd.columns, "_n_lines", "_n_dropped"]
+    assert line_dedup.deduplicated(odd).columns == odd.columns
+    for least in (1, 2, 3):
+        rows = line_dedup.deduplicated(spark.createDataFrame(made, "doc_id long, text string"), least_docs=least, counts=("n", "gone")).collect()
+        assert sum(r["gone"] for r in rows) == sum(r[2] for r in brute_lines(made, least))
+
+
+def test_line_dedup_of_hot_lines(spark, docs, monkeypatch):
+    """Hot keys are probed in place, whatever share of the keys they are."""
+    monkeypatch.setattr(line_dedup, "HOT_DOCS", 6)
+    for share in (10**9, 500):
+        monkeypatch.setattr(line_dedup, "HOT_KEYS", share)
+        assert counted(tuple(r) for r in line_dedup.report(docs).collect()) == counted(brute_lines(texts(docs)))
+
+
+def test_keys_that_share_their_first_half():
+    a = np.array([5, 9, 5, 7, 5], np.int64)
+    shard = line_dedup.Shard.build(a, np.array([1, 2, 3, 4, 6], np.int64), np.array([7, 7, 7, 2, 7], np.int64), np.array([10, 20, 30, 40, 50], np.int64))
+    shard = line_dedup.Shard.of_row(*shard.row())
+    at = shard.probe(np.array([5, 5, 5, 5, 9, 8], np.int64), np.array([1, 3, 6, 2, 2, 1], np.int64))
+    assert shard.largest[at[[0, 1, 2, 4]]].tolist() == [10, 30, 50, 20] and at[[3, 5]].tolist() == [-1, -1]
+    lost = shard.lost(np.array([5, 5, 7], np.int64), np.array([3, 3, 4], np.int64), np.array([30, 31, 1]), 5)
+    assert lost.tolist() == [False, True, False]
 
 
 def test_minimal_perfect_hash():
