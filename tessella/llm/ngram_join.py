@@ -4,16 +4,23 @@
    all low bytes, then all high bytes. Texts with one set are one class; classes go on, copies do not.
 2. Chosen paths: RUNS trees split the classes. At each node the path's hash samples two coordinates of the
    sketch, and a class goes to the child named by its value there, so sets meet where they share sampled
-   tokens. Two levels are taken at once; buckets above BUCKET classes are split further, unless their children
-   keep most of them (then they are truly similar, and splitting only multiplies them). A pair of similarity
+   tokens. Two levels are taken at once; buckets above BUCKET classes are split further, unless children above
+   half of BUCKET keep most of them (then they are truly similar, and splitting only multiplies them). A pair of similarity
    0.8 meets in one run with probability 0.94 (p = 1 - (1 - 0.8 p')^2 over four levels or fewer), in all RUNS
    with 1 - 0.06^RUNS, above TARGET_RECALL; RUNS is the least number that reaches it.
-3. Small buckets are compared by sketch; pairs far below the threshold are dropped, the others joined to
+3. Buckets are compared by sketch; pairs far below the threshold are dropped, the others joined to
    candidate components, of which only a spanning forest is written.
-4. Each candidate component meets once with its full sets, and all its pairs are verified exactly, in blocks
-   of BLOCK classes. A class's links are counted there; again only a spanning forest leaves the task.
-
-Large buckets that are dense, or left after MAX_LEVELS levels, are compared whole, in blocks, so no pair is lost to a cap.
+4. Each candidate component meets once with its full sets, and its pairs are verified exactly. A class's links are counted
+   there; again only a spanning forest leaves the task.
+
+Groups of near copies, of any size, cost time in proportion to their members and not to their pairs. In a bucket of more than
+BUCKET classes each member's sketch is compared with one center; two members that both agree with it in enough places must
+agree with each other, so these form the core, and an edge to the center is all they need. In a component of more than BLOCK classes
+the center is a set C, the shingles that most of about BLOCK members have. A member that lacks d of them and adds a others has the
+load w = 5d + 4a; two members share |C| - d1 - d2 shingles or more, of |C| + a1 + a2 or fewer, so they are linked for
+certain if w1 + w2 <= |C|. Members with 2w <= |C|, the core, are all linked to each other: their links are counted, not
+compared. Only the rim, the members outside the core, is compared, in blocks, with all members. Which members serve as
+center decides only how large the rim is, never a result, so no pair is lost to a cap.
 
 Cases: a null or empty text, or one without words, has no set: all such are copies of each other, linked to
 nothing else; a text of fewer than five words has one shingle of all its words. A row with a null doc_id is
@@ -40,7 +47,7 @@ WIDTH, THRESHOLD = 5, 0.8
 SKETCH, BRANCH = 128, 2
 TARGET_RECALL = 0.9999
 BUCKET, BLOCK, MAX_LEVELS = 2048, 256, 7
-#: A bucket whose children keep this share of its members is one group of similar sets, which no split would part.
+#: A bucket whose large children keep this share of its members is one group of similar sets, which no split would part.
 DENSE = 0.5
 #: Buckets compare the lowest byte of each sketch value. Sketches that agree in less than this share belong to pairs
 #: below the threshold: 5.1 standard errors away.
@@ -168,12 +175,55 @@ def groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Ta
 
 
 def _blocked(df: DataFrame, block: int) -> DataFrame:
-    """df, with the members of its rows' groups, gets bi, bj: a group of more than block rows is cut into blocks, and each row
-    goes to every pair of blocks that has its own."""
-    n = F.ceil(F.col("members") / F.lit(block)).cast("long")
-    met = df.withColumn("_n", n).withColumn("_own", F.pmod(F.xxhash64("rep"), F.col("_n")))
-    other = met.withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)))
-    return other.withColumns({"bi": F.least("_own", "_other"), "bj": F.greatest("_own", "_other")}).withColumnRenamed("_own", "own").drop("_n", "_other", "members")
+    """df (rep, core, n_rim, n_core, ...) gets own, bi, bj: the rim of a group is cut into blocks of about block rows, numbered before
+    those of its core, and each row goes to every pair of blocks that has its own and one of the rim."""
+    rim, core = (F.ceil(F.col(c) / F.lit(block)).cast("long") for c in ("n_rim", "n_core"))
+    part = F.xxhash64("rep")
+    own = F.when(F.col("core"), rim + F.pmod(part, F.greatest(core, F.lit(1)))).otherwise(F.pmod(part, F.greatest(rim, F.lit(1))))
+    met = df.where("n_rim > 0").withColumn("own", own)
+    other = met.withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.when(F.col("core"), rim - 1).otherwise(rim + core - 1))))
+    return other.withColumns({"bi": F.least("own", "_other"), "bj": F.greatest("own", "_other")}).drop("_other", "core", "n_rim", "n_core")
+
+
+def _dealt(df: DataFrame, block: int) -> DataFrame:
+    """df (rep, members, ...) with part: large groups are dealt to parts of about block rows."""
+    return df.withColumn("part", F.pmod(F.xxhash64("rep"), F.ceil(F.col("members") / F.lit(block)).cast("long")))
+
+
+def _to_parts(facts: DataFrame, block: int) -> DataFrame:
+    """A row of facts about a group for each of its parts, so that a group's rows meet their facts in many tasks."""
+    return facts.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("members") / F.lit(block)).cast("long") - 1))).drop("members")
+
+
+def _sketch_core(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Whether a row's sketch agrees with its center's so well that any two such rows agree enough."""
+    for batch in batches:
+        agree = (_bytes(batch.column("low")) == _bytes(batch.column("center"))).sum(axis=1)
+        core = pa.array(2 * agree >= SKETCH + LEAST_AGREEMENT * SKETCH)
+        yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("path", "part", "rep", "hub")], core], names=["path", "part", "rep", "hub", "core"])
+
+
+def _set_core(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Whether twice a row's load is within the size of its center."""
+    for part in slices(batches):
+        core = []
+        for own, center in zip(part.column("items").to_pylist(), part.column("center"), strict=True):
+            own, center = np.frombuffer(own, np.uint64), np.sort(center.values.to_numpy().view(np.uint64))
+            both = int(np.isin(own, center, assume_unique=True, kind="sort").sum())
+            core.append(2 * (5 * (len(center) - both) + 4 * (len(own) - both)) <= len(center))
+        yield pa.RecordBatch.from_arrays([*[part.column(c) for c in ("comp", "part", "rep", "n_docs")], pa.array(core, pa.bool_())], names=["comp", "part", "rep", "n_docs", "core"])
+
+
+def _shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for part in slices(batches):
+        sets = [np.frombuffer(x, np.int64) for x in part.column("items").to_pylist()]
+        comps = np.repeat(part.column("comp").to_numpy(), [len(x) for x in sets])
+        yield pa.RecordBatch.from_arrays([pa.array(comps), pa.array(np.concatenate([np.empty(0, np.int64), *sets]))], names=["comp", "item"])
+
+
+def _sides(rows: DataFrame, by: str) -> DataFrame:
+    """(by, members, n_rim, n_core) of the groups of rows."""
+    return rows.groupBy(by).agg(F.count(F.lit(1)).alias("members"), F.count_if(~F.col("core")).alias("n_rim"), F.count_if("core").alias("n_core"))
 
 
 def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -217,7 +267,7 @@ def shared_counts(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each class of a block pair: the documents and classes it is linked to, and a class it hangs on in the spanning forest."""
+    """For each class of a block pair: the documents it is linked to, and a class it hangs on in the spanning forest."""
     for part in groups(batches, ["comp", "bi", "bj"]):
         reps, own, weight = (part.column(c).to_numpy() for c in ("rep", "own", "n_docs"))
         sets = [np.frombuffer(x, np.uint64) for x in part.column("items").to_pylist()]
@@ -233,10 +283,7 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forest.join(np.stack([i, j], axis=1))
         hangs = np.empty(len(reps), np.int64)
         hangs[order] = reps[order][[forest.root(x) for x in range(len(reps))]]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(reps), pa.array(hangs), pa.array((alike * weight[None, :]).sum(axis=1).astype(np.int64)), pa.array(alike.sum(axis=1).astype(np.int64))],
-            names=["rep", "hangs", "links", "link_classes"],
-        )
+        yield pa.RecordBatch.from_arrays([pa.array(reps), pa.array(hangs), pa.array((alike * weight[None, :]).sum(axis=1).astype(np.int64))], names=["rep", "hangs", "links"])
 
 
 def buckets(classes: DataFrame) -> DataFrame:
@@ -252,7 +299,7 @@ def buckets(classes: DataFrame) -> DataFrame:
             break
         split = rows.join(large.select("path"), "path").join(light, "rep").select("path", "rep", "sketch")
         below = saved(split.mapInArrow(_deeper, "parent long, path long, rep long"), "paths")
-        met = below.groupBy("parent", "path").agg(F.count(F.lit(1)).alias("n")).where("n > 1").groupBy("parent").agg(F.sum("n").alias("n"))
+        met = below.groupBy("parent", "path").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > BUCKET // 2).groupBy("parent").agg(F.sum("n").alias("n"))
         parted = large.join(met.select(F.col("parent").alias("path"), "n"), "path", "left").where(F.coalesce("n", F.lit(0)) < DENSE * BRANCH * F.col("members"))
         parted = saved(parted.select("path"), "parted")
         done.append(rows.join(sizes.join(parted, "path", "left_anti"), "path"))
@@ -260,6 +307,59 @@ def buckets(classes: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, [x.select("path", "rep", "members") for x in done])
 
 
+def candidate_edges(classes: DataFrame) -> DataFrame:
+    """(u, v): a spanning forest of the pairs of classes whose sketches agree enough in some bucket."""
+    met = buckets(classes)
+    low = classes.select("rep", F.substring("sketch", 1, SKETCH).alias("low")).hint("merge")  # merge: this side grows with the data at every size
+    alone = met.where(F.col("members") <= BUCKET).withColumns({"core": F.lit(False), "n_rim": F.col("members"), "n_core": F.lit(0).cast("long")}).drop("members")
+    large = met.where(F.col("members") > BUCKET)
+    stars = None
+    if large.limit(1).count():
+        large = saved(_dealt(large, BUCKET).join(low, "rep"), "large")
+        first = F.xxhash64("rep")
+        center = large.groupBy("path").agg(F.min_by("low", first).alias("center"), F.min_by("rep", first).alias("hub"), F.count(F.lit(1)).alias("members"))
+        judged = large.select("path", "part", "rep", "low").join(_to_parts(center, BUCKET), ["path", "part"])
+        judged = saved(judged.mapInArrow(_sketch_core, "path long, part long, rep long, hub long, core boolean"), "cores")
+        stars = judged.where(F.col("core") & (F.col("rep") != F.col("hub"))).select(F.greatest("rep", "hub").alias("u"), F.least("rep", "hub").alias("v"))
+        rest = judged.join(_to_parts(_sides(judged, "path"), BUCKET), ["path", "part"]).select("path", "rep", "core", "n_rim", "n_core")
+        alone = alone.unionByName(rest)
+    order = ["path", "bi", "bj"]
+    pairs = _blocked(alone, BUCKET).join(low, "rep")
+    edges = pairs.repartition(*order).sortWithinPartitions(*order).mapInArrow(_candidates, "u long, v long")
+    return (edges if stars is None else edges.unionByName(stars)).distinct()
+
+
+def verified_links(source: DataFrame, members: DataFrame) -> DataFrame:
+    """(rep, hangs, links): the exact links within the components of members (rep, comp, n_docs), in parts to be added up."""
+    counts = members.groupBy("comp").agg(F.count(F.lit(1)).alias("members"))
+    texts = source.join(members.join(counts, "comp").hint("merge"), F.col("id") == F.col("rep")).select("rep", "comp", "n_docs", "members", "text")
+    sets = texts.mapInArrow(_sets, "rep long, comp long, n_docs long, members long, items binary")
+    sides = {"core": F.lit(False), "n_rim": F.col("members"), "n_core": F.lit(0).cast("long")}
+    shown = ["rep", "comp", "n_docs", "items", "core", "n_rim", "n_core"]
+    certain = None
+    if counts.where(F.col("members") > BLOCK).limit(1).count():
+        sets = saved(sets, "sets")
+        large = _dealt(sets.where(F.col("members") > BLOCK), BLOCK)
+        some = large.where("part = 0").select("comp", "items")
+        asked = some.groupBy("comp").agg(F.count(F.lit(1)).alias("asked"))
+        usual = some.mapInArrow(_shingle_rows, "comp long, item long").groupBy("comp", "item").agg(F.count(F.lit(1)).alias("n")).join(asked, "comp").where("2 * n > asked")
+        center = usual.groupBy("comp").agg(F.collect_list("item").alias("center"))  # at most twice as many as a set has on average
+        known = counts.where(F.col("members") > BLOCK).join(center, "comp", "left").withColumn("center", F.coalesce("center", F.array().cast("array<long>")))
+        judged = large.select("comp", "part", "rep", "n_docs", "items").join(_to_parts(known, BLOCK), ["comp", "part"])
+        judged = saved(judged.mapInArrow(_set_core, "comp long, part long, rep long, n_docs long, core boolean"), "cores")
+        of_core = judged.where("core").groupBy("comp").agg(F.sum("n_docs").alias("docs"), F.min("rep").alias("hub"))
+        facts = _to_parts(_sides(judged, "comp").join(of_core, "comp", "left"), BLOCK)
+        met = judged.join(facts, ["comp", "part"])
+        certain = met.where("core").select("rep", F.col("hub").alias("hangs"), (F.col("docs") - F.col("n_docs")).alias("links"))
+        rest = met.where("n_rim > 0").select("rep", "comp", "n_docs", "core", "n_rim", "n_core").join(sets.select("rep", "items").hint("merge"), "rep")
+        sets = sets.where(F.col("members") <= BLOCK).withColumns(sides).select(*shown).unionByName(rest.select(*shown))
+    else:
+        sets = sets.withColumns(sides).select(*shown)
+    order = ["comp", "bi", "bj"]
+    checked = _blocked(sets, BLOCK).repartition(*order).sortWithinPartitions(*order).mapInArrow(_verified, "rep long, hangs long, links long")
+    return checked if certain is None else checked.unionByName(certain)
+
+
 def joined(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row of df: key, class_id (the smallest id of its connected group), copy_id (the smallest id with the same
     set of shingles), n_links (the other rows of similarity 0.8 or more, copies included)."""
@@ -270,20 +370,9 @@ def joined(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     )
     found = saved(found, "classes")
 
-    order = ["path", "bi", "bj"]
-    # merge: these sides grow with the data, so the plan is the same at every size
-    pairs = _blocked(buckets(found), BUCKET).join(found.select("rep", F.substring("sketch", 1, SKETCH).alias("low")).hint("merge"), "rep")
-    edges = pairs.repartition(*order).sortWithinPartitions(*order).mapInArrow(_candidates, "u long, v long").distinct()
-    parts = components(edges)
-
+    parts = components(candidate_edges(found))
     members = saved(parts.join(found.select(F.col("rep").alias("id"), "n_docs"), "id").select(F.col("id").alias("rep"), "comp", "n_docs"), "members")
-    hashes_of = F.col("id") == F.col("rep")
-    counts = members.groupBy("comp").agg(F.count(F.lit(1)).alias("members"))
-    texts = source.join(members.join(counts, "comp").hint("merge"), hashes_of).select("rep", "comp", "n_docs", "members", "text")
-    sets = texts.mapInArrow(_sets, "rep long, comp long, n_docs long, members long, items binary")
-    order = ["comp", "bi", "bj"]
-    checked = _blocked(sets, BLOCK).repartition(*order).sortWithinPartitions(*order)
-    links = saved(checked.mapInArrow(_verified, "rep long, hangs long, links long, link_classes long"), "links")
+    links = saved(verified_links(source, members), "links")
 
     linked = links.groupBy("rep").agg(F.sum("links").alias("links"))
     final = components(links.where("rep <> hangs").select(F.col("rep").alias("u"), F.col("hangs").alias("v")).distinct())
