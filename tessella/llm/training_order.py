@@ -1,38 +1,43 @@
 """Training-order materialisation: fixed-length token sequences, a keyed permutation, fixed-stride shards.
 
-A text's tokens are its UTF-8 bytes (ids 0 to 254 occur, 255 never does in UTF-8 and marks the end and
-the padding), cut into sequences of a fixed number of tokens. Sequences are numbered densely in order
-of doc_id; a keyed Feistel network over the next power of four, walked until it lands below the number
+A document's tokens are the ids of a column array<int>, of 1, 2 or 4 bytes each, or the UTF-8 bytes of a text; the
+largest id marks the end and the padding (255 never occurs in UTF-8). They are cut into sequences of a fixed number of tokens.
+Sequences are numbered densely; a keyed Feistel network over the next power of four, walked until it lands below the number
 of sequences, gives each its slot, so the order needs no shuffle buffer, no sort and no state. Rows are dealt
 to tasks by ranges of slots and written in slot order; shard = slot // stride, row = slot % stride, so a reader
-that stopped at a slot opens one shard and goes on.
+that stopped at a slot opens one shard and goes on. Every row has the same number of bytes.
 
-Numbering: document counts are summed in blocks of doc_ids by hash, the blocks' offsets are a running sum
-over the (few) blocks, and a window inside each block numbers its documents; no text is moved for it.
+Numbering: documents are dealt to blocks by the hash of id and tokens; the blocks' offsets are running sums over groups of blocks and
+inside each; a window inside each block numbers its documents in order of id, size and hash. No text is moved for it, nothing
+is gathered on the driver, and the plan is the same at every size: texts, compressed, meet their numbers by sort and merge.
 
-Cases: a null or empty text has one sequence, of end marks only; rows with one doc_id are numbered together:
-of equal doc_ids the longer text's rows come first and equal rows are interchangeable. Null doc_ids
-are numbered like any other. An empty table gives no sequences. Other columns are left out, so names cannot
-clash. Very long texts are cut whole.
+Cases: a null or empty text has one sequence, of end marks only. Rows of one id have places of their own, the longer first, then
+by hash; rows of one id and one text are written as often as they occur. Null ids are numbered like any other and, being
+dealt by hash with their texts, do not meet in one task. An empty table gives no sequences. Other columns are left out, so
+names cannot clash. Very long texts are cut whole.
 """
 
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import pyarrow as pa
+import zstandard
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tessella.llm.common import mix, saved, shared_dir
+from tessella.llm.common import mix, named, saved, shared_dir, slices, utf8
 
-LENGTH, STRIDE, END = 2048, 4096, 255
+LENGTH, STRIDE = 2048, 4096
 ROUNDS = 6
-#: Documents that a numbering block holds, about.
-BLOCK_DOCS = 20_000
-#: A table of document offsets is broadcast up to so many rows (32 bytes each); above, it is joined by sort and merge.
-BROADCAST_ROWS = 2_000_000
+#: Documents that a numbering block holds, about, and blocks in a group of blocks.
+BLOCK_DOCS, GROUP_BLOCKS = 20_000, 1_000
+#: Copies of one row that one task cuts, at most; more are dealt out again.
+COPIES = 1_000
+KINDS = {1: np.uint8, 2: np.uint16, 4: np.uint32}
 
 
 def permuted(index: np.ndarray, total: int, key: int) -> np.ndarray:
@@ -53,52 +58,78 @@ def permuted(index: np.ndarray, total: int, key: int) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def n_sequences(text: Column, length: int) -> Column:
-    """A sequence for each length bytes begun, with room for one end mark."""
-    return F.floor(F.octet_length(text) / F.lit(length)).cast("long") + 1
-
-
-def numbered(df: DataFrame, key: str, text: str, length: int) -> tuple[DataFrame, int]:
-    """(id, bytes, place, first: the index of its first sequence), one row per row of df, and the number of sequences."""
-    t = F.coalesce(F.col(text), F.lit(""))
-    sizes = df.select(F.col(key).alias("id"), F.octet_length(t).alias("bytes"), n_sequences(t, length).alias("n"))
-    blocks = max(1, -(-sizes.count() // BLOCK_DOCS))
-    sizes = saved(sizes.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks))), "sizes")
-    per_block = sizes.groupBy("block").agg(F.sum("n").alias("n")).orderBy("block").collect()  # one row for each BLOCK_DOCS documents
-    offsets, total = [], 0
-    for row in per_block:
-        offsets.append((row["block"], total))
-        total += row["n"]
-    starts = df.sparkSession.createDataFrame(offsets, "block long, start long")
-    order = Window.partitionBy("block").orderBy("id", F.desc("bytes"))
-    first = F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    place = F.row_number().over(Window.partitionBy("block", "id").orderBy(F.desc("bytes")))
-    out = sizes.withColumns({"before": F.coalesce(first, F.lit(0)), "place": place}).join(starts, "block")
-    return out.select("id", "bytes", "place", (F.col("start") + F.col("before")).alias("first")), total
-
-
-def sequences(df: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, seed: int = 20_240_601) -> tuple[DataFrame, int]:
-    """((slot, id, part, n_tokens, tokens binary of exactly length bytes), number of sequences), not yet in order."""
-    places, total = numbered(df, key, text, length)
-    places = saved(places, "places")
-    repeated = places.where(F.col("place") > 1).limit(1).count() > 0
-    rows = df.select(F.col(key).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("_t"))
-    if places.count() <= BROADCAST_ROWS:
-        places = F.broadcast(places)
-    on = rows["id"].eqNullSafe(places["id"])
-    if repeated:  # rows with one doc_id: the longest takes the first place
-        within = Window.partitionBy("id").orderBy(F.desc(F.octet_length("_t")))
-        rows = rows.withColumn("place", F.row_number().over(within))
-        on = rows["id"].eqNullSafe(places["id"]) & (rows["place"] == places["place"])
-    met = rows.join(places, on).select(rows["id"], "_t", "first")
-    slot = F.pandas_udf(lambda index: pd.Series(permuted(index.to_numpy(), total, seed)), "long")
-    cut = met.select("id", F.encode("_t", "UTF-8").alias("_b"), "first", F.explode(F.sequence(F.lit(0), n_sequences(F.col("_t"), length) - 1)).alias("part"))
-    piece = F.substring("_b", (F.col("part") * length + 1).cast("int"), F.lit(length))
-    mark = F.lit(bytes([END]))
-    made = cut.select((F.col("first") + F.col("part")).alias("index"), "id", F.col("part").cast("int").alias("part"), piece.alias("_p"))
-    return made.select(
-        slot("index").alias("slot"), "id", "part", F.octet_length("_p").alias("n_tokens"), F.rpad("_p", F.lit(length), mark).alias("tokens")
-    ), total
+def numbered(sizes: DataFrame) -> tuple[DataFrame, int]:
+    """((a, b, copies, n, first: the index of its first sequence) for each of sizes (id, a, b, bytes, n, copies), number of sequences)."""
+    docs, total = sizes.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.col("n") * F.col("copies")), F.lit(0))).first()
+    blocks = max(1, -(-docs // BLOCK_DOCS))
+    dealt = sizes.withColumn("block", F.pmod("a", F.lit(blocks)))
+    before = lambda by, order: F.sum("own").over(Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
+    none = F.lit(0).cast("long")
+    per_block = dealt.groupBy("block").agg(F.sum(F.col("n") * F.col("copies")).alias("own")).withColumn("group", F.expr(f"block div {GROUP_BLOCKS}"))
+    per_block = per_block.withColumn("in_group", F.coalesce(before(["group"], ["block"]), none))
+    per_group = per_block.groupBy("group").agg(F.sum("own").alias("own"))  # a row for each GROUP_BLOCKS * BLOCK_DOCS documents
+    per_group = per_group.select("group", F.coalesce(before([], ["group"]), none).alias("start"))
+    starts = per_block.join(per_group, "group").select("block", (F.col("start") + F.col("in_group")).alias("start"))
+    within = dealt.withColumn("own", F.col("n") * F.col("copies"))
+    within = within.withColumn("before", F.coalesce(before(["block"], ["id", F.desc("bytes"), "a", "b"]), none))
+    return within.join(starts, "block").select("a", "b", "copies", "n", (F.col("start") + F.col("before")).alias("first")), total
+
+
+def sequences(
+    df: DataFrame, key: str = "doc_id", tokens: str = "text", length: int = LENGTH, seed: int = 20_240_601, width: int = 1
+) -> tuple[DataFrame, int]:
+    """((slot, id, part, n_tokens, tokens binary of exactly length * width bytes, low byte first), number of sequences), not yet in
+    order. tokens is a text, of width 1, or a column array<int> of ids below 256 ** width - 1."""
+    column = df.schema[tokens].dataType
+    of_ids = isinstance(column, T.ArrayType)
+    if width not in KINDS or (not of_ids and width != 1):
+        raise ValueError("ids take 1, 2 or 4 bytes each, the bytes of a text 1")
+    size = length * width
+    t = F.coalesce(named(tokens), F.array().cast(column) if of_ids else F.lit(""))
+    long = F.size(t).cast("long") * width if of_ids else F.octet_length(t).cast("long")
+    rows = df.select(named(key).alias("id"), t.alias("t"), long.alias("bytes"))
+    rows = rows.select("id", "t", "bytes", F.xxhash64("id", "t", F.lit(1)).alias("a"), F.xxhash64("t", "id", F.lit(2)).alias("b"))
+    n = F.expr(f"bytes div {size}") + 1  # with room for one end mark
+    sizes = saved(rows.drop("t").groupBy("a", "b").agg(F.first("id").alias("id"), F.first("bytes").alias("bytes"), F.count(F.lit(1)).alias("copies")).withColumn("n", n), "sizes")
+    places, total = numbered(sizes)
+    id_type = rows.schema["id"]
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press = zstandard.ZstdCompressor(level=3)
+        for part in slices(batches):
+            raw = [np.array(x, np.int64).astype(KINDS[width]).tobytes() for x in part.column(1).to_pylist()] if of_ids else utf8(part.column(1))
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), part.column(3), pa.array([press.compress(x) for x in raw], pa.binary())], names=["id", "a", "b", "z"])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpress = zstandard.ZstdDecompressor()
+        for part in slices(batches, 16):
+            for i, z, first, begin, copies in zip(part.column(0), *[part.column(k).to_pylist() for k in range(1, 5)], strict=True):
+                raw = unpress.decompress(z)
+                pieces = [raw[at : at + size] for at in range(0, len(raw) + 1, size)]
+                if len(raw) % size == 0:
+                    pieces[-1:] = [b""]
+                n = len(pieces)
+                for copy in range(begin, min(begin + COPIES, copies)):
+                    for at in range(0, n, 4096):
+                        some = pieces[at : at + 4096]
+                        index = np.arange(first + copy * n + at, first + copy * n + at + len(some))
+                        yield pa.RecordBatch.from_arrays(
+                            [
+                                pa.array(permuted(index, total, seed)), pa.array([i.as_py()] * len(some), part.column(0).type), pa.array(np.arange(at, at + len(some), dtype=np.int32)),
+                                pa.array([len(x) // width for x in some], pa.int32()), pa.array([x.ljust(size, b"\xff") for x in some], pa.binary()),
+                            ],
+                            names=["slot", "id", "part", "n_tokens", "tokens"],
+                        )
+
+    small = T.StructType([id_type, *[T.StructField(c, T.LongType()) for c in "ab"], T.StructField("z", T.BinaryType())])
+    texts = rows.select("id", "t", "a", "b").mapInArrow(packed, small).groupBy("a", "b").agg(F.first("id").alias("id"), F.first("z").alias("z"))
+    met = texts.join(places.hint("merge"), ["a", "b"]).select("id", "z", "first", F.lit(0).cast("long").alias("begin"), "copies")
+    schema = T.StructType([T.StructField("slot", T.LongType()), id_type, T.StructField("part", T.IntegerType()), T.StructField("n_tokens", T.IntegerType()), T.StructField("tokens", T.BinaryType())])
+    made = met.mapInArrow(cut, schema)
+    if sizes.where(F.col("copies") > COPIES).limit(1).count():  # further copies of rows that are very often there, a run of them a task
+        more = met.where(F.col("copies") > COPIES).withColumn("begin", F.explode(F.sequence(F.lit(COPIES).cast("long"), F.col("copies") - 1, F.lit(COPIES).cast("long"))))
+        made = made.unionByName(more.repartition("first", "begin").mapInArrow(cut, schema))
+    return made, total
 
 
 def write_shards(rows: DataFrame, total: int, path: str, stride: int = STRIDE) -> None:
@@ -117,9 +148,11 @@ def read_from(spark: SparkSession, path: str, slot: int = 0, stride: int = STRID
     return rows.where((F.col("shard") > slot // stride) | ((F.col("shard") == slot // stride) & (F.col("row") >= slot % stride)))
 
 
-def materialised(df: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, stride: int = STRIDE, seed: int = 20_240_601) -> tuple[str, int]:
+def materialised(
+    df: DataFrame, key: str = "doc_id", tokens: str = "text", length: int = LENGTH, stride: int = STRIDE, seed: int = 20_240_601, width: int = 1
+) -> tuple[str, int]:
     """Writes all sequences of df to new shards in the shared folder; returns their path and number."""
-    rows, total = sequences(df, key, text, length, seed)
+    rows, total = sequences(df, key, tokens, length, seed, width)
     path = f"{shared_dir(df.sparkSession)}/training-{uuid.uuid4().hex}"
     write_shards(rows, total, path, stride)
     return path, total

@@ -50,6 +50,44 @@ def test_training_order_holds_every_byte_once(spark, docs, odd):
         assert later.count() == total - total // 2
 
 
+def brute_order(rows, length, seed=20_240_601):
+    """{slot: (id, part, tokens)} of a table of one block and distinct ids: numbered in order of id, nulls first."""
+    made = []
+    for i, t in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0)):
+        made += [(i, k, t[k * length : (k + 1) * length]) for k in range(len(t) // length + 1)]
+    slots = training_order.permuted(np.arange(len(made)), len(made), seed)
+    return {int(s): m for s, m in zip(slots, made, strict=True)}
+
+
+def test_training_order_gives_each_sequence_its_slot(spark, docs, small):
+    path, _ = training_order.materialised(docs, length=256, stride=32)
+    got = {r["slot"]: (r["id"], r["part"], bytes(r["tokens"])[: r["n_tokens"]]) for r in training_order.read_from(spark, path, stride=32).collect()}
+    assert got == brute_order([(i, t.encode()) for i, t in texts(docs)], 256)
+
+
+def test_training_order_of_token_ids(spark, docs):
+    """The ids that op7 makes, two bytes each."""
+    coded = bpe.encode(docs, *vocabulary(), offsets=False).select("doc_id", "ids")
+    path, total = training_order.materialised(coded, tokens="ids", length=128, stride=16, width=2)
+    rows = training_order.read_from(spark, path, stride=16).collect()
+    assert len(rows) == total and {len(r["tokens"]) for r in rows} == {256}
+    want = brute_order([(r["doc_id"], list(r["ids"])) for r in coded.collect()], 128)
+    assert {r["slot"]: (r["id"], r["part"], np.frombuffer(r["tokens"], "<u2")[: r["n_tokens"]].tolist()) for r in rows} == want
+    assert all(set(np.frombuffer(r["tokens"], "<u2")[r["n_tokens"] :].tolist()) <= {65535} for r in rows)
+
+
+def test_training_order_of_ties_copies_and_many_blocks(spark, monkeypatch):
+    """Unequal texts of one id and length, rows that occur more often than one task cuts, null ids, blocks of a few documents."""
+    monkeypatch.setattr(training_order, "BLOCK_DOCS", 3)
+    monkeypatch.setattr(training_order, "GROUP_BLOCKS", 2)
+    rows = [(1, f"text {k:03d} " * 9) for k in range(20)] + [(None, f"null {k}") for k in range(20)] + [(2, "again")] * 2500 + [(3, "x" * 64)]
+    path, total = training_order.materialised(spark.createDataFrame(rows, "doc_id long, text string"), length=64, stride=100)
+    got = training_order.read_from(spark, path, stride=100).collect()
+    assert sorted(r["slot"] for r in got) == list(range(total))
+    whole = collections.Counter((i, t.encode()[k : k + 64]) for i, t in rows for k in range(0, len(t) + 1, 64))
+    assert collections.Counter((r["id"], bytes(r["tokens"])[: r["n_tokens"]]) for r in got) == whole
+
+
 def test_training_order_of_nothing(empty):
     assert training_order.report(empty).count() == 0
 
