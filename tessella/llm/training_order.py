@@ -37,6 +37,8 @@ ROUNDS = 6
 BLOCK_DOCS, GROUP_BLOCKS = 20_000, 1_000
 #: Copies of one row that one task cuts, at most; more are dealt out again.
 COPIES = 1_000
+#: Sequences that a task hands on at a time.
+ROWS = 1_024
 KINDS = {1: np.uint8, 2: np.uint16, 4: np.uint32}
 
 
@@ -102,24 +104,32 @@ def sequences(
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpress = zstandard.ZstdDecompressor()
-        for part in slices(batches, 16):
-            for i, z, first, begin, copies in zip(part.column(0), *[part.column(k).to_pylist() for k in range(1, 5)], strict=True):
+
+        def made(ids: list, index: list[np.ndarray], parts: list[np.ndarray], pieces: list[bytes], kind: pa.DataType) -> pa.RecordBatch:
+            columns = [
+                pa.array(permuted(np.concatenate(index), total, seed)), pa.array(ids, kind), pa.array(np.concatenate(parts), pa.int32()),
+                pa.array([len(x) // width for x in pieces], pa.int32()), pa.array([x.ljust(size, b"\xff") for x in pieces], pa.binary()),
+            ]
+            return pa.RecordBatch.from_arrays(columns, names=["slot", "id", "part", "n_tokens", "tokens"])
+
+        for part in slices(batches):
+            kind = part.column(0).type
+            ids, index, parts, out = [], [], [], []
+            for i, z, first, begin, copies in zip(*[part.column(k).to_pylist() for k in range(5)], strict=True):
                 raw = unpress.decompress(z)
-                pieces = [raw[at : at + size] for at in range(0, len(raw) + 1, size)]
-                if len(raw) % size == 0:
-                    pieces[-1:] = [b""]
-                n = len(pieces)
+                n = len(raw) // size + 1
                 for copy in range(begin, min(begin + COPIES, copies)):
-                    for at in range(0, n, 4096):
-                        some = pieces[at : at + 4096]
-                        index = np.arange(first + copy * n + at, first + copy * n + at + len(some))
-                        yield pa.RecordBatch.from_arrays(
-                            [
-                                pa.array(permuted(index, total, seed)), pa.array([i.as_py()] * len(some), part.column(0).type), pa.array(np.arange(at, at + len(some), dtype=np.int32)),
-                                pa.array([len(x) // width for x in some], pa.int32()), pa.array([x.ljust(size, b"\xff") for x in some], pa.binary()),
-                            ],
-                            names=["slot", "id", "part", "n_tokens", "tokens"],
-                        )
+                    for at in range(0, n, ROWS):
+                        some = [raw[k * size : (k + 1) * size] for k in range(at, min(at + ROWS, n))]
+                        ids += [i] * len(some)
+                        parts.append(np.arange(at, at + len(some)))
+                        index.append(parts[-1] + first + copy * n)
+                        out += some
+                        if len(out) >= ROWS:
+                            yield made(ids, index, parts, out, kind)
+                            ids, index, parts, out = [], [], [], []
+            if out:
+                yield made(ids, index, parts, out, kind)
 
     small = T.StructType([id_type, *[T.StructField(c, T.LongType()) for c in "ab"], T.StructField("z", T.BinaryType())])
     texts = rows.select("id", "t", "a", "b").mapInArrow(packed, small).groupBy("a", "b").agg(F.first("id").alias("id"), F.first("z").alias("z"))
