@@ -37,11 +37,19 @@ def nearest_seed(df: DataFrame, seeds: list[tuple[float, float]]) -> DataFrame:
 
 
 def lookup(df: DataFrame, dimension: DataFrame, key: str, value: str, default: Column) -> DataFrame:
-    """df with value from a dimension table, or the default; Spark broadcasts the side if its measured size allows."""
-    return df.join(dimension.select(key, value), key, "left").withColumn(value, F.coalesce(F.col(value), default))
+    """df with value from a dimension table, or the default; Spark broadcasts the side if its measured size allows. Of several
+    values of a key the least counts, so no row is repeated."""
+    one = dimension.groupBy(key).agg(F.min(value).alias(value))
+    return df.join(one, key, "left").withColumn(value, F.coalesce(F.col(value), default))
 
 
-def updated(df: DataFrame, changes: DataFrame, key: str, value: str) -> DataFrame:
-    """df with value replaced where changes has the key."""
-    new = changes.select(key, F.col(value).alias("_new"))
+def last_changes(changes: DataFrame, by: list[str], value: str, version: str | None = None) -> DataFrame:
+    """(by..., value): one change of each key, that of the highest version, of equal versions or without any the greatest value."""
+    best = F.max(F.struct(*([version] if version else []), value))
+    return changes.groupBy(*by).agg(best.alias("_best")).select(*by, F.col(f"_best.{value}").alias(value))
+
+
+def updated(df: DataFrame, changes: DataFrame, key: str, value: str, version: str | None = None) -> DataFrame:
+    """df with value replaced where changes has the key; repeated changes do not repeat rows, see last_changes."""
+    new = last_changes(changes, [key], value, version).withColumnRenamed(value, "_new")
     return df.join(new, key, "left").withColumn(value, F.coalesce("_new", value)).drop("_new")

@@ -7,8 +7,13 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessella.functions import keys
+from tessella.functions.grid import GridSpec, valid
+from tessella.operators.joins import last_changes
+from tessella.operators.select import with_keys
+from tessella.sources.shared import removed, shared_dir
 
 #: Folders and sort of each layout: (partition columns, sort columns).
 LAYOUTS = {
@@ -68,24 +73,77 @@ class Catalog:
         return cls(spark.read.schema("group_id string, n_objects long, n_buckets long").json(path))
 
 
+def append(df: DataFrame, path: str, layout: str, spec: GridSpec, enum: dict[str, int], buckets: int = 1) -> None:
+    """Adds new objects (object_id, group_id, x, y, class_label, ...) to a stored layout: rows without finite coordinates are
+    rejected, keys and buckets computed, the new files sorted like the others. Existing files are not touched."""
+    folders, sort = LAYOUTS[layout]
+    keyed = with_keys(valid(df), spec, enum, buckets)
+    if layout == "two_level_z":
+        keyed = keyed.withColumn("z_bucket", keys.bucket_column(F.col("z_key"), buckets, spec.order))
+    stored = df.sparkSession.read.parquet(path)
+    keyed = keyed.select(*[F.col(f.name).cast(f.dataType) if f.name in keyed.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in stored.schema.fields])
+    if folders or sort:
+        keyed = keyed.repartitionByRange(*folders, *(sort or ["object_id"])).sortWithinPartitions(*folders, *sort)
+    writer = keyed.write.mode("append")
+    (writer.partitionBy(*folders) if folders else writer).parquet(path)
+    df.sparkSession.catalog.refreshByPath(path)
+
+
 def replace_partitions(spark: SparkSession, new: DataFrame, path: str, folders: list[str]) -> None:
-    """Replaces the folders that new has rows for, and no others. New rows are staged first, as they usually come from the same files."""
+    """Replaces the folders that new has rows for, and no others. New rows are staged first, as they usually come from the same
+    files, and the stage is removed at the end. A job that dies while folders are exchanged can be run again from its stage, which is
+    then still there."""
     staged = f"{path.rstrip('/')}.staged-{uuid.uuid4().hex}"
     new.write.parquet(staged)
-    rows = spark.read.parquet(staged)
+    rows = spark.read.schema(new.schema).parquet(staged)
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*folders).parquet(path)
+    removed(spark, staged)
+    spark.catalog.refreshByPath(path)
 
 
-def update_classes(spark: SparkSession, path: str, changes: DataFrame, enum: dict[str, int], folders: list[str] = ["group_id", "bucket"]) -> None:  # noqa: B006
-    """Point updates of classes (group_id, bucket, object_id, class_label): only the folders they touch are rewritten, composite keys too."""
+def update_classes(spark: SparkSession, path: str, changes: DataFrame, enum: dict[str, int], folders: list[str] = ["group_id", "bucket"], version: str | None = None) -> None:  # noqa: B006
+    """Point updates of classes (group_id, bucket, object_id, class_label): only the folders they touch are rewritten, composite
+    keys too. Of several changes of one object last_changes tells which counts."""
     table = spark.read.parquet(path)
-    touched = table.join(changes.select(*folders).distinct(), folders, "left_semi")
-    met = touched.join(changes.select("object_id", F.col("class_label").alias("_new")), "object_id", "left")
-    label = F.coalesce("_new", "class_label")
-    new = met.withColumn("class_label", label).withColumn("c_key", keys.composite(keys.class_code(F.col("class_label"), enum), F.col("h_key"))).drop("_new")
+    by = [*folders, "object_id"]
+    one = last_changes(changes, by, "class_label", version).withColumnRenamed("class_label", "_new")
+    touched = table.join(one.select(*folders).distinct(), folders, "left_semi")
+    met = touched.join(one, by, "left")
+    new = met.withColumn("class_label", F.coalesce("_new", "class_label"))
+    new = new.withColumn("c_key", F.when(F.col("_new").isNull(), F.col("c_key")).otherwise(keys.composite(keys.class_code(F.col("class_label"), enum), keys.composite_low(F.col("c_key")))))
     replace_partitions(spark, new.select(*table.columns), path, folders)
 
 
+@dataclass
+class Stored:
+    """A layout in the shared folder: where it is, its rows, classes and number of objects."""
+
+    path: str
+    schema: T.StructType
+    enum: dict[str, int]
+    n_objects: int
+
+    def read(self, spark: SparkSession) -> DataFrame:
+        return spark.read.schema(self.schema).parquet(self.path)
+
+
+#: What this process has written with kept(), by session, source, layout and name.
+_WRITTEN: dict[tuple, Stored] = {}
+
+
+def kept(spark: SparkSession, source: str, layout: str, name: str, objects, spec: GridSpec, buckets: int = 1, **options) -> Stored:
+    """A layout in the shared folder, written from objects() on first use and read by all queries after it."""
+    key = (spark.sparkContext.applicationId, source, layout, name)
+    if key not in _WRITTEN:
+        path = f"{shared_dir(spark)}/{name}-{layout}-{uuid.uuid4().hex}"
+        df = objects()
+        enum = {r["class_label"]: r["code"] for r in keys.class_enum(df).collect()}  # one row per class
+        write(with_keys(df, spec, enum, buckets), path, layout, order=spec.order, buckets=buckets, **options)
+        rows = spark.read.parquet(path)
+        _WRITTEN[key] = Stored(path, rows.schema, enum, rows.count())
+    return _WRITTEN[key]
+
+
 def split_bucket(spark: SparkSession, path: str, group: str, bucket: int, first_new: int, low: int, high: int) -> None:
     """Splits a stored bucket of keys [low, high) at their middle: the upper half moves to the bucket first_new, a new folder; no other folder changes."""
     table = spark.read.parquet(path).where((F.col("group_id") == group) & (F.col("bucket") == bucket))

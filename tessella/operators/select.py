@@ -3,6 +3,7 @@ unless a covering answer is asked for."""
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -20,11 +21,25 @@ def in_rect(rect: Rect, x: str = "x", y: str = "y") -> Column:
     return F.col(x).between(rect[0], rect[2]) & F.col(y).between(rect[1], rect[3])
 
 
+def place_among(points: list, k: Column) -> Column:
+    """How many of the sorted points are at most k, by halving: as many comparisons as their number has bits."""
+    if not points:
+        return F.lit(0)
+    mid = len(points) // 2
+    return F.when(k < points[mid], place_among(points[:mid], k)).otherwise(place_among(points[mid + 1 :], k) + (mid + 1))
+
+
 def in_ranges(key: str, found: R.Ranges, stored: bool = True) -> Column:
     """In one of the half-open intervals; no interval, no row. For a stored key these are plain comparisons, which reach the
-    Parquet scan; for one computed in the same query they refer to it once, as a filter's terms would each repeat it."""
-    any_of = lambda k: reduce(lambda a, b: a | b, [(k >= low) & (k < high) for low, high in found], F.lit(False))
-    return any_of(F.col(key)) if stored else F.element_at(F.transform(F.array(F.col(key)), any_of), 1)
+    Parquet scan; for one computed in the same query they refer to it once, as a filter's terms would each repeat it, and
+    halve the intervals' ends: a key is inside if an odd number of ends is at most the key."""
+    if not found:
+        return F.lit(False)
+    if stored:
+        whole = (F.col(key) >= found[0][0]) & (F.col(key) < found[-1][1])
+        return whole & reduce(lambda a, b: a | b, [(F.col(key) >= low) & (F.col(key) < high) for low, high in found])
+    ends = [e for interval in found for e in interval]
+    return F.element_at(F.transform(F.array(F.col(key)), lambda k: place_among(ends, k) % 2 == 1), 1)
 
 
 def viewport(df: DataFrame, rect: Rect, group: str | None = None, classes: list[str] | None = None) -> DataFrame:
@@ -48,9 +63,10 @@ def covering(df: DataFrame, spec: GridSpec, rect: Rect, classes: list[str], enum
     with other classes of an unknown class's code."""
     codes = sorted({enum.get(c, len(enum)) for c in classes})
     found = R.composite_ranges(R.key_ranges(spec, rect, cap=cap, order=order), codes)
-    out = df.where(in_ranges("c_key", found, stored))
-    out = out if group is None else out.where(F.col("group_id") == group)
-    return out.where(in_rect(rect) & F.col("class_label").isin(classes)) if exact else out
+    out = df if group is None else df.where(F.col("group_id") == group)
+    if exact:  # the plain tests first: keys that are not stored are then computed for few rows
+        out = out.where(in_rect(rect) & F.col("class_label").isin(classes))
+    return out.where(in_ranges("c_key", found, stored))
 
 
 def false_positives(cover: DataFrame, rect: Rect) -> DataFrame:
@@ -72,17 +88,22 @@ def knn(df: DataFrame, x: float, y: float, k: int, group: str | None = None, squ
     return out.select("object_id", distance(x, y, squared).alias(name)).orderBy(name, "object_id").limit(k)
 
 
-def knn_rings(df: DataFrame, spec: GridSpec, x: float, y: float, k: int, group: str | None = None, first: int = 1, stored: bool = True) -> DataFrame:
-    """knn over growing squares of cells, by key ranges: stops once k points lie within the square's half side. A point
-    outside the grid is searched plainly, as its distance to clamped cells is not bounded by rings."""
+def first_ring(spec: GridSpec, k: int, n: int) -> int:
+    """The half side in cells of a square that would hold 2 k of n points spread evenly over the grid."""
+    return max(1, math.ceil(math.sqrt(2 * k / max(n, 1)) * spec.n / 2))
+
+
+def knn_rings(df: DataFrame, spec: GridSpec, x: float, y: float, k: int, group: str | None = None, first: int = 1, stored: bool = True, buckets: int | None = None) -> DataFrame:
+    """knn over growing squares of cells, by key ranges and buckets: stops once k points lie within the square's half side; first_ring
+    gives a first square that seldom needs a second. A point outside the grid is searched plainly, as its distance to clamped cells is not
+    bounded by rings."""
     if not (spec.x_origin <= x <= spec.x_origin + spec.width and spec.y_origin <= y <= spec.y_origin + spec.height):
         return knn(df, x, y, k, group)
     radius = first
     while 2 * radius < spec.n:
-        side = radius * min(spec.width, spec.height) / spec.n
-        rect = (x - side, y - side, x + side, y + side)
-        near = viewport_pruned(df, spec, rect, group, stored=stored)
-        if near.where(distance(x, y) <= side).limit(k).count() == k:
+        across, up = radius * spec.width / spec.n, radius * spec.height / spec.n
+        near = viewport_pruned(df, spec, (x - across, y - up, x + across, y + up), group, buckets=buckets, stored=stored)
+        if near.where(distance(x, y) <= min(across, up)).limit(k).count() == k:
             return knn(near, x, y, k)
         radius *= 2
     return knn(df, x, y, k, group)

@@ -4,27 +4,24 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessella.functions.curves import with_hilbert
 from tessella.functions.grid import GridSpec
+from tessella.functions.keys import composite
+from tessella.operators.aggregate import ks_uniform
 from tessella.plans.ranges import Ranges, key_ranges
 
 KNOTS = 1025
 
 
-def train(df: DataFrame, knots: int = KNOTS) -> DataFrame:
-    """(group_id, xs, ys): exact quantiles of each axis, linearly interpolated. percentile() counts distinct values, so its
-    memory grows with them; use train_approx on very large groups."""
+def train(df: DataFrame, knots: int = KNOTS, accuracy: int = 10_000) -> DataFrame:
+    """(group_id, xs, ys, n): quantiles of each axis, linearly interpolated, by summaries of bounded size. Ranges and keys use the same
+    knots, so an approximate knot moves cells, not answers."""
     p = [i / (knots - 1) for i in range(knots)]
-    return df.groupBy("group_id").agg(F.percentile("x", p).alias("xs"), F.percentile("y", p).alias("ys"))
-
-
-def train_approx(df: DataFrame, knots: int = KNOTS, accuracy: int = 10_000) -> DataFrame:
-    """The same by bounded-size quantile summaries."""
-    p = [i / (knots - 1) for i in range(knots)]
-    return df.groupBy("group_id").agg(F.percentile_approx("x", p, accuracy).alias("xs"), F.percentile_approx("y", p, accuracy).alias("ys"))
+    return df.groupBy("group_id").agg(F.percentile_approx("x", p, accuracy).alias("xs"), F.percentile_approx("y", p, accuracy).alias("ys"), F.count(F.lit(1)).alias("n"))
 
 
 def transform(v: float, knots: list[float]) -> float:
@@ -32,32 +29,30 @@ def transform(v: float, knots: list[float]) -> float:
     return float(np.interp(v, knots, np.linspace(0, 1, len(knots))))
 
 
-#: Groups whose knots are broadcast, 16 KB each; beyond, the knots travel with the rows of their group.
-BROADCAST_GROUPS = 2_000
-
+#: Rows of one group that meet its knots in one task, about.
+PART_ROWS = 100_000
 
-def with_learned_key(df: DataFrame, model: DataFrame, order: int = 8, out: str = "l_key") -> DataFrame:
-    """df with u, v (the mapped coordinates) and the key; rows of groups without a model are left out."""
-    known = model.limit(BROADCAST_GROUPS + 1).collect()
-    if len(known) <= BROADCAST_GROUPS:
-        table = {r["group_id"]: {"x": np.array(r["xs"]), "y": np.array(r["ys"])} for r in known}
 
-        def mapper(axis: str):
-            def mapped(value: pd.Series, group: pd.Series) -> pd.Series:
-                result = np.empty(len(value))
-                for name, rows in pd.Series(range(len(value))).groupby(group.to_numpy()):
-                    knots = table[name][axis]
-                    result[rows] = np.interp(value.iloc[rows], knots, np.linspace(0, 1, len(knots)))
-                return pd.Series(result)
+def with_learned_key(df: DataFrame, model: DataFrame, order: int = 8, out: str = "l_key", class_code: Column | None = None) -> DataFrame:
+    """df with u, v (the mapped coordinates) and the key; rows of groups without a model are left out. A group's rows are dealt to
+    parts and its knots to each of them, whatever the number of groups. With a class code also lc_key, the composite learned key."""
+    parts = F.ceil(F.col("n") / PART_ROWS).cast("int")
+    own = model.select(F.col("group_id").alias("_g"), "xs", "ys", parts.alias("_parts"))
+    dealt = df.join(own.select("_g", "_parts"), F.col("group_id") == F.col("_g"))
+    dealt = dealt.withColumn("_part", F.pmod(F.xxhash64("x", "y"), F.col("_parts")).cast("int")).drop("_parts", "_g")
+    knots = own.select(F.col("_g").alias("_of"), "xs", "ys", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_at"))
+    schema = T.StructType([*dealt.schema.fields, T.StructField("u", T.DoubleType()), T.StructField("v", T.DoubleType())])
 
-            return F.pandas_udf(mapped, "double")(axis, "group_id")
+    def mapped(rows: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+        if not len(rows) or not len(known):
+            return rows.iloc[:0].assign(u=pd.Series(dtype=float), v=pd.Series(dtype=float))
+        on = lambda axis, c: np.interp(rows[axis].astype(float), known[c].iloc[0], np.linspace(0, 1, len(known[c].iloc[0])))
+        return rows.assign(u=on("x", "xs"), v=on("y", "ys"))
 
-        met = df.where(F.col("group_id").isin(list(table))).withColumns({"u": mapper("x"), "v": mapper("y")})
-    else:
-        each = F.pandas_udf(lambda value, knots: pd.Series([transform(v, k) for v, k in zip(value, knots, strict=True)]), "double")
-        met = df.join(model, "group_id").withColumns({"u": each("x", "xs"), "v": each("y", "ys")}).drop("xs", "ys")
+    met = dealt.groupBy("group_id", "_part").cogroup(knots.groupBy("_of", "_at")).applyInPandas(mapped, schema).drop("_part")
     cx, cy = GridSpec(1.0, 1.0, order).columns(F.col("u"), F.col("v"))
-    return with_hilbert(met, cx, cy, order, out)
+    keyed = with_hilbert(met, cx, cy, order, out)
+    return keyed if class_code is None else keyed.withColumn("lc_key", composite(class_code, F.col(out)))
 
 
 def learned_ranges(rect: tuple[float, float, float, float], xs: list[float], ys: list[float], order: int = 8, cap: int = 64) -> Ranges:
@@ -66,7 +61,11 @@ def learned_ranges(rect: tuple[float, float, float, float], xs: list[float], ys:
 
 
 def staleness(df: DataFrame, model: DataFrame) -> DataFrame:
-    """Per group the share of new points outside the learned range."""
+    """Per group the share of new points outside the learned range, and the largest gap (Kolmogorov-Smirnov) between each mapped
+    axis and the uniform distribution that it had when the model was trained."""
     met = df.join(model.select("group_id", F.col("xs")[0].alias("x0"), F.element_at("xs", -1).alias("x1"), F.col("ys")[0].alias("y0"), F.element_at("ys", -1).alias("y1")), "group_id")
     outside = (F.col("x") < F.col("x0")) | (F.col("x") > F.col("x1")) | (F.col("y") < F.col("y0")) | (F.col("y") > F.col("y1"))
-    return met.groupBy("group_id").agg(F.round(F.avg(outside.cast("double")), 6).alias("clipped"))
+    clipped = met.groupBy("group_id").agg(F.round(F.avg(outside.cast("double")), 6).alias("clipped"))
+    mapped = with_learned_key(df.select("group_id", "x", "y"), model)
+    gaps = ks_uniform(mapped, "u").withColumnRenamed("ks", "ks_x").join(ks_uniform(mapped, "v").withColumnRenamed("ks", "ks_y"), "group_id")
+    return clipped.join(gaps, "group_id")

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
 
 #: Curve constants, published fits.
 CURVE = {"hilbert": 2.0, "morton": 3.2}
@@ -34,56 +33,6 @@ def false_positive_bound(fraction: float, order: int) -> float:
     return 4 / (math.sqrt(fraction) * (1 << order))
 
 
-def index_depth(n: float, fanout: int = 100) -> int:
-    return max(1, math.ceil(math.log(max(n, 2), fanout)))
-
-
-def pages(n: float, row_bytes: int = 100, page: int = 8192) -> int:
-    return max(1, math.ceil(n * row_bytes / page))
-
-
-@dataclass(frozen=True)
-class Hardware:
-    random_ms: float = 0.1
-    sequential_ms: float = 0.01
-    hit_ratio: float = 0.95
-    per_partition_ms: float = 0.05
-
-    def ms(self, random: float, sequential: float) -> float:
-        miss = 1 - self.hit_ratio
-        return miss * (random * self.random_ms + sequential * self.sequential_ms)
-
-
-@dataclass(frozen=True)
-class ViewportCost:
-    """Cost of a rectangle on one group of n objects, by layout."""
-
-    n: int
-    groups: int = 1
-    target: int = 50_000
-    hardware: Hardware = Hardware()
-
-    def of(self, layout: str, fraction: float) -> float:
-        h, hits = self.hardware, fraction * self.n
-        if layout == "mono":
-            return h.ms(index_depth(self.n * self.groups) + pages(hits) * 2, pages(hits))
-        if layout == "mono_clustered":
-            return h.ms(index_depth(self.n * self.groups), pages(hits) * 1.5)
-        if layout == "grouped":
-            return h.ms(index_depth(self.n) + pages(hits), pages(hits)) + h.per_partition_ms
-        if layout == "grouped_clustered":
-            return h.ms(2, pages(hits) * 1.5) + h.per_partition_ms
-        if layout in ("two_level", "two_level_z"):
-            b = max(1, self.n // self.target)
-            met = expected_buckets(fraction, b, CURVE["hilbert" if layout == "two_level" else "morton"])
-            return h.ms(met * index_depth(self.n / b), pages(met * self.n / b)) + h.per_partition_ms * met
-        raise ValueError(layout)
-
-    def table(self, fractions: list[float]) -> list[tuple[str, float, float]]:
-        names = ["mono", "mono_clustered", "grouped", "grouped_clustered", "two_level", "two_level_z"]
-        return [(name, f, self.of(name, f)) for name in names for f in fractions]
-
-
 def bucket_cost(target: float, n: int, fraction: float, alpha: float = 0.05, per_object: float = 2e-5, c: float = CALIBRATED) -> float:
     """Milliseconds at a bucket size: overhead of the buckets met and objects read in them."""
     b = max(1.0, n / target)
@@ -177,9 +126,3 @@ def compare_allocations(counts: dict[str, int], budget: int) -> list[tuple[str,
     total = sum(counts.values()) or 1
     plans = {"optimal": allocate(counts, budget), "uniform": allocate_uniform(counts, budget), "proportional": allocate_proportional(counts, budget)}
     return [(k, sum(p.values()), sum(counts[g] / total * workload_cost(counts[g], b) for g, b in p.items())) for k, p in plans.items()]
-
-
-def covering_speedup(n: int, fraction: float, selectivity: float, fat_row: int = 200, thin_row: int = 40) -> float:
-    """Pages of a rectangle read from full rows and then filtered by class, over pages of the class's own key range in narrow rows."""
-    full, thin = pages(fraction * n, fat_row) + index_depth(n), pages(fraction * n * selectivity, thin_row) + index_depth(n)
-    return full / thin

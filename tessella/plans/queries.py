@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions import curves, keys
 from tessella.functions.grid import GridSpec
-from tessella.operators import aggregate, joins, labels, select
+from tessella.operators import aggregate, joins, labels, layout, select
 from tessella.plans import learned
 from tessella.plans import ranges as R
 from tessella.streaming import monitor
@@ -108,6 +108,17 @@ def viewport_morton(spark, d):
     return select.viewport_pruned(keyed(events(spark, d), EVENTS, {}), EVENTS, RECT, "g0", curve="morton", stored=False).select(*SHOWN)
 
 
+def stored_events(spark, d, kind: str = "two_level") -> layout.Stored:
+    """The events as a stored layout, written once in a session; queries then read folders, files and row groups that can matter."""
+    return layout.kept(spark, d, kind, "events", lambda: events(spark, d), EVENTS, BUCKETS)
+
+
+@query(VIEWPORT)
+def viewport_stored(spark, d):
+    """By bucket folders and pushed key ranges."""
+    return select.viewport_pruned(stored_events(spark, d).read(spark), EVENTS, RECT, "g0", buckets=BUCKETS).select(*SHOWN)
+
+
 @query(f"SELECT count(*) AS n FROM {LINES_SQL} WHERE group_id = 'A' AND {between(LINE_RECT)}")
 def viewport_count(spark, d):
     return select.viewport(lines(spark, d), LINE_RECT, "A").agg(F.count(F.lit(1)).alias("n"))
@@ -131,6 +142,13 @@ def covering_exact(spark, d):
     return select.covering(keyed(df, EVENTS, enum), EVENTS, WIDE, ["click", "purchase"], enum, "g1", stored=False).select(*SHOWN)
 
 
+@query(f"SELECT object_id, x, y, class_label FROM {EVENTS_SQL} WHERE group_id = 'g1' AND class_label IN ('click', 'purchase') AND {between(WIDE)}")
+def covering_stored(spark, d):
+    """By pushed ranges of the composite key over narrow rows sorted by it."""
+    kept = stored_events(spark, d, "covering")
+    return select.covering(kept.read(spark), EVENTS, WIDE, ["click", "purchase"], kept.enum, "g1").select(*SHOWN)
+
+
 COVER_CELLS = " OR ".join(f"(h BETWEEN {a} AND {b - 1})" for a, b in R.key_ranges(EVENTS, WIDE))
 
 
@@ -198,6 +216,14 @@ def knn_rings(spark, d):
     return select.knn_rings(keyed(embed(spark, d), EMBED, {}), EMBED, 0.02, -0.01, 25, stored=False).withColumn("dist", F.round("dist", 9))
 
 
+@query(f"SELECT object_id, round(dist, 9) AS dist FROM (SELECT object_id, {EMBED_KNN} AS dist FROM {EMBED_SQL} ORDER BY dist, object_id LIMIT 25)")
+def knn_rings_stored(spark, d):
+    """Rings over a stored layout; the first is sized by the catalog's number of objects."""
+    kept = layout.kept(spark, d, "two_level", "embed", lambda: embed(spark, d), EMBED, BUCKETS)
+    first = select.first_ring(EMBED, 25, kept.n_objects)
+    return select.knn_rings(kept.read(spark), EMBED, 0.02, -0.01, 25, first=first, buckets=BUCKETS).withColumn("dist", F.round("dist", 9))
+
+
 TILE = "CAST(CAST(floor(x / 256) AS BIGINT) AS VARCHAR) || '_' || CAST(CAST(floor(y / 256) AS BIGINT) AS VARCHAR)"
 
 
@@ -255,7 +281,7 @@ def morton_encode(spark, d):
     return keyed(embed(spark, d), EMBED, {}).select("object_id", "z_key")
 
 
-@query(f"""SELECT object_id, (({MORTON_BITS}) & 1431655765) * 0 + cx AS cell_x, cy AS cell_y FROM (SELECT object_id, {_cell('x', -0.5, 1.0)} AS cx, {_cell('y', -0.5, 1.0)} AS cy FROM {EMBED_SQL})""")
+@query(f"""SELECT object_id, cx AS cell_x, cy AS cell_y FROM (SELECT object_id, {_cell('x', -0.5, 1.0)} AS cx, {_cell('y', -0.5, 1.0)} AS cy FROM {EMBED_SQL})""")
 def morton_decode_roundtrip(spark, d):
     cx, cy = curves.morton_cell(F.col("z_key"))
     return keyed(embed(spark, d), EMBED, {}).select("object_id", cx.alias("cell_x"), cy.alias("cell_y"))
@@ -355,3 +381,98 @@ def learned_viewport(spark, d):
     m = model.first()
     found = learned.learned_ranges(EMBED_RECT, m["xs"], m["ys"])
     return learned.with_learned_key(df, model).where(select.in_ranges("l_key", found, stored=False) & select.in_rect(EMBED_RECT)).select(*SHOWN)
+
+
+@query(f"SELECT object_id, x, y, class_label FROM {EVENTS_SQL} WHERE group_id = 'g1' AND class_label = 'click' AND {between(WIDE)}")
+def covering_finer_order(spark, d):
+    """A cover walked on a finer grid than that of the stored keys."""
+    kept = stored_events(spark, d, "covering")
+    return select.covering(kept.read(spark), EVENTS, WIDE, ["click"], kept.enum, "g1", order=10).select(*SHOWN)
+
+
+CHANGED = "CASE WHEN object_id % 10 = 0 AND group_id = 'g0' THEN 'view' ELSE class_label END"
+CHANGED_CODES = f"(SELECT class_label AS l, row_number() OVER (ORDER BY count(*) DESC, class_label) - 1 AS code FROM {EVENTS_SQL} GROUP BY 1)"
+
+
+@query(f"{EVENT_KEYS} SELECT object_id, {CHANGED} AS class_label, (code << 48) | h AS c_key FROM walk JOIN {CHANGED_CODES} ON l = {CHANGED} WHERE s = 0")
+def update_classes(spark, d):
+    """Each tenth object of a group becomes a view, each change given twice: the folders they are in are rewritten."""
+    df = events(spark, d)
+    enum = enum_of(df)
+    path = f"{layout.shared_dir(spark)}/updated-{layout.uuid.uuid4().hex}"
+    layout.write(keyed(df, EVENTS, enum), path, "two_level")
+    hit = spark.read.parquet(path).where("group_id = 'g0' AND object_id % 10 = 0").select("group_id", "bucket", "object_id")
+    changes = hit.withColumn("class_label", F.explode(F.array(F.lit("click"), F.lit("view")))).withColumn("at", F.when(F.col("class_label") == "view", 2).otherwise(1))
+    layout.update_classes(spark, path, changes, enum, version="at")
+    return spark.read.parquet(path).select("object_id", "class_label", "c_key")
+
+
+@query(f"{EVENT_KEYS} SELECT object_id, group_id, CAST(h * {BUCKETS} // 65536 AS INTEGER) AS bucket, h AS h_key FROM walk WHERE s = 0")
+def append(spark, d):
+    """Half of the objects written as a layout, the others added to it."""
+    df = events(spark, d)
+    enum = enum_of(df)
+    path = f"{layout.shared_dir(spark)}/appended-{layout.uuid.uuid4().hex}"
+    layout.write(keyed(df.where("object_id % 2 = 0"), EVENTS, enum), path, "two_level")
+    layout.append(df.where("object_id % 2 = 1"), path, "two_level", EVENTS, enum, BUCKETS)
+    return spark.read.parquet(path).select("object_id", "group_id", "bucket", "h_key")
+
+
+@query(f"""SELECT group_id, n FROM (SELECT group_id, n, row_number() OVER (ORDER BY n DESC, group_id) - 1 AS pos, count(*) OVER () AS k
+FROM (SELECT group_id, count(*) AS n FROM {EVENTS_SQL} GROUP BY 1)) WHERE pos % greatest(1, k // 3) = 0 AND pos // greatest(1, k // 3) < 3""")
+def stride_sample(spark, d):
+    return aggregate.stride_sample(events(spark, d), 3)
+
+
+@query(f"SELECT group_id, round(max(x) * 1.05, 6) AS width, round(max(y) * 1.05, 6) AS height FROM {EVENTS_SQL} GROUP BY 1")
+def padded_dims(spark, d):
+    return aggregate.padded_dims(events(spark, d)).select("group_id", F.round("width", 6).alias("width"), F.round("height", 6).alias("height"))
+
+
+@query(f"SELECT class_label, list_extract(list_sort(list(y)), least(CAST(floor(count(*) * 0.95) AS BIGINT), count(*) - 1) + 1) AS q FROM {EVENTS_SQL} GROUP BY 1")
+def index_percentile(spark, d):
+    return aggregate.index_percentile(events(spark, d), ["class_label"], "y", 0.95)
+
+
+@query(f"SELECT object_id, x, y FROM {EVENTS_SQL} WHERE ((object_id + 7) % 2147483648 * 2654435761) % 4294967296 < 429496729")
+def stable_sample(spark, d):
+    """About a tenth of the objects; the sample is the feature."""
+    return aggregate.stable_sample(events(spark, d), 0.1, seed=7).select("object_id", "x", "y")
+
+
+INCLUSIVE = GridSpec(EVENTS.width, EVENTS.height, mode="inclusive")
+
+
+@query(f"""SELECT object_id, CAST(least(greatest(trunc(x / {EVENTS.width} * 255), 0), 255) AS BIGINT) AS cell_x,
+CAST(least(greatest(trunc(y / {EVENTS.height} * 255), 0), 255) AS BIGINT) AS cell_y FROM {EVENTS_SQL}""")
+def inclusive_cells(spark, d):
+    cx, cy = INCLUSIVE.columns(F.col("x"), F.col("y"))
+    return events(spark, d).select("object_id", cx.alias("cell_x"), cy.alias("cell_y"))
+
+
+MORTON_SWAPPED = " + ".join(f"(((cy >> {i}) & 1) << {2 * i + 1}) + (((cx >> {i}) & 1) << {2 * i})" for i in range(8))
+
+
+@query(f"SELECT object_id, {MORTON_SWAPPED} AS z_key FROM (SELECT object_id, {_cell('x', -0.5, 1.0)} AS cx, {_cell('y', -0.5, 1.0)} AS cy FROM {EMBED_SQL})")
+def morton_y_first(spark, d):
+    cx, cy = EMBED.columns(F.col("x"), F.col("y"))
+    return embed(spark, d).select("object_id", curves.morton_column(cx, cy, x_first=False).alias("z_key"))
+
+
+@query(f"""{EVENT_KEYS}, b AS (SELECT group_id, CAST(h * {BUCKETS} // 65536 AS INTEGER) AS bucket, count(*) AS n FROM walk WHERE s = 0 GROUP BY 1, 2),
+big AS (SELECT *, row_number() OVER (ORDER BY n DESC, group_id, bucket) AS pos FROM b)
+SELECT group_id, bucket, 'split' AS advice FROM big WHERE pos <= 10 AND n > 1.5 * (SELECT sum(n) / count(*) FROM b)""")
+def split_advice(spark, d):
+    """The hottest buckets, here those with most objects, that hold over one and a half times the mean."""
+    sized = keyed(events(spark, d), EVENTS, {}).withColumn("ms", F.lit(1.0)).select("group_id", "bucket", "ms")
+    hits = sized.groupBy("group_id", "bucket").agg(F.count(F.lit(1)).alias("hits"))
+    mean = hits.agg(F.sum("hits") / F.count(F.lit(1))).first()[0] or 0
+    return monitor.advice(sized, hits, mean, 10).where("advice = 'split'")
+
+
+@query(f"""SELECT a.object_id, CASE WHEN a.object_id % 7 = 0 THEN 'changed' ELSE a.class_label END AS class_label FROM {EVENTS_SQL} a""")
+def update_join(spark, d):
+    """New classes by a join; repeated changes of one object count once."""
+    df = events(spark, d)
+    changes = df.where("object_id % 7 = 0").select("object_id", F.explode(F.array(F.lit("changed"), F.lit("before"))).alias("class_label"))
+    return joins.updated(df, changes, "object_id", "class_label").select("object_id", "class_label")

@@ -7,6 +7,7 @@ outside is left; the work follows the rectangle's perimeter in cells.
 from __future__ import annotations
 
 import heapq
+from dataclasses import replace
 
 from tessella.functions.curves import hilbert, morton
 from tessella.functions.grid import GridSpec
@@ -24,7 +25,11 @@ def cells_of(spec: GridSpec, rect: tuple[float, float, float, float]) -> tuple[i
 
 def key_ranges(spec: GridSpec, rect: tuple[float, float, float, float], curve: str = "hilbert", cap: int | None = CAP, order: int | None = None) -> Ranges:
     """Sorted disjoint [low, high) that hold all keys of the rectangle's cells, at most cap of them. An order other than the
-    spec's walks coarser quadrants; the intervals are in keys of the spec's order all the same."""
+    spec's walks coarser quadrants, or, if finer, smaller cells; the intervals are in keys of the spec's order all the same."""
+    if order is not None and order > spec.order:
+        if curve != "hilbert":
+            raise ValueError("finer orders are for the Hilbert curve")
+        return ranges_and_cells(spec, rect, order, cap)[0]
     if rect[0] > rect[2] or rect[1] > rect[3]:
         return []
     x0, y0, x1, y1 = cells_of(spec, rect)
@@ -58,15 +63,25 @@ def merged(ranges: Ranges) -> Ranges:
 
 
 def capped(ranges: Ranges, cap: int | None) -> Ranges:
-    """At most cap intervals: the smallest gaps are closed first, ties from the left."""
+    """At most cap intervals: the intervals are cut apart only at the cap - 1 widest gaps, of equal ones at the later."""
     if cap is None or len(ranges) <= cap:
         return ranges
-    gaps = [(ranges[i + 1][0] - ranges[i][1], i) for i in range(len(ranges) - 1)]
-    closed = {i for _, i in heapq.nsmallest(len(ranges) - cap, gaps)}
-    out = [ranges[0]]
-    for i, (low, high) in enumerate(ranges[1:]):
-        out[-1:] = [(out[-1][0], high)] if i in closed else [out[-1], (low, high)]
-    return out
+    gaps = [(after[0] - before[1], place) for place, (before, after) in enumerate(zip(ranges, ranges[1:]))]
+    cuts = sorted(place for _, place in heapq.nlargest(cap - 1, gaps))
+    firsts, lasts = [0, *[c + 1 for c in cuts]], [*cuts, len(ranges) - 1]
+    return [(ranges[i][0], ranges[j][1]) for i, j in zip(firsts, lasts, strict=True)]
+
+
+def ranges_and_cells(spec: GridSpec, rect: tuple[float, float, float, float], order: int | None = None, cap: int | None = CAP) -> tuple[Ranges, int]:
+    """key_ranges on a grid of any order, and the number of that grid's cells in the cover before the cap. The intervals are in keys
+    of the spec's order: those of a finer grid are cut down to it, which leaves out cells that the rectangle only seems to touch."""
+    order = spec.order if order is None else order
+    if order <= spec.order:
+        found = key_ranges(spec, rect, cap=None, order=order)
+        return capped(found, cap), sum(high - low for low, high in found) >> 2 * (spec.order - order)
+    fine = key_ranges(replace(spec, order=order), rect, cap=None)
+    shift = 2 * (order - spec.order)
+    return capped(merged([(low >> shift, ((high - 1) >> shift) + 1) for low, high in fine]), cap), sum(high - low for low, high in fine)
 
 
 def buckets_of(ranges: Ranges, buckets: int, order: int) -> list[int]:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessella.functions.grid import valid
@@ -14,6 +14,14 @@ def _id(*parts: str) -> Column:
     return F.xxhash64(*parts)
 
 
+def numbered_ids(df: DataFrame, *parts: str) -> DataFrame:
+    """df with object_id from the hash of its parts; the same for any file split and order. Equal rows are numbered among themselves,
+    so each has an id of its own, and which of them has which does not matter."""
+    own = df.withColumn("_h", _id(*parts))
+    nth = F.row_number().over(Window.partitionBy("_h", *parts).orderBy("_h"))
+    return own.withColumn("_k", nth).withColumn("object_id", F.when(F.col("_k") == 1, F.col("_h")).otherwise(F.xxhash64("_h", "_k"))).drop("_h", "_k")
+
+
 def polygons_parquet(spark: SparkSession, path: str) -> DataFrame:
     """Nuclei with polygon vertices: x, y are the mean of the vertices, area is pixels times squared resolution, the perimeter a square's.
     Empty and null polygons are rejected. Vertex fields are named (``, _1) or (x, y)."""
@@ -26,7 +34,7 @@ def polygons_parquet(spark: SparkSession, path: str) -> DataFrame:
         F.col("case_id").alias("group_id"), F.try_divide(total(vertex[0]), F.size("Polygon")).alias("x"), F.try_divide(total(vertex[1]), F.size("Polygon")).alias("y"), F.coalesce(F.col("type"), F.lit("unknown")).alias("class_label"),
         F.concat_ws("_", F.col("tile_minx").cast("long"), F.col("tile_miny").cast("long")).alias("tile_id"), (F.col("AreaInPixels").cast("double") * mpp * mpp).alias("area"),
     )
-    return valid(out).withColumn("perimeter", F.sqrt("area") * 4).withColumn("object_id", _id("group_id", "x", "y", "area"))
+    return numbered_ids(valid(out).withColumn("perimeter", F.sqrt("area") * 4), "group_id", "x", "y", "area", "class_label")
 
 
 def polygons_csv(spark: SparkSession, path: str, group: str, label: str = "nucleus") -> DataFrame:
@@ -43,7 +51,7 @@ def _pairs(lines: DataFrame, group: str, label: str, values: Column) -> DataFram
     rows = rows.withColumn("p", good).where(F.size("p") > 0)
     mean = lambda c: F.try_divide(F.aggregate("p", F.lit(0.0), lambda a, b: a + b[c]), F.size("p"))
     out = rows.select(F.lit(group).alias("group_id"), mean("x").alias("x"), mean("y").alias("y"), F.lit(label).alias("class_label"), "area")
-    return valid(out).withColumn("perimeter", F.sqrt("area") * 4).withColumn("object_id", _id("group_id", "x", "y", "area"))
+    return numbered_ids(valid(out).withColumn("perimeter", F.sqrt("area") * 4), "group_id", "x", "y", "area", "class_label")
 
 
 def cells_csv(spark: SparkSession, path: str) -> DataFrame:
@@ -91,7 +99,9 @@ def map_elements(spark: SparkSession, path: str, tags: list[str], dataset: str =
     e = df.select(F.explode("elements").alias("e"))
     label = F.coalesce(*[F.when(F.col("e.tags")[t].isNotNull(), F.concat(F.lit(f"{t}:"), F.col("e.tags")[t])) for t in tags])
     out = e.select(F.col("e.id").alias("object_id"), F.lit(dataset).alias("group_id"), F.coalesce("e.lon", "e.center.lon").alias("x"), F.coalesce("e.lat", "e.center.lat").alias("y"), label.alias("class_label"), F.col("e.tags")["name"].alias("name"))
-    return valid(out.where("class_label IS NOT NULL").dropDuplicates(["object_id"])).withColumn("area", F.lit(0.0))
+    rest = ["class_label", "name", "x", "y", "group_id"]
+    one = out.where("class_label IS NOT NULL").groupBy("object_id").agg(F.min(F.struct(*rest)).alias("r"))  # the least where copies differ
+    return valid(one.select("object_id", *[F.col(f"r.{c}").alias(c) for c in rest])).withColumn("area", F.lit(0.0))
 
 
 #: Payment codes of taxi trips: fixed values.
@@ -117,7 +127,8 @@ def trips_parquet(spark: SparkSession, path: str, zones: DataFrame | None = None
     else:
         raise ValueError("neither pickup coordinates nor zones")
     out = valid(out).where(F.col("x").between(box[0], box[2]) & F.col("y").between(box[1], box[3]) & (F.col("x") != 0))
-    return out.select(F.monotonically_increasing_id().alias("object_id"), F.lit(dataset).alias("group_id"), "x", "y", "class_label", "rate_code", F.lit(0.0).alias("area"))
+    out = out.select(F.lit(dataset).alias("group_id"), "x", "y", "class_label", "rate_code", F.lit(0.0).alias("area"))
+    return numbered_ids(out, "group_id", "x", "y", "class_label", "rate_code")
 
 
 def box_tiles(west: float, south: float, east: float, north: float, per_side: int) -> list[tuple[float, float, float, float]]:

@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessella.operators.aggregate import quantiles, same
+
 
 def bucket_hits(log: DataFrame) -> DataFrame:
-    """Per (group_id, bucket): hits and the exact median latency. Works on a stream too if its median is not asked for."""
-    return log.groupBy("group_id", "bucket").agg(F.count(F.lit(1)).alias("hits"), F.expr("percentile(ms, 0.5)").alias("median_ms"))
+    """Per (group_id, bucket): hits and the exact median latency, read off cumulative counts. For streams see hits_by_window."""
+    by = ["group_id", "bucket"]
+    medians = quantiles(log, by, "ms", {"median_ms": 0.5}).toDF("_g", "_b", "median_ms")
+    return log.groupBy(*by).agg(F.count(F.lit(1)).alias("hits")).join(medians, same(by, ["_g", "_b"]), "left").drop("_g", "_b")
 
 
 def hits_by_window(log: DataFrame, every: str = "10 minutes", late: str = "10 minutes") -> DataFrame:
@@ -30,10 +34,12 @@ def slow(hits: DataFrame, least: int = 5, ms: float = 500.0) -> DataFrame:
     return hits.where((F.col("hits") >= least) & (F.col("median_ms") > ms))
 
 
-def advice(objects: DataFrame, hits: DataFrame, target: int) -> DataFrame:
-    """(group_id, bucket, advice): split a bucket of over 1.5 targets; merge it with the next one if both are cold and neighbours."""
+def advice(objects: DataFrame, hits: DataFrame, target: int, k: int = 10) -> DataFrame:
+    """(group_id, bucket, advice): split those of the k hottest buckets that hold over 1.5 targets; merge a bucket with the next one if
+    both are cold and neighbours."""
     sizes = objects.groupBy("group_id", "bucket").agg(F.count(F.lit(1)).alias("n"))
-    split = sizes.where(F.col("n") > 1.5 * target).select("group_id", "bucket", F.lit("split").alias("advice"))
+    warm = hot(hits, k).select("group_id", "bucket")
+    split = sizes.where(F.col("n") > 1.5 * target).join(warm, ["group_id", "bucket"]).select("group_id", "bucket", F.lit("split").alias("advice"))
     few = cold(hits).select("group_id", "bucket")
     after = F.lead("bucket").over(Window.partitionBy("group_id").orderBy("bucket"))
     merge = few.withColumn("_next", after).where("_next = bucket + 1").select("group_id", "bucket", F.lit("merge").alias("advice"))

@@ -1,8 +1,10 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
-from tessella.operators import layout, select
-from tessella.plans import models
+from tessella.operators import aggregate, layout, select
+from tessella.plans import learned, models, ranges, workload
 from tessella.plans import queries as Q
 from tessella.sources import readers
 from tessella.streaming import monitor
@@ -88,3 +90,93 @@ def test_monitor_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.table("hits").agg(F.sum("hits")).first()[0] == 2
+
+
+def test_append_and_repeated_updates(spark, objects, tmp_path, small):
+    path = str(tmp_path / "t")
+    layout.write(objects, path, "two_level", files=2)
+    before = {r["object_id"]: r["class_label"] for r in spark.read.parquet(path).collect()}
+    enum = Q.enum_of(objects)
+    more = spark.createDataFrame([(-1, "g0", 5.0, 5.0, "click", 1.0), (-2, "g9", float("nan"), 5.0, "click", 1.0), (-3, "g9", 9e9, 5.0, "strange", 1.0)], "object_id long, group_id string, x double, y double, class_label string, area double")
+    layout.append(more, path, "two_level", Q.EVENTS, enum, Q.BUCKETS)
+    rows = {r["object_id"]: r for r in spark.read.parquet(path).collect()}
+    assert set(rows) == set(before) | {-1, -3} and rows[-3]["c_key"] >> 48 == len(enum) and rows[-1]["bucket"] == 0
+    one = rows[min(before)]
+    changes = [(one["group_id"], one["bucket"], one["object_id"], c) for c in ("click", "view", "click")] + [("g0", 29, one["object_id"], "purchase"), ("nowhere", 1, 5, "view")]
+    layout.update_classes(spark, path, spark.createDataFrame(changes, "group_id string, bucket int, object_id long, class_label string"), enum)
+    after = [(r["object_id"], r["class_label"]) for r in spark.read.parquet(path).collect()]
+    assert len(after) == len(rows) and dict(after) == {k: "view" if k == one["object_id"] else r["class_label"] for k, r in rows.items()}
+    assert not [p for p in tmp_path.iterdir() if "staged" in p.name]
+
+
+def test_cumulative_counts_and_quantiles(spark):
+    import random
+
+    import numpy as np
+
+    rng = random.Random(4)
+    rows = [("big" if rng.random() < 0.8 else None if rng.random() < 0.3 else "few", rng.choice([rng.random(), 0.5, float(rng.randrange(5))])) for _ in range(3000)] + [("one", 3.0), ("none", None)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    by = {}
+    for g, v in rows:
+        if v is not None:
+            by.setdefault(g, []).append(v)
+    for cuts in (1, 7, 256):
+        got = aggregate.cumulative(df, ["g"], "v", {}, cuts).collect()
+        assert all(r["before"] == sum(x < r["v"] for x in by[r["g"]]) and r["n"] == by[r["g"]].count(r["v"]) and r["total"] == len(by[r["g"]]) for r in got)
+        assert len(got) == sum(len(set(x)) for x in by.values())
+    for r in aggregate.quantiles(df, ["g"], "v", {"a": 0.5, "b": 0.99, "c": 1.0}).collect():
+        assert np.allclose([r["a"], r["b"], r["c"]], np.quantile(by[r["g"]], [0.5, 0.99, 1.0]))
+    assert {r["g"]: r["q"] for r in aggregate.index_percentile(df, ["g"], "v", 0.9).collect()} == {g: sorted(x)[min(int(len(x) * 0.9), len(x) - 1)] for g, x in by.items()}
+    assert aggregate.quantiles(df.where("v > 100"), ["g"], "v", {"a": 0.5}).count() == 0
+    assert aggregate.mann_whitney(df.withColumn("s", F.col("g") == "big").where("g IS NOT NULL"), "v", "s").first()["p"] <= 1
+
+
+def test_learned_keys_and_staleness(spark, objects, monkeypatch):
+    monkeypatch.setattr(learned, "PART_ROWS", 50)
+    model = learned.train(objects, 33)
+    keyed = learned.with_learned_key(objects.select("object_id", "group_id", "x", "y"), model, class_code=F.lit(3))
+    rows = keyed.collect()
+    knots = {r["group_id"]: r for r in model.collect()}
+    assert len(rows) == objects.count()
+    for r in rows:
+        assert abs(r["u"] - learned.transform(r["x"], knots[r["group_id"]]["xs"])) < 1e-12 and r["lc_key"] == (3 << 48) + r["l_key"]
+    fresh = {r["group_id"]: r for r in learned.staleness(objects, model).collect()}
+    moved = {r["group_id"]: r for r in learned.staleness(objects.withColumn("x", F.col("x") + 500_000), model).collect()}
+    assert all(fresh[g]["ks_x"] < 0.1 < moved[g]["ks_x"] and fresh[g]["clipped"] < 0.02 < moved[g]["clipped"] for g in fresh)
+
+
+def test_ids_do_not_hang_on_the_file_split(spark, tmp_path):
+    rows = [(f"{-73.9 - k % 50 * 1e-3}", "40.7", 1) for k in range(200)]
+    df = spark.createDataFrame(rows, "pickup_longitude string, pickup_latitude string, payment_type int")
+    ids = []
+    for parts in (1, 7):
+        df.repartition(parts).write.parquet(str(tmp_path / str(parts)))
+        ids.append(sorted(r["object_id"] for r in readers.trips_parquet(spark, str(tmp_path / str(parts))).collect()))
+    assert ids[0] == ids[1] and len(set(ids[0])) == 200
+
+
+def test_workloads(spark):
+    rng = random.Random(1)
+    for _ in range(50):
+        x0, y0, x1, y1 = workload.random_rect(Q.EMBED, 0.05, rng)
+        assert Q.EMBED.x_origin <= x0 < x1 <= Q.EMBED.x_origin + 1 and abs((x1 - x0) * (y1 - y0) - 0.05) < 1e-12 and y0 < y1
+    chosen = workload.query_classes({"a": 0.5, "b": 0.2, "c": 0.1, "d": 0.01, "e": 0.19})
+    assert (chosen["A"].classes, chosen["B"].classes, chosen["C"].classes, chosen["D"].classes, chosen["F"].fraction) == (("c",), ("d",), ("c", "d"), ("a",), 0.01)
+    assert len(workload.mixed(Q.EVENTS, 100)) == 100 and workload.mixed(Q.EVENTS, 5) == workload.mixed(Q.EVENTS, 5)
+    shares = {r["class_label"]: r["n"] / 20_000 for r in workload.made(spark, 20_000, Q.EVENTS).groupBy("class_label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert all(abs(shares[c] - s) < 0.02 for c, s in workload.SHARES)
+
+
+def test_capped_ranges_keep_the_widest_gaps():
+    assert ranges.capped([(0, 1), (2, 3), (9, 10), (12, 13)], 2) == [(0, 3), (9, 13)] and ranges.capped([(0, 1), (5, 6)], 1) == [(0, 6)]
+    fine, n = ranges.ranges_and_cells(Q.EVENTS, Q.WIDE, 10)
+    coarse, m = ranges.ranges_and_cells(Q.EVENTS, Q.WIDE, cap=None)
+    assert n > m == sum(b - a for a, b in coarse) and {k for a, b in ranges.ranges_and_cells(Q.EVENTS, Q.WIDE, 10, None)[0] for k in range(a, b)} <= {k for a, b in coarse for k in range(a, b)}
+
+
+def test_results_are_written(spark, objects, tmp_path):
+    few = objects.select("object_id", "x").orderBy("object_id").limit(10)
+    for kind in ("json", "csv", "parquet"):
+        aggregate.written(few, str(tmp_path / kind), kind)
+        assert spark.read.options(header=True).format(kind).load(str(tmp_path / kind)).count() == 10
