@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessella.llm.common import slices
+from tessella.llm.common import fresh, named, slices
 
 #: Unicode's White_Space, as the split pattern's \s has it.
 SPACE = r" \t-\r\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -119,7 +119,7 @@ def _appended(df: DataFrame, run, fields: list[T.StructField], reads: str, path:
     """df with the fields that run makes, with a codec, from the column reads, a slice of rows at a time."""
     others = [f for f in df.schema.fields if f.name not in {x.name for x in fields}]
     schema = T.StructType([*others, *fields])
-    source = df.select(*[F.col(f"`{f.name}`") for f in others], F.col(f"`{reads}`").alias("__own"))
+    source = df.select(*[named(f.name) for f in others], named(reads).alias(fresh(df, "own")))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path, pattern)

@@ -19,7 +19,8 @@ consistent slots. Items of fewer than WINDOW words have one window, of all their
 
 Cases: null and empty texts and items have no windows; templates with fewer than PLAIN ordinary words say too
 little and are not used, so that such windows match word for word only; an item without other windows is found
-as a copy, not with other values. Rows with one doc_id are one document; equal items are all reported. A null doc_id
+as a copy, not with other values. Rows with one doc_id are one document; equal items are all reported; unequal texts of
+one item_id are items of their own, reported once, by the best of each figure. A null doc_id
 cannot be reported and is never dropped. Empty tables give empty results; other columns pass through.
 """
 
@@ -33,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import WordHashes, mix, rows_without, saved, slices, utf8
+from tessella.llm.common import WordHashes, mix, named, rows_without, saved, slices, utf8
 
 WINDOW, HITS, PLAIN = 8, 6, 4
 #: Bits of the table that is broadcast: 2 MB whatever the benchmark's size; a fuller table lets more windows pass to the join.
@@ -176,21 +177,21 @@ def _windows_of(batches: Iterator[pa.RecordBatch], table: np.ndarray | None, sho
 
 
 def item_windows(benchmark: DataFrame, key: str = "item_id", text: str = "text") -> DataFrame:
-    """(item, hash, item_at, item_names, item_slots, item_windows, item_templates, width) of the benchmark; item_templates counts the usable ones."""
-    rows = benchmark.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).where(F.col("id").isNotNull())
+    """(item, own, hash, item_at, item_names, item_slots, item_windows, item_templates, width) of the benchmark; own tells the texts of one
+    item_id apart; item_templates counts the usable templates."""
+    rows = benchmark.select(named(key).cast("long").alias("item"), named(text).alias("text")).where(F.col("item").isNotNull()).distinct()
+    rows = rows.withColumn("own", F.xxhash64("item", "text"))
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Templates()
         for part in slices(batches):
+            widths = {i: min(WINDOW, len(t.split())) for i, t in zip(part.column(0).to_pylist(), utf8(part.column(1)), strict=True)}
             for batch in _windows_of([part], None, []):
-                widths = {i: min(WINDOW, len(t.split())) for i, t in zip(part.column(0).to_pylist(), utf8(part.column(1)), strict=True)}
                 yield batch.append_column("width", pa.array([widths[i] for i in batch.column("id").to_pylist()], pa.int32()))
-        del words
 
-    found = rows.mapInArrow(made, FOUND + ", width int")
+    found = rows.select("own", "text").mapInArrow(made, FOUND + ", width int")
     sizes = found.groupBy("id").agg(F.count_if(F.col("names") == -1).alias("item_windows"), F.count_if(F.col("names") == 0).alias("item_templates"))
-    return found.join(sizes, "id").select(
-        F.col("id").alias("item"), "hash", F.col("at").alias("item_at"), F.col("names").alias("item_names"), F.col("slots").alias("item_slots"), "item_windows", "item_templates", "width"
+    return found.join(sizes, "id").join(rows.select("item", F.col("own").alias("id")), "id").select(
+        "item", F.col("id").alias("own"), "hash", F.col("at").alias("item_at"), F.col("names").alias("item_names"), F.col("slots").alias("item_slots"), "item_windows", "item_templates", "width"
     )
 
 
@@ -239,8 +240,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: st
     sizes = ["item_windows", "item_templates"]
     pairs = F.arrays_zip("item_slots", "slots")
     kind = F.when(F.col("names") == -1, 0).when((F.col("names") == 0) & (F.col("item_names") == 0), 1).otherwise(2)
-    aligned = found.select("id", "item", "item_at", kind.alias("kind"), "item_windows", "item_templates", (F.col("at") - F.col("item_at")).alias("offset"), pairs.alias("pairs"))
-    group = ["id", "item", "offset"]
+    aligned = found.select("id", "item", "own", "item_at", kind.alias("kind"), "item_windows", "item_templates", (F.col("at") - F.col("item_at")).alias("offset"), pairs.alias("pairs"))
+    group = ["id", "item", "own", "offset"]
     counted = aligned.groupBy(*group).agg(
         F.countDistinct(F.when(F.col("kind") == 0, F.col("item_at"))).alias("n_words"),
         F.collect_set(F.when(F.col("kind") > 0, F.struct("kind", F.size("pairs").alias("n"), "item_at", "pairs"))).alias("templates"),

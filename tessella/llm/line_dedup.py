@@ -204,6 +204,8 @@ def hits(df: DataFrame, index: DataFrame, shards: int, hot: Shard, key: str, tex
             if len(hot.prints) and len(both):
                 cold = hot.probe(both[:, 0].copy(), both[:, 1].copy()) < 0
                 both, of = both[cold], of[cold]
+            if not len(both):
+                continue
             shard = both[:, 0] % shards
             order = np.argsort(shard, kind="stable")
             names, starts = np.unique(shard[order], return_index=True)

@@ -1,8 +1,9 @@
 """Quality rules as a short-circuit cascade, in DataFrame expressions only.
 
-Each rule is a boolean expression that is true for a text to reject. On a bounded sample the rules'
-costs and rejection shares are measured; they are then ordered by rejections per cost, and a
-nested CASE evaluates the next rule only for texts that all rules before it let pass.
+Each rule is a boolean expression that is true for a text to reject. On a bounded sample, the rows of the smallest hashes,
+each rule's work is counted and its rejections are found, all in one job. The next rule is always the one with most
+rejections per unit of work among the texts that the rules before it let pass; a nested CASE evaluates it only for
+these. Work is counted, not timed, so the order is the same on each run; ties go to the cheaper rule, then to the name.
 
 Cases: a null text has no words and fails min_words; an empty table gives an empty result; repeated
 rows are judged alike; other columns pass through, whatever their names (metrics are computed in
@@ -11,13 +12,12 @@ structs and named at the end). Texts are read whole.
 
 from __future__ import annotations
 
-import time
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import WORD_BREAK
+from tessella.llm.common import WORD_BREAK, smallest_hashes
 
 #: Characters that count as symbols.
 SYMBOLS = "#*$%&|<>"
@@ -95,10 +95,13 @@ def n_repeat_words_of(words: Column) -> Column:
 
 @dataclass(frozen=True)
 class Rule:
-    """rejects: a boolean expression over the column text, or over metrics that are given as columns."""
+    """rejects: a boolean expression over the column text, or over metrics that are given as columns. per_char and per_word: its
+    work, in units of one pass over a character."""
 
     name: str
     rejects: Column
+    per_char: float = 1.0
+    per_word: float = 0.0
 
 
 def rules(text: str = "text") -> list[Rule]:
@@ -107,41 +110,38 @@ def rules(text: str = "text") -> list[Rule]:
     n_words = F.size(words_of(t)).cast("long")
     letters = F.length(F.regexp_replace(t, r"[^\p{L}]", ""))
     return [
-        Rule("min_words", n_words < 20),
-        Rule("repeated_windows", 100 * n_repeat_words_of(words_of(t)) > 30 * n_words),
-        Rule("symbols", 10 * n_symbols_of(t) > 3 * n_words),
-        Rule("word_length", (word_chars_of(t) > 16 * n_words) | (word_chars_of(t) < 2 * n_words)),
-        Rule("duplicate_lines", 2 * n_dup_lines_of(t) > F.size(F.split(t, "\n", -1))),
-        Rule("capitals", (letters > 40) & (10 * F.length(F.regexp_replace(t, r"[^\p{Lu}]", "")) > 7 * letters)),
+        Rule("min_words", n_words < 20, 2.0, 2.0),
+        Rule("repeated_windows", 100 * n_repeat_words_of(words_of(t)) > 30 * n_words, 4.0, 60.0),
+        Rule("symbols", 10 * n_symbols_of(t) > 3 * n_words, 3.0, 2.0),
+        Rule("word_length", (word_chars_of(t) > 16 * n_words) | (word_chars_of(t) < 2 * n_words), 4.0, 2.0),
+        Rule("duplicate_lines", 2 * n_dup_lines_of(t) > F.size(F.split(t, "\n", -1)), 3.0),
+        Rule("capitals", (letters > 40) & (10 * F.length(F.regexp_replace(t, r"[^\p{Lu}]", "")) > 7 * letters), 8.0),
     ]
 
 
-def sample_of(df: DataFrame, key: str, rows: int) -> DataFrame:
-    """About rows rows, chosen by the hash of key: as many in expectation, whatever the size of df."""
-    total = df.count()
-    return df if total <= rows else df.where(F.pmod(F.xxhash64(F.col(key), F.lit(7)), F.lit(1 << 40)) < int(rows / total * (1 << 40)))
+#: Rows of the sample, at most.
+SAMPLE = 2_048
 
 
-def measured(df: DataFrame, given: list[Rule], key: str = "doc_id", rows: int = 512) -> list[tuple[Rule, float, float]]:
-    """(rule, seconds, share rejected) on the sample; each rule runs alone over the same kept rows."""
-    sample = sample_of(df, key, rows).limit(2 * rows).persist()
-    try:
-
-        def run(rejects: Column) -> tuple[float, float]:
-            began = time.perf_counter()
-            share = sample.agg(F.avg(F.when(rejects, 1.0).otherwise(0.0)).alias("share")).first()["share"]
-            return time.perf_counter() - began, share or 0.0
-
-        run(F.lit(False))  # fills the cache
-        least, _ = run(F.lit(False))
-        return [(r, max(seconds - least, 0.001), share) for r in given for seconds, share in [run(r.rejects)]]
-    finally:
-        sample.unpersist()
+def ordered(df: DataFrame, given: list[Rule], text: str = "text", rows: int = SAMPLE) -> list[Rule]:
+    """The rules, each the one of most rejections per work among the sampled texts that those before it let pass."""
+    t = _text(text)
+    verdicts = F.concat(*[F.when(r.rejects, "1").otherwise("0") for r in given])
+    sample = smallest_hashes(df, rows, 7).select(verdicts.alias("v"), F.length(t).alias("chars"), F.size(words_of(t)).alias("words"))
+    left = [r.asDict() for r in sample.groupBy("v").agg(F.count(F.lit(1)).alias("n"), F.sum("chars").alias("chars"), F.sum("words").alias("words")).collect()]  # 2^rules rows at most
+    order, todo = [], list(enumerate(given))
+    while todo:
 
+        def rank(item: tuple[int, Rule]) -> tuple[float, float, str]:
+            k, rule = item
+            work = sum(rule.per_char * r["chars"] + rule.per_word * r["words"] for r in left) + 1
+            return -sum(r["n"] for r in left if r["v"][k] == "1") / work, work, rule.name
 
-def ordered(df: DataFrame, given: list[Rule], key: str = "doc_id", rows: int = 512) -> list[Rule]:
-    """The rules by rejections per second, most first."""
-    return [r for r, _, _ in sorted(measured(df, given, key, rows), key=lambda m: (-m[2] / m[1], m[1], m[0].name))]
+        k, rule = best = min(todo, key=rank)
+        order.append(rule)
+        todo = [x for x in todo if x[0] != k]
+        left = [r for r in left if r["v"][k] == "0"]
+    return order
 
 
 def cascade(given: list[Rule]) -> Column:
@@ -154,14 +154,14 @@ def cascade(given: list[Rule]) -> Column:
 
 def kept(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of df that no rule rejects."""
-    return df.where(cascade(ordered(df.select(key, text), rules(text), key)).isNull())
+    return df.where(cascade(ordered(df.select(key, text), rules(text), text)).isNull())
 
 
 def judged(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, the metrics, base_failed, kept and failed_rule. The base's metrics are wanted for every row, so here the
-    rules read them instead of the text; the cascade's order is measured as for kept()."""
+    rules read them instead of the text; the cascade's order is found as for kept()."""
     t = _text(text)
-    order = [r.name for r in ordered(df.select(key, text), rules(text), key)]
+    order = [r.name for r in ordered(df.select(key, text), rules(text), text)]
     w = F.col("_words")
     base = df.select(F.col(key), t.alias("_t"), words_of(t).alias("_words")).select(
         key,

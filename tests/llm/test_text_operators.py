@@ -1,6 +1,7 @@
 import base64
 import collections
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -287,6 +288,12 @@ def test_quality(docs, odd, empty):
     assert quality.judged(empty).count() == 0 == quality.kept(empty).count()
 
 
+def test_quality_order_is_the_same_on_each_run(docs):
+    first = [r.name for r in quality.ordered(docs.select("doc_id", "text"), quality.rules())]
+    assert first == [r.name for r in quality.ordered(docs.repartition(7).select("doc_id", "text"), quality.rules())]
+    assert first.index("repeated_windows") > first.index("min_words")
+
+
 # --- line dedup
 
 
@@ -516,6 +523,98 @@ def test_decontamination_finds_edited_copies_with_many_verbatim_windows(spark):
     assert decontaminated(spark, [item], [pieces, few]) == {(0, 0)}
 
 
+def brute_matches(docs, items):
+    """All five columns, by the rule as it is written: every alignment of every document and item, one window at a time."""
+    words = decontamination.Templates()
+    U = {(words.of(u) & ~7 & ((1 << 64) - 1)) for u in decontamination.UNITS}
+
+    def read(text):
+        """(word, kind, may be a name) of each word."""
+        out, start = [], True
+        for line in text.encode().split(b"\n"):
+            start = True
+            for w in line.split():
+                code = words.of(w)
+                kind = "num" if code & 1 else "name" if code & 2 and not start else "unit" if out and out[-1][1] == "num" and code & ~7 in U else "word"
+                out.append((code >> 3, kind, bool(code & 2) and kind == "word"))
+                start = bool(code & 4)
+        return out
+
+    def forms(window, least):
+        """(names taken, template, slots) of a window's usable choices."""
+        free = [k for k, (_, _, either) in enumerate(window) if either]
+        for taken in itertools.chain.from_iterable(itertools.combinations(free, n) for n in range(len(free) + 1)):
+            kinds = ["name" if k in taken else kind for k, (_, kind, _) in enumerate(window)]
+            if kinds.count("word") >= least:
+                shown = tuple(w if k == "word" else k for (w, _, _), k in zip(window, kinds))
+                yield taken, shown, tuple(w for (w, _, _), k in zip(window, kinds) if k != "word")
+
+    best = {}
+    for (j, b), (i, t) in itertools.product(dict.fromkeys(items), docs):
+        item, doc = read(b or ""), read(t or "")
+        if i is None or j is None or not item:
+            continue
+        width = min(8, len(item))
+        least = min(4, width)
+        cut = lambda x, a: x[a : a + width]
+        n_items = len(item) - width + 1
+        n_templates = sum(any(not taken for taken, _, _ in forms(cut(item, a), least)) for a in range(n_items))
+        for offset in range(-len(item), len(doc)):
+            same, found = set(), []
+            for a in range(n_items):
+                d = a + offset
+                if not 0 <= d <= len(doc) - width:
+                    continue
+                x, y = cut(item, a), cut(doc, d)
+                if [w for w, _, _ in x] == [w for w, _, _ in y]:
+                    same.add(a)
+                mine = list(forms(x, least))
+                for taken, shown, slots in forms(y, least):
+                    for own, template, values in mine:
+                        if template == shown:
+                            found.append((1 if not taken and not own else 2, len(slots), a, tuple(zip(values, slots))))
+            if not same and not found:
+                continue
+            templates, slots = plain_agreeing(set(found))
+            if len(same) >= min(6, n_items) or (n_templates and templates >= min(6, n_templates)):
+                old = best.get((i, j), (0, 0, 0))
+                best[i, j] = (max(old[0], len(same), templates), max(old[1], n_items), max(old[2], slots))
+    return {(*k, *v) for k, v in best.items()}
+
+
+def plain_agreeing(found):
+    """(windows that agree, values): the sure ones all or none, then the others while they agree, fewest slots first."""
+    sure = [x for x in found if x[0] == 1]
+    pairs = {p for x in sure for p in x[3]}
+    values = dict(pairs)
+    if len(values) < len(pairs):
+        return 0, sum(a == b for a, b in pairs)
+    places = {x[2] for x in sure}
+    signed = lambda x: tuple((a - (1 << 64) if a >> 63 else a, b - (1 << 64) if b >> 63 else b) for a, b in x)
+    for _, _, at, own in sorted((x for x in found if x[0] == 2), key=lambda x: (*x[:3], signed(x[3]))):
+        if at not in places and all(values.get(a, b) == b for a, b in own) and len(dict(own)) == len(set(own)):
+            values |= dict(own)
+            places.add(at)
+    return len(places), len(values)
+
+
+def test_decontamination_against_every_alignment(spark, docs, small):
+    items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{small}/benchmark.parquet").orderBy("item_id").collect()]
+    near = {r["doc_id"] for r in decontamination.matches(docs, spark.read.parquet(f"{small}/benchmark.parquet")).collect()}
+    some = [(i, t) for i, t in texts(docs) if len(t) < 1500 and (i in near or i % 9 == 0)][:40]
+    rnd = random.Random(11)
+    names, made = ["Anna", "Tom", "Maria", "Ben"], []
+    for k in range(40):
+        a, b = rnd.sample(names, 2)
+        x, y = rnd.choice("3579"), rnd.choice("3579")
+        made.append((1000 + k, f"{a} has {x} kg of apples and gives {y} kg to {b}. {b} then sells {x} of them at the market. How much is left for {a}? {rnd.choice(['Ask', 'ask'])} {b} again {y} times"))
+    questions = [(900, made[0][1]), (901, made[1][1]), (901, "What is 17 + 25?"), (902, "Anna Tom Ben Maria 3 5"), (None, "no id here at all but words"), (903, None)]
+    bench = [*items[:25], *questions]
+    every = [*some, *made, (1, "so What is 17 + 25? is asked"), (2, None), (3, "Anna Tom Ben Maria 3 5 again")]
+    got = decontamination.matches(spark.createDataFrame(every, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string"))
+    assert {tuple(r) for r in got.collect()} == brute_matches(every, bench)
+
+
 def test_decontamination_takes_names_that_begin_sentences(spark):
     items = [
         "Anna has 12 apples. Tom has 7 pears. Anna gives 3 apples to Tom. How many apples does Anna have left",
