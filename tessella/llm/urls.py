@@ -20,11 +20,17 @@ SIZE, WIDTH = 1024, 3
 #: (verdict, host, path): fixed values of the contract; a rule fits its host and all subdomains.
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
 
-#: The labelled table is built from these words: unwanted hosts carry one of the first, plain hosts only the second.
-UNWANTED = ["casino-win", "cheap-pills", "free-bets", "ads-track", "spam-farm", "poker-bonus", "click-ads", "hot-deals"]
-PLAIN = ["library", "garden", "school", "weather", "recipes", "travel", "museum", "history", "thering", "ththat", "tionble", "therly"]
+#: The labelled table is built from these words, general ones and none taken from any table of pages: unwanted hosts carry
+#: one of the first, plain hosts only the second.
+UNWANTED = [
+    "casino-win", "cheap-pills", "free-bets", "ads-track", "spam-farm", "poker-bonus", "click-ads", "hot-deals", "adult-chat", "xxx-videos", "payday-loan", "lottery-prize",
+]
+PLAIN = [
+    "library", "garden", "school", "weather", "recipes", "travel", "museum", "history", "theatre", "northern", "weather-station", "another-thought", "nation", "father-and-mother",
+    "the-herald", "reading-list", "anthology", "hospital", "university", "orchestra", "athletics", "breathing", "stationery", "leather", "thread-and-needle", "bathing", "earth-science", "motherland",
+]
 PATHS = ["/en/{n}", "/de/{n}/", "/fr/{n}.html", "/es/{n}"]
-LABELLED_ROWS = 400
+LABELLED_ROWS = 600
 
 
 def labelled() -> list[tuple[str, str, int]]:
