@@ -70,7 +70,7 @@ def cumulative(df: DataFrame, by: list[str], value: str, sums: dict[str, Column]
     """
     counts = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("n"), *[c.alias(k) for k, c in sums.items()])
     points = counts.agg(F.percentile_approx("v", [k / cuts for k in range(1, cuts)], 10_000)).first()[0]
-    ranged = counts.withColumn("_range", place_among(sorted(set(points or [])), F.col("v")))
+    ranged = counts.withColumn("_range", F.expr(place_among(sorted({p for p in points or [] if math.isfinite(p)}), "v")))
     here = [f"_by{k}" for k in range(len(by))]
     below = lambda c, w: F.coalesce(F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = ranged.groupBy(*[F.col(c).alias(h) for c, h in zip(by, here, strict=True)], F.col("_range").alias("_at")).agg(F.sum("n").alias("_n"))

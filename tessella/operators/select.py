@@ -4,7 +4,6 @@ unless a covering answer is asked for."""
 from __future__ import annotations
 
 import math
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,12 +20,18 @@ def in_rect(rect: Rect, x: str = "x", y: str = "y") -> Column:
     return F.col(x).between(rect[0], rect[2]) & F.col(y).between(rect[1], rect[3])
 
 
-def place_among(points: list, k: Column) -> Column:
-    """How many of the sorted points are at most k, by halving: as many comparisons as their number has bits."""
-    if not points:
-        return F.lit(0)
-    mid = len(points) // 2
-    return F.when(k < points[mid], place_among(points[:mid], k)).otherwise(place_among(points[mid + 1 :], k) + (mid + 1))
+def place_among(points: list[int] | list[float], name: str) -> str:
+    """SQL for how many of the sorted points are at most the named value, by halving: as many comparisons as their number has bits.
+    One text is parsed at once; a column expression of as many calls would take the driver seconds."""
+
+    def half(low: int, high: int) -> str:
+        if low == high:
+            return str(low)
+        mid = (low + high) // 2
+        point = f"{points[mid]}L" if isinstance(points[mid], int) else f"{points[mid]!r}D"
+        return f"IF({name} < {point}, {half(low, mid)}, {half(mid + 1, high)})"
+
+    return half(0, len(points))
 
 
 def in_ranges(key: str, found: R.Ranges, stored: bool = True) -> Column:
@@ -36,10 +41,10 @@ def in_ranges(key: str, found: R.Ranges, stored: bool = True) -> Column:
     if not found:
         return F.lit(False)
     if stored:
-        whole = (F.col(key) >= found[0][0]) & (F.col(key) < found[-1][1])
-        return whole & reduce(lambda a, b: a | b, [(F.col(key) >= low) & (F.col(key) < high) for low, high in found])
+        terms = " OR ".join(f"({key} >= {low}L AND {key} < {high}L)" for low, high in found)
+        return F.expr(f"{key} >= {found[0][0]}L AND {key} < {found[-1][1]}L AND ({terms})")
     ends = [e for interval in found for e in interval]
-    return F.element_at(F.transform(F.array(F.col(key)), lambda k: place_among(ends, k) % 2 == 1), 1)
+    return F.expr(f"element_at(transform(array({key}), k -> {place_among(ends, 'k')} % 2 = 1), 1)")
 
 
 def viewport(df: DataFrame, rect: Rect, group: str | None = None, classes: list[str] | None = None) -> DataFrame:

@@ -184,9 +184,8 @@ EVENT_KEYS = hilbert_sql(EVENTS_SQL, "object_id, group_id, x, y, class_label", _
 SELECT count(*) AS n_cover, count(*) FILTER (WHERE NOT ({between(WIDE)})) AS n_outside,
        CASE WHEN count(*) > 0 THEN round(count(*) FILTER (WHERE NOT ({between(WIDE)})) / count(*), 6) ELSE 0.0 END AS fp_rate FROM hits""")
 def covering_fp_rate(spark, d):
-    df = events(spark, d)
-    enum = enum_of(df)
-    return select.false_positives(select.covering(keyed(df, EVENTS, enum), EVENTS, WIDE, ["click"], enum, exact=False, stored=False), WIDE)
+    kept = stored_events(spark, d, "covering")
+    return select.false_positives(select.covering(kept.read(spark), EVENTS, WIDE, ["click"], kept.enum, exact=False), WIDE)
 
 
 POINT = (1_000_000.0, 50.0)
