@@ -48,12 +48,55 @@ UNITS = frozenset(
 )
 EDGES = bytes(b for b in range(0x21, 0x7F) if not chr(b).isalnum())
 NUMBER = re.compile(rb"[-+$]?[0-9]+(?:[.,:/][0-9]+)*%?")
+BREAK = re.compile(rb"[ \t\n\x0b\x0c\r]")
 #: Kinds of template words, in the top two bits of their hash's companion.
 WORD, NUM, NAME, UNIT = range(4)
 
 
+#: Keeps the hashes of windows of words apart from those of templates.
+VERBATIM = np.uint64(0x5851F42D4C957F2D)
+FACTOR = np.uint64(0x9FB21C651E98DF25)
+#: FACTOR to the powers 0 to WINDOW - 1.
+POWERS = np.array([pow(int(FACTOR), k, 1 << 64) for k in range(WINDOW)], np.uint64)
+#: Bytes that are read at a time: a group of texts, or a piece of a longer one.
+PIECE = 1 << 18
+
+
+def _is(members: bytes) -> np.ndarray:
+    """For each byte whether it is one of the members."""
+    table = np.zeros(256, bool)
+    table[list(members)] = True
+    return table
+
+
+SPACE, EDGE, END, DIGIT = _is(b" \t\n\x0b\x0c\r"), _is(EDGES), _is(b".!?:"), _is(b"0123456789")
+UPPER, LOWER = _is(bytes(range(65, 91))), _is(bytes(range(97, 123)))
+#: A 64-bit value for each byte, the same for both cases of an ASCII letter.
+LETTERS = mix(np.arange(1, 257, dtype=np.uint64))
+LETTERS[UPPER] = LETTERS[LOWER]
+SPREAD = 0xD1342543DE82EF95
+SPREAD_BACK = pow(SPREAD, -1, 1 << 64)
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    out[:1] = 1
+    return np.cumprod(out)
+
+
 class Templates(WordHashes):
-    """(hash << 3) | flags for a word: 1 a number, 2 capitalised, 4 ends a sentence. The hash is of the lower-case core."""
+    """(hash << 3) | flags for a word: 1 a number, 2 capitalised, 4 ends a sentence. The hash is of the lower-case core.
+
+    The hash of an ASCII core is a sum of its bytes' values times powers, so that all words of a text are hashed at once from
+    running sums; other words are hashed one by one and kept.
+    """
+
+    def __init__(self):
+        super().__init__()
+        self._room(0)
+
+    def _room(self, n: int) -> None:
+        self.up, self.down = _powers(SPREAD, n), _powers(SPREAD_BACK, n)
 
     def of(self, word: bytes) -> int:
         core = word.strip(EDGES) or word
@@ -65,42 +108,109 @@ class Templates(WordHashes):
             if shown[:1].isupper() and shown[1:2].islower():
                 flags |= 2
             core = shown.lower().encode()
-        return ((WordHashes.of(self, core) << 3) & ((1 << 64) - 1)) | flags
+        if core.isascii():
+            value = sum(int(LETTERS[b]) * pow(SPREAD, k, 1 << 64) for k, b in enumerate(core)) + len(core)
+            value = int(mix(np.array([value % (1 << 64)], np.uint64))[0])
+        else:
+            value = WordHashes.of(self, core)
+        return ((value << 3) & ((1 << 64) - 1)) | flags
+
+    def coded(self, text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(of() of each word, whether it is the first of its line, where it starts) of a text."""
+        if len(text) <= PIECE:
+            return self._coded(text)
+        parts, at, line = [], 0, True  # cut before white space, so that no word and no line break is lost
+        while at < len(text):
+            rest = BREAK.search(text, at + PIECE)
+            end = rest.start() if rest else len(text)
+            codes, first, starts = self._coded(text[at:end])
+            if len(codes):
+                first[0] = line or b"\n" in text[at : at + int(starts[0])]
+                line = b"\n" in text[at + int(starts[-1]) : end]
+            else:
+                line = line or b"\n" in text[at:end]
+            parts.append((codes, first, starts + at))
+            at = end
+        return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+
+    def _coded(self, text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        letters = np.frombuffer(text, np.uint8)
+        n = len(letters)
+        if len(self.up) <= n:
+            self._room(max(n + 1, PIECE + 1))
+        blank = np.ones(n + 2, bool)
+        blank[1:-1] = SPACE[letters]
+        turns = np.flatnonzero(blank[1:] != blank[:-1])
+        starts, ends = turns[::2], turns[1::2]
+        if not len(starts):
+            return np.zeros(0, np.uint64), np.zeros(0, bool), starts
+        breaks = np.searchsorted(np.flatnonzero(letters == 10), starts)
+        first = np.concatenate([[True], breaks[1:] != breaks[:-1]])
+        # cores: without punctuation at the ends, unless nothing else is there
+        low, high = starts.copy(), ends.copy()
+        cut = np.flatnonzero(EDGE[letters[starts]] | EDGE[letters[ends - 1]])
+        if len(cut):
+            inner = np.flatnonzero(~EDGE[letters] & ~blank[1:-1])
+            a, b = np.searchsorted(inner, starts[cut]), np.searchsorted(inner, ends[cut])
+            some = b > a
+            low[cut[some]], high[cut[some]] = inner[a[some]], inner[b[some] - 1] + 1
+        sums = np.zeros(n + 1, np.uint64)
+        np.cumsum(LETTERS[letters] * self.up[:n], out=sums[1:])
+        codes = mix((sums[high] - sums[low]) * self.down[low] + (high - low).astype(np.uint64)) << np.uint64(3)
+        flags = END[letters[ends - 1]].astype(np.uint64) << np.uint64(2)
+        flags[UPPER[letters[low]] & (high - low > 1) & LOWER[letters[np.minimum(low + 1, n - 1)]]] |= np.uint64(2)
+        for k in np.flatnonzero(DIGIT[letters[low]]).tolist():
+            if NUMBER.fullmatch(text, int(low[k]), int(high[k])):
+                flags[k] |= np.uint64(1)
+        codes |= flags
+        wide = np.flatnonzero(letters > 127)
+        if len(wide):
+            for k in np.unique(np.searchsorted(ends, wide, "right")).tolist():
+                codes[k] = self[text[starts[k] : ends[k]]]
+        return codes, first, starts
 
 
 UNIT_HASHES = np.sort(np.array([Templates().of(u) & ~7 & ((1 << 64) - 1) for u in UNITS], np.uint64))
 PLACEHOLDER = mix(np.arange(1, 5, dtype=np.uint64))
-#: Keeps the hashes of windows of words apart from those of templates.
-VERBATIM = np.uint64(0x5851F42D4C957F2D)
-FACTOR = np.uint64(0x9FB21C651E98DF25)
-#: FACTOR to the powers 0 to WINDOW - 1.
-POWERS = np.array([pow(int(FACTOR), k, 1 << 64) for k in range(WINDOW)], np.uint64)
 
 
-def template(text: bytes, words: Templates) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(template hashes, kinds, the words' own hashes, places of words that may be names) of a text."""
-    lines = text.split(b"\n") if b"\n" in text else [text]
-    split = [x.split() for x in lines]
-    flat = [w for x in split for w in x]
-    coded = words.array(flat)
+def _kinds(coded: np.ndarray, first: np.ndarray, heads: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(template hashes, kinds, the words' own hashes, places of words that may be names) of the words of texts; first: those that begin a
+    line, heads: the places of those that begin a text."""
     own, flags = coded >> np.uint64(3), coded & np.uint64(7)
-    kinds = np.zeros(len(flat), np.uint8)
-    either = np.zeros(0, np.int64)
-    if len(flat):
-        starts = np.concatenate([[True], (flags[:-1] & np.uint64(4)) != 0])
-        firsts = np.cumsum([0, *[len(x) for x in split]])[:-1]
-        starts[firsts[firsts < len(flat)]] = True
-        kinds[(flags & np.uint64(2) != 0) & ~starts] = NAME
-        number = flags & np.uint64(1) != 0
-        kinds[number] = NUM
-        if number.any():
-            after = np.flatnonzero(number[:-1]) + 1
-            bare = coded[after] & ~np.uint64(7)
-            at = np.minimum(np.searchsorted(UNIT_HASHES, bare), len(UNIT_HASHES) - 1)
-            after = after[(UNIT_HASHES[at] == bare) & (kinds[after] != NUM)]
-            kinds[after] = UNIT
-        either = np.flatnonzero((flags & np.uint64(2) != 0) & (kinds == WORD))
-    return np.where(kinds == WORD, own, PLACEHOLDER[kinds]), kinds, own, either
+    kinds = np.zeros(len(coded), np.uint8)
+    begins = first.copy()
+    begins[1:] |= (flags[:-1] & np.uint64(4)) != 0
+    capital, number = flags & np.uint64(2) != 0, flags & np.uint64(1) != 0
+    kinds[capital & ~begins] = NAME
+    kinds[number] = NUM
+    after = np.zeros(len(coded) + 1, bool)
+    after[1:] = number
+    after[heads] = False
+    after = np.flatnonzero(after[:-1])
+    if len(after):
+        bare = coded[after] & ~np.uint64(7)
+        at = np.minimum(np.searchsorted(UNIT_HASHES, bare), len(UNIT_HASHES) - 1)
+        kinds[after[(UNIT_HASHES[at] == bare) & (kinds[after] != NUM)]] = UNIT
+    return np.where(kinds == WORD, own, PLACEHOLDER[kinds]), kinds, own, np.flatnonzero(capital & (kinds == WORD))
+
+
+def template(text: bytes, words: Templates) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """_kinds() of one text."""
+    coded, first, _ = words.coded(text)
+    return _kinds(coded, first, np.zeros(1, np.int64))
+
+
+def _groups(texts: list[bytes]) -> Iterator[tuple[int, int]]:
+    """Runs of texts of PIECE bytes together at most, or of one text."""
+    start = size = 0
+    for k, text in enumerate(texts):
+        if k > start and size + len(text) > PIECE:
+            yield start, k
+            start, size = k, 0
+        size += len(text) + 1
+    if texts:
+        yield start, len(texts)
 
 
 def _sums(hashes: np.ndarray, width: int) -> np.ndarray:
@@ -154,26 +264,43 @@ def _windows_of(batches: Iterator[pa.RecordBatch], table: np.ndarray | None, sho
     """The windows whose hash has its bit in the table (without a table: all). short: the widths below WINDOW that the items have."""
     words = Templates()
     for part in slices(batches):
-        ids, hashes_out, places, names_out, slots = [], [], [], [], []
-        for id, text in zip(part.column(0).to_pylist(), utf8(part.column(1)), strict=True):
-            shown, kinds, own, either = template(text, words)
-            width = min(WINDOW, len(shown))
-            for w in [width, *(w for w in short if w < width)] if width else []:
-                hashes, starts, names = _windows_at(shown, kinds, own, either, w)
+        keys, texts = part.column(0).to_pylist(), utf8(part.column(1))
+        for low, high in _groups(texts):
+            ids, found = keys[low:high], []
+            for w, doc, hashes, at, names, word_at, shape in _windows_in(texts[low:high], words, short):
                 if table is not None:
                     bit = mix(hashes) % np.uint64(BITS)
-                    kept = np.flatnonzero((table[(bit >> np.uint64(3)).astype(np.int64)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1)
-                    hashes, starts, names = hashes[kept], starts[kept], names[kept]
-                for hash, at, taken in zip(hashes.astype(np.int64).tolist(), starts.tolist(), names.tolist(), strict=True):
-                    ids.append(id)
-                    hashes_out.append(hash)
-                    places.append(at)
-                    names_out.append(taken)
-                    slots.append([] if taken < 0 else _slots(kinds, own, either, at, w, taken))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(ids, pa.int64()), pa.array(hashes_out, pa.int64()), pa.array(places, pa.int32()), pa.array(names_out, pa.int32()), pa.array(slots, pa.list_(pa.int64()))],
-            names=["id", "hash", "at", "names", "slots"],
-        )
+                    kept = (table[(bit >> np.uint64(3)).astype(np.int64)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1 != 0
+                    doc, hashes, at, names, word_at = doc[kept], hashes[kept], at[kept], names[kept], word_at[kept]
+                for k, hash, place, taken, start in zip(doc.tolist(), hashes.astype(np.int64).tolist(), at.tolist(), names.tolist(), word_at.tolist(), strict=True):
+                    found.append((ids[k], hash, place, taken, [] if taken < 0 else _slots(*shape, start, w, taken)))
+            columns = list(zip(*found, strict=True)) or [[]] * 5
+            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64())]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["id", "hash", "at", "names", "slots"])
+
+
+def _windows_in(texts: list[bytes], words: Templates, short: list[int]) -> Iterator[tuple]:
+    """(width, the text's number, hash, place in the text, names, place in shape, shape) of the windows of texts, by width. A text of fewer than
+    WINDOW words has one window of them all; it and the others have windows of the short widths too."""
+    coded, first, starts = words.coded(b"\n".join(texts))
+    begin = np.cumsum([0, *[len(t) + 1 for t in texts]])
+    heads = np.searchsorted(starts, begin)  # the number of the first word of each text
+    sizes = np.diff(heads)
+    shown, kinds, own, either = _kinds(coded, first, heads)
+    for w in range(1, WINDOW + 1):
+        has = (sizes >= w) if w == WINDOW or w in short else sizes == w
+        if not has.any():
+            continue
+        mine, sub = np.flatnonzero(has), (shown, kinds, own, either)
+        if len(mine) < len(sizes):
+            inside = np.repeat(has, sizes)
+            sub = (shown[inside], kinds[inside], own[inside], (np.cumsum(inside) - 1)[either[inside[either]]])
+        at = np.concatenate([[0], np.cumsum(sizes[mine])])
+        hashes, places, names = _windows_at(*sub, w)
+        doc = np.searchsorted(at, places, "right") - 1
+        whole = places + w <= at[doc + 1]
+        hashes, places, names, doc = hashes[whole], places[whole], names[whole], doc[whole]
+        yield w, mine[doc], hashes, places - at[doc], names, places, sub[1:]
 
 
 def item_windows(benchmark: DataFrame, key: str = "item_id", text: str = "text") -> DataFrame:

@@ -647,3 +647,38 @@ def test_decontamination_takes_names_that_begin_sentences(spark):
             if (kinds[at : at + 8] == decontamination.WORD).sum() - len(as_names) >= decontamination.PLAIN:
                 plain[at, mask] = int(common.windows(form[at : at + 8], 8)[0])
     assert len(either) == 4 and plain == {(a, n): h for h, a, n in zip(hashes, starts, names, strict=True) if n >= 0}
+
+
+def test_words_coded_at_once_equal_words_coded_one_by_one(monkeypatch):
+    rng = random.Random(5)
+    bits = ["a", "B", "Zoo", "x1", "12", "3.5%", "-7", "$", ".", "!", "(", ")", ",", "'", " ", " ", " ", "\n", "\t", "\r\x0b", "é", "Éa", "K", "漢", "km", "\x00", "ŉ"]
+    for piece in (1 << 18, 9):
+        monkeypatch.setattr(decontamination, "PIECE", piece)
+        words = decontamination.Templates()
+        for _ in range(1500):
+            text = "".join(rng.choices(bits, k=rng.randrange(60))).encode()
+            codes, first, starts = words.coded(text)
+            want, begins, at = [], [], 0
+            for line in text.split(b"\n"):
+                for k, w in enumerate(line.split()):
+                    want.append((words.of(w), k == 0))
+                    at = text.index(w, at)
+                    begins.append(at)
+                    at += len(w)
+            assert list(zip(codes.tolist(), first.tolist(), strict=True)) == want and starts.tolist() == begins
+
+
+def test_windows_of_many_texts_equal_those_of_each():
+    rng = random.Random(6)
+    bits = ["one", "Two", "3", "km", "four.", "\n", "Anna", "seven", "é"]
+    texts = [" ".join(rng.choices(bits, k=rng.choice([0, 1, 2, 5, 7, 8, 9, 30]))).encode() for _ in range(400)]
+    for short in ([], [2, 5]):
+        words, got, want = decontamination.Templates(), set(), set()
+        for w, doc, hashes, at, names, _, _ in decontamination._windows_in(texts, words, short):
+            got |= {(w, *x) for x in zip(doc.tolist(), hashes.tolist(), at.tolist(), names.tolist())}
+        for d, text in enumerate(texts):
+            own = decontamination.template(text, words)
+            width = min(8, len(own[0]))
+            for w in {width, *(s for s in short if s < width)} - {0}:
+                want |= {(w, d, *x) for x in zip(*(v.tolist() for v in decontamination._windows_at(*own, w)))}
+        assert got == want
