@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import bpe, decontamination, licenses, line_dedup, ngram_join, pii, quality, secret_scan, training_order, urls
+from tessella.llm import bpe, decontamination, importance, licenses, line_dedup, ngram_join, pii, quality, secret_scan, training_order, urls
 from tessella.llm.common import table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -60,6 +60,10 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -68,7 +72,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     named = [
-        op1_training_order, op2_pii, op3_secrets, op4_quality, op5_line_dedup, op6_ngram_join, op7_bpe, op8_licenses, op9_urls, op10_decontamination, pipeline,
+        op1_training_order, op2_pii, op3_secrets, op4_quality, op5_line_dedup, op6_ngram_join, op7_bpe, op8_licenses, op9_urls, op10_decontamination, op11_importance, pipeline,
     ]
     return {f.__name__: f for f in named}
 
