@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import bpe, decontamination, importance, licenses, line_dedup, ngram_join, pii, quality, secret_scan, training_order, urls
+from tessella.llm import bpe, collocations, decontamination, importance, licenses, line_dedup, ngram_join, pii, quality, secret_scan, training_order, urls
 from tessella.llm.common import table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -64,6 +64,10 @@ def op11_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mined(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -72,7 +76,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     named = [
-        op1_training_order, op2_pii, op3_secrets, op4_quality, op5_line_dedup, op6_ngram_join, op7_bpe, op8_licenses, op9_urls, op10_decontamination, op11_importance, pipeline,
+        op1_training_order, op2_pii, op3_secrets, op4_quality, op5_line_dedup, op6_ngram_join, op7_bpe, op8_licenses, op9_urls, op10_decontamination, op11_importance, op13_collocations, pipeline,
     ]
     return {f.__name__: f for f in named}
 
@@ -115,5 +119,28 @@ SELECT any_value(doc_id) AS doc_id, count(*)::BIGINT AS n_lines, count_if(gone):
 FROM judged GROUP BY rid"""
 
 
+COLLOCATIONS_SQL = r"""
+WITH docs AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\n-\r]')) AS piece FROM documents
+), pieces AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[ \t]+'), lambda w: w <> '') AS w FROM docs),
+runs AS (
+  SELECT lang, k, array_to_string(w[i:i+k-1], ' ') AS phrase, w[i] AS w1, w[i+1] AS w2, w[i+2] AS w3
+  FROM (SELECT lang, w, k, unnest(generate_series(1, len(w) - k + 1)) AS i FROM pieces, (VALUES (1), (2), (3)) AS ks(k) WHERE len(w) >= k)
+), f AS (
+  SELECT lang, k, phrase, any_value(w1) AS w1, any_value(w2) AS w2, any_value(w3) AS w3, count(*) AS a FROM runs GROUP BY lang, k, phrase
+), cut AS (
+  SELECT lang, k, phrase, a, 1 AS c, w1 AS p, CASE WHEN k = 2 THEN w2 ELSE w2 || ' ' || w3 END AS q, k - 1 AS kq FROM f WHERE k > 1 AND a >= 10
+  UNION ALL SELECT lang, k, phrase, a, 2, w1 || ' ' || w2, w3, 1 FROM f WHERE k = 3 AND a >= 10
+), s AS (
+  SELECT cut.lang, cut.k, cut.phrase, cut.a, c, l.a AS l, r.a AS r, CAST((1000000::HUGEINT * cut.a * cut.a) // (l.a::HUGEINT * r.a) AS BIGINT) AS score
+  FROM cut JOIN f AS l ON l.lang = cut.lang AND l.k = c AND l.phrase = p JOIN f AS r ON r.lang = cut.lang AND r.k = kq AND r.phrase = q
+), best AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, k, phrase ORDER BY score, c) = 1),
+inside AS (
+  SELECT lang, phrase, max(a) AS most FROM (SELECT lang, w1 || ' ' || w2 AS phrase, a FROM f WHERE k = 3 AND a >= 10 UNION ALL SELECT lang, w2 || ' ' || w3, a FROM f WHERE k = 3 AND a >= 10) GROUP BY 1, 2
+), kept AS (SELECT best.* FROM best LEFT JOIN inside ON k = 2 AND inside.lang = best.lang AND inside.phrase = best.phrase WHERE most IS NULL OR 100 * most < 50 * a)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM kept JOIN (SELECT lang, sum(a)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang) USING (lang) QUALIFY rank <= 2000"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_quality": QUALITY_SQL, "op5_line_dedup": LINES_SQL, "op9_urls": urls.sql()}
+    return {"op4_quality": QUALITY_SQL, "op5_line_dedup": LINES_SQL, "op9_urls": urls.sql(), "op13_collocations": COLLOCATIONS_SQL}
