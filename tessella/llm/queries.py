@@ -124,16 +124,17 @@ WITH docs AS (
   SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\n-\r]')) AS piece FROM documents
 ), pieces AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[ \t]+'), lambda w: w <> '') AS w FROM docs),
 runs AS (
-  SELECT lang, k, array_to_string(w[i:i+k-1], ' ') AS phrase, w[i] AS w1, w[i+1] AS w2, w[i+2] AS w3
-  FROM (SELECT lang, w, k, unnest(generate_series(1, len(w) - k + 1)) AS i FROM pieces, (VALUES (1), (2), (3)) AS ks(k) WHERE len(w) >= k)
-), f AS (
-  SELECT lang, k, phrase, any_value(w1) AS w1, any_value(w2) AS w2, any_value(w3) AS w3, count(*) AS a FROM runs GROUP BY lang, k, phrase
+  SELECT lang, k, u.phrase AS phrase, u.w1 AS w1, u.w2 AS w2, u.w3 AS w3 FROM (
+    SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: {'phrase': array_to_string(w[i:i+k-1], ' '), 'w1': w[i], 'w2': w[i+1], 'w3': w[i+2]})) AS u
+    FROM pieces, (VALUES (1), (2), (3)) AS ks(k) WHERE len(w) >= k)
+), f AS MATERIALIZED (
+  SELECT lang, k, phrase, lang || chr(1) || k || chr(1) || phrase AS key, any_value(w1) AS w1, any_value(w2) AS w2, any_value(w3) AS w3, count(*) AS a FROM runs GROUP BY lang, k, phrase
 ), cut AS (
-  SELECT lang, k, phrase, a, 1 AS c, w1 AS p, CASE WHEN k = 2 THEN w2 ELSE w2 || ' ' || w3 END AS q, k - 1 AS kq FROM f WHERE k > 1 AND a >= 10
-  UNION ALL SELECT lang, k, phrase, a, 2, w1 || ' ' || w2, w3, 1 FROM f WHERE k = 3 AND a >= 10
+  SELECT lang, k, phrase, a, 1 AS c, '1' || chr(1) || w1 AS p, CASE WHEN k = 2 THEN '1' || chr(1) || w2 ELSE '2' || chr(1) || w2 || ' ' || w3 END AS q FROM f WHERE k > 1 AND a >= 10
+  UNION ALL SELECT lang, k, phrase, a, 2, '2' || chr(1) || w1 || ' ' || w2, '1' || chr(1) || w3 FROM f WHERE k = 3 AND a >= 10
+), lefts AS MATERIALIZED (SELECT cut.*, f.a AS l FROM cut JOIN f ON f.key = cut.lang || chr(1) || p
 ), s AS (
-  SELECT cut.lang, cut.k, cut.phrase, cut.a, c, l.a AS l, r.a AS r, CAST((1000000::HUGEINT * cut.a * cut.a) // (l.a::HUGEINT * r.a) AS BIGINT) AS score
-  FROM cut JOIN f AS l ON l.lang = cut.lang AND l.k = c AND l.phrase = p JOIN f AS r ON r.lang = cut.lang AND r.k = kq AND r.phrase = q
+  SELECT x.lang, x.k, x.phrase, x.a, c, l, f.a AS r, CAST((1000000::HUGEINT * x.a * x.a) // (l::HUGEINT * f.a) AS BIGINT) AS score FROM lefts AS x JOIN f ON f.key = x.lang || chr(1) || q
 ), best AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, k, phrase ORDER BY score, c) = 1),
 inside AS (
   SELECT lang, phrase, max(a) AS most FROM (SELECT lang, w1 || ' ' || w2 AS phrase, a FROM f WHERE k = 3 AND a >= 10 UNION ALL SELECT lang, w2 || ' ' || w3, a FROM f WHERE k = 3 AND a >= 10) GROUP BY 1, 2
