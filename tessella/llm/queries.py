@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import bpe, collocations, decontamination, importance, licenses, line_dedup, ngram_join, pii, quality, secret_scan, training_order, urls
+from tessella.llm import bpe, collocations, decontamination, importance, licenses, line_dedup, ngram_join, pii, quality, secret_scan, suffix_dedup, training_order, urls
 from tessella.llm.common import table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -64,6 +64,10 @@ def op11_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.report(table(spark, sf_dir, "documents"))
+
+
 def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.mined(table(spark, sf_dir, "documents"))
 
@@ -76,7 +80,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     named = [
-        op1_training_order, op2_pii, op3_secrets, op4_quality, op5_line_dedup, op6_ngram_join, op7_bpe, op8_licenses, op9_urls, op10_decontamination, op11_importance, op13_collocations, pipeline,
+        op1_training_order, op2_pii, op3_secrets, op4_quality, op5_line_dedup, op6_ngram_join, op7_bpe, op8_licenses, op9_urls, op10_decontamination, op11_importance, op12_suffix_dedup, op13_collocations, pipeline,
     ]
     return {f.__name__: f for f in named}
 
