@@ -36,8 +36,8 @@ LEAST, TOP = 10, 2_000
 INSIDE = 50
 UNKNOWN = "und"
 #: Words of a task's tries before they are cut and sent on; ranks of words fit in BITS bits.
-SHARD_WORDS, BITS = 1_900_000, 21
-RANGE_BYTES, CUT_SAMPLES = 64 << 20, 16
+SHARD_WORDS, BITS = 600_000, 21
+RANGE_BYTES, CUT_SAMPLES = 32 << 20, 16
 TEXT_BYTES, PARTS = 1 << 18, 64
 #: Letters in lower case, the marks that end a piece as line feeds, tabs as spaces.
 MARKS = bytes(c + 32 if 65 <= c <= 90 else 10 if c in b".,;:!?" or 10 <= c <= 13 else 32 if c == 9 else c for c in range(256))
@@ -143,26 +143,33 @@ def nodes_of(blob: bytes, n: int, vocabulary: int, unpress: zstandard.ZstdDecomp
 
 def above(depth: np.ndarray, of: int) -> np.ndarray:
     """For each node in preorder the place of the latest node of a depth: where its path passes it."""
-    return np.maximum.accumulate(np.where(depth == of, np.arange(len(depth)), 0))
+    return np.maximum.accumulate(np.where(depth == of, np.arange(len(depth), dtype=np.int32), np.int32(0)))
 
 
 def merged(runs: list[tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]]) -> tuple[list[bytes], list[np.ndarray], np.ndarray]:
-    """(sorted words, ranks of the first, second and third word from 1 or 0, counts) of the sum of serialised tries, in preorder."""
+    """(sorted words, ranks of the first, second and third word from 1 or 0, counts) of the sum of serialised tries, in preorder. Of each node
+    one packed number is held, or three if there are too many words for that."""
     words = sorted({w for run in runs for w in run[0]})
     rank = {w: k + 1 for k, w in enumerate(words)}
     bits = max(1, len(words).bit_length())
-    parts = []
-    for own, depth, last, _ in runs:
+    packs = 3 * bits <= 62
+    total = sum(len(run[1]) for run in runs)
+    keys, counts, at = [np.empty(total, np.int64 if packs else np.int32) for _ in range(1 if packs else 3)], np.empty(total, np.int64), 0
+    for own, depth, last, n in runs:
         r = np.fromiter(map(rank.__getitem__, own), np.int64, len(own))[last]
-        one, two = r[above(depth, 1)], np.where(depth > 1, r[above(depth, 2)], 0)
-        parts.append((one, two, np.where(depth > 2, r, 0)))
-    one, two, three = (np.concatenate(x) for x in zip(*parts))
-    counts = np.concatenate([r[3] for r in runs]).astype(np.int64)
-    # runs are sorted, and a stable sort of sorted runs merges them
-    order = np.argsort((one << 2 * bits) | (two << bits) | three, kind="stable") if 3 * bits <= 62 else np.lexsort((three, two, one))
-    one, two, three = one[order], two[order], three[order]
-    at = np.flatnonzero(np.concatenate([[True], (one[1:] != one[:-1]) | (two[1:] != two[:-1]) | (three[1:] != three[:-1])]))
-    return words, [one[at], two[at], three[at]], np.add.reduceat(counts[order], at)
+        here = slice(at, at + len(r))
+        path = r[above(depth, 1)], np.where(depth > 1, r[above(depth, 2)], 0), np.where(depth > 2, r, 0)
+        for key, part in zip(keys, [(path[0] << 2 * bits) | (path[1] << bits) | path[2]] if packs else path):
+            key[here] = part
+        counts[here], at = n, here.stop
+    order = np.argsort(keys[0], kind="stable") if packs else np.lexsort(keys[::-1])  # merges, as the runs are sorted
+    keys = [key[order] for key in keys]
+    new = np.flatnonzero(np.append(True, np.any([key[1:] != key[:-1] for key in keys], axis=0)))
+    counts = np.add.reduceat(counts[order], new)
+    del order
+    keys = [key[new] for key in keys]
+    mask = (1 << bits) - 1
+    return words, [(keys[0] >> shift & mask).astype(np.int32) for shift in (2 * bits, bits, 0)] if packs else keys, counts
 
 
 def cut_points(df: DataFrame, ranges: int) -> list[Path]:

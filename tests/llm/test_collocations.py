@@ -93,5 +93,6 @@ def test_merged_tries_equal_one_trie():
     words, nodes, counts, n = one.trie(True)
     assert n == 800
     got_words, ranks, got = collocations.merged(runs)
+    ranks = [r.astype(np.int64) for r in ranks]
     key = (ranks[0] << 42) | (ranks[1] << 21) | ranks[2]
     assert got_words == words and np.array_equal(key, nodes) and np.array_equal(got, counts)
