@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.operators.select import place_among
+from tessella.operators.stats import t_column
 
 
 def tile_class_counts(df: DataFrame) -> DataFrame:
@@ -97,16 +98,12 @@ def quantiles(df: DataFrame, by: list[str], value: str, shares: dict[str, float]
 
 
 def latency_stats(df: DataFrame, by: list[str], value: str = "ms") -> DataFrame:
-    """Per key: count, mean, sample deviation, cv, exact linear percentiles, extremes and a 95 % interval of the mean, by the
-    normal quantile with a correction for few rows; below ten rows it is a little too narrow."""
+    """Per key: count, mean, sample deviation, cv, exact linear percentiles, extremes and the 95 % t interval of the mean."""
     shown = df.groupBy(*by).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"), F.min(value).alias("min"), F.max(value).alias("max"))
     there = [f"_q{k}" for k in range(len(by))]
     q = quantiles(df, by, value, {"p50": 0.5, "p95": 0.95, "p99": 0.99}).toDF(*there, "p50", "p95", "p99")
     out = shown.join(q, same(by, there), "left").drop(*there)
-    t = F.lit(1.959963984540054)
-    n = F.col("n") - 1
-    z = t + (t**3 + t) / (4 * n) + (5 * t**5 + 16 * t**3 + 3 * t) / (96 * n * n) + (3 * t**7 + 19 * t**5 + 17 * t**3 - 15 * t) / (384 * n * n * n)
-    half = F.when(n > 0, z * F.col("sd") / F.sqrt("n"))
+    half = F.when(F.col("n") > 1, t_column(F.col("n") - 1) * F.col("sd") / F.sqrt("n"))
     return out.withColumns({"cv": F.when(F.col("mean") != 0, F.col("sd") / F.col("mean")), "ci_low": F.col("mean") - half, "ci_high": F.col("mean") + half})
 
 

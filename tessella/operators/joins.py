@@ -50,6 +50,16 @@ def last_changes(changes: DataFrame, by: list[str], value: str, version: str | N
 
 
 def updated(df: DataFrame, changes: DataFrame, key: str, value: str, version: str | None = None) -> DataFrame:
-    """df with value replaced where changes has the key; repeated changes do not repeat rows, see last_changes."""
-    new = last_changes(changes, [key], value, version).withColumnRenamed(value, "_new")
-    return df.join(new, key, "left").withColumn(value, F.coalesce("_new", value)).drop("_new")
+    """df with value replaced where changes has the key, by null too; repeated changes do not repeat rows, see last_changes."""
+    new = last_changes(changes, [key], value, version)
+    of, to, found = (fresh(df, c) for c in ("_of", "_to", "_found"))
+    new = new.select(F.col(key).alias(of), F.col(value).alias(to), F.lit(True).alias(found))
+    met = df.join(new, df[key] == new[of], "left")
+    return met.withColumn(value, F.when(F.col(found), F.col(to)).otherwise(F.col(value))).drop(of, to, found)
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df does not have."""
+    while name in df.columns:
+        name += "_"
+    return name

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from tessella.functions import keys
 from tessella.functions.grid import GridSpec, valid
-from tessella.operators.joins import last_changes
+from tessella.operators.joins import fresh, last_changes
 from tessella.operators.select import with_keys
 from tessella.sources.shared import removed, shared_dir
 
@@ -106,11 +106,12 @@ def update_classes(spark: SparkSession, path: str, changes: DataFrame, enum: dic
     keys too. Of several changes of one object last_changes tells which counts."""
     table = spark.read.parquet(path)
     by = [*folders, "object_id"]
-    one = last_changes(changes, by, "class_label", version).withColumnRenamed("class_label", "_new")
+    to, found = fresh(table, "_to"), fresh(table, "_found")
+    one = last_changes(changes, by, "class_label", version).withColumnRenamed("class_label", to).withColumn(found, F.lit(True))
     touched = table.join(one.select(*folders).distinct(), folders, "left_semi")
-    met = touched.join(one, by, "left")
-    new = met.withColumn("class_label", F.coalesce("_new", "class_label"))
-    new = new.withColumn("c_key", F.when(F.col("_new").isNull(), F.col("c_key")).otherwise(keys.composite(keys.class_code(F.col("class_label"), enum), keys.composite_low(F.col("c_key")))))
+    changed = touched.join(one, by, "left").withColumn(found, F.coalesce(found, F.lit(False)))
+    new = changed.withColumn("class_label", F.when(F.col(found), F.col(to)).otherwise(F.col("class_label")))
+    new = new.withColumn("c_key", F.when(F.col(found), keys.composite(keys.class_code(F.col("class_label"), enum), keys.composite_low(F.col("c_key")))).otherwise(F.col("c_key")))
     replace_partitions(spark, new.select(*table.columns), path, folders)
 
 
@@ -127,21 +128,18 @@ class Stored:
         return spark.read.schema(self.schema).parquet(self.path)
 
 
-#: What this process has written with kept(), by session, source, layout and name.
-_WRITTEN: dict[tuple, Stored] = {}
+#: Catalogs of this process, by application and folder; what they list is in their folders.
+_CATALOGS: dict[tuple[str, str], object] = {}
 
 
-def kept(spark: SparkSession, source: str, layout: str, name: str, objects, spec: GridSpec, buckets: int = 1, **options) -> Stored:
-    """A layout in the shared folder, written from objects() on first use and read by all queries after it."""
-    key = (spark.sparkContext.applicationId, source, layout, name)
-    if key not in _WRITTEN:
-        path = f"{shared_dir(spark)}/{name}-{layout}-{uuid.uuid4().hex}"
-        df = objects()
-        enum = {r["class_label"]: r["code"] for r in keys.class_enum(df).collect()}  # one row per class
-        write(with_keys(df, spec, enum, buckets), path, layout, order=spec.order, buckets=buckets, **options)
-        rows = spark.read.parquet(path)
-        _WRITTEN[key] = Stored(path, rows.schema, enum, rows.count())
-    return _WRITTEN[key]
+def kept(spark: SparkSession, layout: str, name: str, objects, spec: GridSpec, buckets: int = 1, root: str | None = None, **options) -> Stored:
+    """A layout in the catalog at root (the shared folder's, unless given), written from objects() on first use, and again when the source's files,
+    the grid, the buckets or the options differ."""
+    from tessella.operators.catalog import LayoutCatalog
+
+    place = root or f"{shared_dir(spark)}/layouts"
+    catalog = _CATALOGS.setdefault((spark.sparkContext.applicationId, place), LayoutCatalog(spark, place))
+    return catalog.ensure(name, layout, objects, spec, buckets, **options)
 
 
 def split_bucket(spark: SparkSession, path: str, group: str, bucket: int, first_new: int, low: int, high: int) -> None:

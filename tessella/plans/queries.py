@@ -6,6 +6,7 @@ against a recursive query of the published recurrence.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -108,9 +109,14 @@ def viewport_morton(spark, d):
     return select.viewport_pruned(keyed(events(spark, d), EVENTS, {}), EVENTS, RECT, "g0", curve="morton", stored=False).select(*SHOWN)
 
 
+def named_after(table: str, d: str) -> str:
+    """A layout's name for a table of a folder."""
+    return f"{table}-{zlib.crc32(d.encode()):08x}"
+
+
 def stored_events(spark, d, kind: str = "two_level") -> layout.Stored:
     """The events as a stored layout, written once in a session; queries then read folders, files and row groups that can matter."""
-    return layout.kept(spark, d, kind, "events", lambda: events(spark, d), EVENTS, BUCKETS)
+    return layout.kept(spark, kind, named_after("events", d), lambda: events(spark, d), EVENTS, BUCKETS)
 
 
 @query(VIEWPORT)
@@ -218,7 +224,7 @@ def knn_rings(spark, d):
 @query(f"SELECT object_id, round(dist, 9) AS dist FROM (SELECT object_id, {EMBED_KNN} AS dist FROM {EMBED_SQL} ORDER BY dist, object_id LIMIT 25)")
 def knn_rings_stored(spark, d):
     """Rings over a stored layout; the first is sized by the catalog's number of objects."""
-    kept = layout.kept(spark, d, "two_level", "embed", lambda: embed(spark, d), EMBED, BUCKETS)
+    kept = layout.kept(spark, "two_level", named_after("embed", d), lambda: embed(spark, d), EMBED, BUCKETS)
     first = select.first_ring(EMBED, 25, kept.n_objects)
     return select.knn_rings(kept.read(spark), EMBED, 0.02, -0.01, 25, first=first, buckets=BUCKETS).withColumn("dist", F.round("dist", 9))
 

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -26,3 +27,23 @@ def removed(spark: SparkSession, path: str) -> None:
     """Deletes a folder in whatever file system it is."""
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def stored(df: DataFrame, name: str = "step") -> DataFrame:
+    """df written to the shared folder and read again: its lineage ends there, and a lost executor loses nothing of it."""
+    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def files_of(spark: SparkSession, paths: list[str]) -> list[tuple[str, int, int]]:
+    """(file, bytes, time of change) of all files at or below the paths, sorted; whatever the file system. Names that begin with _ or . are left out."""
+    out = []
+    for p in paths:
+        place = spark._jvm.org.apache.hadoop.fs.Path(p)
+        found = place.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(place, True)
+        while found.hasNext():
+            f = found.next()
+            if f.getPath().getName()[0] not in "_.":
+                out.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return sorted(out)

@@ -3,6 +3,7 @@ import pytest
 
 import __spark_entry__ as entry_point
 from tessella.plans import queries as Q
+from tessella.plans import studies  # noqa: F401
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -19,7 +20,7 @@ def duck(small):
     return con
 
 
-@pytest.mark.parametrize("name", list(Q.QUERIES))
+@pytest.mark.parametrize("name", list(Q.SQL))
 def test_query_equals_sql(spark, small, duck, name):
     df = Q.QUERIES[name](spark, small)
     columns = sorted(df.columns)
