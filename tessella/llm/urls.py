@@ -1,7 +1,7 @@
 """URL filters: rules on host and path, then a logistic regression on hashed character n-grams of host and path.
 
-The model is fitted on a small labelled table of URLs on the driver (a few hundred rows, a fixed
-bound) and scores pages in DataFrame expressions only. The hash is a polynomial over code points, so
+The model is fitted on a small labelled table of URLs on the driver (LABELLED_ROWS, a fixed
+bound; a real table should replace it) and scores pages in DataFrame expressions only. The hash is a polynomial over code points, so
 that SQL engines without Spark's hash functions can check the scores.
 
 Cases: a null url, or one without ://, has an empty host and path, fits no rule and is judged by the
@@ -10,38 +10,45 @@ model's intercept alone; empty tables, repeated rows and other columns need no s
 
 from __future__ import annotations
 
-import math
 from functools import lru_cache
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SIZE, WIDTH = 1024, 3
+SIZE, WIDTH = 2048, 3
 #: (verdict, host, path): fixed values of the contract; a rule fits its host and all subdomains.
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
 
-#: The labelled table is built from these words, general ones and none taken from any table of pages: unwanted hosts carry
-#: one of the first, plain hosts only the second.
-UNWANTED = [
-    "casino-win", "cheap-pills", "free-bets", "ads-track", "spam-farm", "poker-bonus", "click-ads", "hot-deals", "adult-chat", "xxx-videos", "payday-loan", "lottery-prize",
-]
-PLAIN = [
-    "library", "garden", "school", "weather", "recipes", "travel", "museum", "history", "theatre", "northern", "weather-station", "another-thought", "nation", "father-and-mother",
-    "the-herald", "reading-list", "anthology", "hospital", "university", "orchestra", "athletics", "breathing", "stationery", "leather", "thread-and-needle", "bathing", "earth-science", "motherland",
-]
-PATHS = ["/en/{n}", "/de/{n}/", "/fr/{n}.html", "/es/{n}"]
-LABELLED_ROWS = 600
+#: The labelled table is built from these words by rules: kinds of sites that lists of unwanted hosts usually name, and kinds of ordinary sites. No host name
+#: of a `pages` table is in it (tested), but single words such as casino or adult can occur in both.
+UNWANTED = """casino poker roulette jackpot slots gambling betting bets wager lottery bingo pills viagra cialis pharmacy steroids meds loans payday forex binary-options crypto-profit
+adult porn xxx sex escort webcam dating-hookup nude ads adserver banner popup tracker tracking clicks affiliate spam bulk-mail link-farm traffic-boost replica fake-watches
+miracle-diet weight-loss keygen warez crack torrent-free prize-winner free-gift giveaway phishing account-verify malware""".split()
+PLAIN = """library garden school weather recipes travel museum history theatre hospital university orchestra athletics science research journal news times herald gazette radio
+review books reading writing poetry painting gallery music festival cinema football cycling hiking sailing climbing kitchen bakery farm market village city council parish
+church transport railway station harbour airport hotel bakehouse workshop carpenter engineering physics chemistry biology geology astronomy mathematics statistics
+language grammar dictionary translation law court parliament ministry embassy police firebrigade charity foundation society institute academy college nursery teacher
+student parents children family health nurse dentist pharmacology nutrition energy water forest river mountain island coast birds horses dogs wildlife climate""".split()
+AROUND = ["best", "online", "club", "zone", "world", "central", "direct", "my", "top", "24", "hub", "portal"]
+HOSTS = ["{a}-{w}.{t}", "www.{w}{a}.{t}", "{w}-{a}.{t}", "{w}.{a}.{t}"]
+PATHS = ["/en/{n}", "/de/{n}/", "/fr/{n}.html", "/es/{n}", "/", "/index.html", "/{n}/page", "/archive/{n}"]
+TOPS = ["com", "net", "org", "info", "co.uk", "de", "fr", "io"]
+#: Rows that are made of each word.
+EACH = 6
+LABELLED_ROWS = EACH * (len(UNWANTED) + len(PLAIN)) + 60
 
 
 def labelled() -> list[tuple[str, str, int]]:
-    """(host, path, 1 if unwanted): LABELLED_ROWS rows at most."""
-    names = [(w, 1) for w in UNWANTED] + [(w, 0) for w in PLAIN]
-    rows = [
-        (f"{prefix}{name}.example.{tld}", PATHS[(i + k) % len(PATHS)].format(n=100 + 37 * i + k), label)
-        for i, (name, label) in enumerate(names)
-        for k, (prefix, tld) in enumerate((p, t) for p in ("", "www.", "m.", "blog.") for t in ("com", "net", "org"))
-    ]
-    return [*rows, *[("", "", 0)] * 60][:LABELLED_ROWS]  # a page without a URL gives no reason to block
+    """(host, path, 1 if unwanted): LABELLED_ROWS rows. Both kinds of words get the same companions, forms, top-level domains and paths."""
+    rows = []
+    for words, label in ((UNWANTED, 1), (PLAIN, 0)):
+        for i, word in enumerate(words):
+            for k in range(EACH):
+                n = EACH * i + k
+                host = HOSTS[n % len(HOSTS)].format(w=word, a=AROUND[(5 * n + i) % len(AROUND)], t=TOPS[(3 * n + i) % len(TOPS)])
+                rows.append((host, PATHS[(n + i) % len(PATHS)].format(n=100 + 37 * n % 9_000), label))
+    return [*rows, *[("", "", 0)] * 60]  # a page without a URL gives no reason to block
 
 
 def grams(text: str, salt: int) -> list[int]:
@@ -50,21 +57,21 @@ def grams(text: str, salt: int) -> list[int]:
 
 
 @lru_cache(maxsize=2)
-def model(steps: int = 300, rate: float = 2.0, decay: float = 1e-3) -> tuple[tuple[float, ...], float]:
-    """Weights and intercept by gradient descent on the labelled table; a gram's value is its share of the URL's grams. Deterministic."""
+def model(steps: int = 1_500, rate: float = 16.0, decay: float = 3e-5) -> tuple[tuple[float, ...], float]:
+    """Weights and intercept by gradient descent on the labelled table; a gram's value is its share of the URL's grams. Both kinds of rows weigh the same
+    together. Deterministic."""
     rows = [(grams(host, 0) + grams(path, 500), label) for host, path, label in labelled()]
-    weights, intercept = [0.0] * SIZE, 0.0
+    label = np.array([y for _, y in rows], float)
+    weight = np.where(label == 1, 0.5 / label.sum(), 0.5 / (1 - label).sum())
+    slot, of = np.array([s for slots, _ in rows for s in slots]), np.array([k for k, (slots, _) in enumerate(rows) for _ in slots])
+    share = 4.0 / np.maximum(1, np.bincount(of, minlength=len(rows)))
+    weights, intercept = np.zeros(SIZE), 0.0
     for _ in range(steps):
-        slope, level = [decay * w for w in weights], 0.0
-        for slots, label in rows:
-            score = intercept + 4.0 * sum(weights[s] for s in slots) / max(1, len(slots))
-            error = (1.0 / (1.0 + math.exp(-score)) - label) / len(rows)
-            level += error
-            for s in slots:
-                slope[s] += 4.0 * error / len(slots)
-        weights = [w - rate * 8.0 * g for w, g in zip(weights, slope, strict=True)]
-        intercept -= rate * level
-    return tuple(round(w, 6) for w in weights), round(intercept, 6)
+        score = intercept + share * np.bincount(of, weights[slot], minlength=len(rows))
+        error = weight * (1 / (1 + np.exp(-score)) - label)
+        weights -= rate * (decay * weights + np.bincount(slot, (error * share)[of], minlength=SIZE))
+        intercept -= rate / 16 * error.sum()
+    return tuple(round(float(w), 6) for w in weights), round(float(intercept), 6)
 
 
 def host_of(url: Column) -> Column:
