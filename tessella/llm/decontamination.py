@@ -60,6 +60,10 @@ FACTOR = np.uint64(0x9FB21C651E98DF25)
 POWERS = np.array([pow(int(FACTOR), k, 1 << 64) for k in range(WINDOW)], np.uint64)
 #: Bytes that are read at a time: a group of texts, or a piece of a longer one.
 PIECE = 1 << 18
+#: Words whose windows are made at a time: a bound for memory, as a window of capitalised words is hashed up to 163 times; windows handed on at a time.
+STEP, ROWS = 4_096, 20_000
+#: Parts that the occurrences of one window are dealt to, so that a common phrase of the benchmark does not meet in one task.
+PARTS = 16
 
 
 def _is(members: bytes) -> np.ndarray:
@@ -272,11 +276,20 @@ def _windows_of(batches: Iterator[pa.RecordBatch], table: np.ndarray | None, sho
                     bit = mix(hashes) % np.uint64(BITS)
                     kept = (table[(bit >> np.uint64(3)).astype(np.int64)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1 != 0
                     doc, hashes, at, names, word_at = doc[kept], hashes[kept], at[kept], names[kept], word_at[kept]
-                for k, hash, place, taken, start in zip(doc.tolist(), hashes.astype(np.int64).tolist(), at.tolist(), names.tolist(), word_at.tolist(), strict=True):
-                    found.append((ids[k], hash, place, taken, [] if taken < 0 else _slots(*shape, start, w, taken)))
-            columns = list(zip(*found, strict=True)) or [[]] * 5
-            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64())]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["id", "hash", "at", "names", "slots"])
+                for c in range(0, len(doc), ROWS):
+                    here = slice(c, c + ROWS)
+                    for k, hash, place, taken, start in zip(*[x[here].tolist() for x in (doc, hashes.view(np.int64), at, names, word_at)], strict=True):
+                        found.append((ids[k], hash, place, taken, [] if taken < 0 else _slots(*shape, start, w, taken)))
+                    if len(found) >= ROWS:
+                        yield _found(found)
+                        found = []
+            yield _found(found)
+
+
+def _found(rows: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) or [[]] * 5
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64())]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["id", "hash", "at", "names", "slots"])
 
 
 def _windows_in(texts: list[bytes], words: Templates, short: list[int]) -> Iterator[tuple]:
@@ -296,11 +309,15 @@ def _windows_in(texts: list[bytes], words: Templates, short: list[int]) -> Itera
             inside = np.repeat(has, sizes)
             sub = (shown[inside], kinds[inside], own[inside], (np.cumsum(inside) - 1)[either[inside[either]]])
         at = np.concatenate([[0], np.cumsum(sizes[mine])])
-        hashes, places, names = _windows_at(*sub, w)
-        doc = np.searchsorted(at, places, "right") - 1
-        whole = places + w <= at[doc + 1]
-        hashes, places, names, doc = hashes[whole], places[whole], names[whole], doc[whole]
-        yield w, mine[doc], hashes, places - at[doc], names, places, sub[1:]
+        for s in range(0, len(sub[0]) - w + 1, STEP):  # windows that begin in a step; the choices of words and names are many
+            e = min(len(sub[0]), s + STEP + w - 1)
+            a, b = np.searchsorted(sub[3], [s, e])
+            piece = (sub[0][s:e], sub[1][s:e], sub[2][s:e], sub[3][a:b] - s)
+            hashes, places, names = _windows_at(*piece, w)
+            doc = np.searchsorted(at, places + s, "right") - 1
+            whole = places + s + w <= at[doc + 1]
+            hashes, places, names, doc = hashes[whole], places[whole], names[whole], doc[whole]
+            yield w, mine[doc], hashes, places + s - at[doc], names, places, piece[1:]
 
 
 def item_windows(benchmark: DataFrame, key: str = "item_id", text: str = "text") -> DataFrame:
@@ -352,6 +369,14 @@ def _agreeing(templates):
     return len(places), len(values)
 
 
+def _judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """_agreeing() of each alignment."""
+    for part in slices(batches):
+        told = [_agreeing([(t["kind"], t["n"], t["item_at"], [tuple(p.values()) for p in t["pairs"]]) for t in row]) for row in part.column(5).to_pylist()]
+        columns = [part.column(k) for k in range(5)] + [pa.array([t[k] for t in told], pa.int64()) for k in (0, 1)]
+        yield pa.RecordBatch.from_arrays(columns, names=["id", "item", "n_words", "item_windows", "item_templates", "n_templates", "n_slots"])
+
+
 def matches(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, item_id, n_windows, item_windows, n_slots) of each document and item whose best alignment is contaminated."""
     spark = docs.sparkSession
@@ -363,7 +388,9 @@ def matches(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: st
         yield from _windows_of(batches, np.frombuffer(table.value, np.uint8), short)
 
     rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).where(F.col("id").isNotNull())
-    found = rows.mapInArrow(run, FOUND).join(items, "hash").where(F.size("slots") == F.size("item_slots"))
+    part = F.pmod(F.xxhash64("id"), F.lit(PARTS)).alias("part")
+    everywhere = items.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(PARTS - 1).cast("long"))))
+    found = rows.mapInArrow(run, FOUND).select("*", part).join(everywhere, ["hash", "part"]).where(F.size("slots") == F.size("item_slots"))
     sizes = ["item_windows", "item_templates"]
     pairs = F.arrays_zip("item_slots", "slots")
     kind = F.when(F.col("names") == -1, 0).when((F.col("names") == 0) & (F.col("item_names") == 0), 1).otherwise(2)
@@ -375,10 +402,11 @@ def matches(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: st
         F.first("item_windows").alias("item_windows"),
         F.first("item_templates").alias("item_templates"),
     )
-    judged = counted.select(*group[:2], "n_words", "item_windows", "item_templates", F.udf(_agreeing, "n_templates long, n_slots long")("templates").alias("t"))
+    shown = ["id", "item", "n_words", "item_windows", "item_templates"]
+    judged = counted.select(*shown, "templates").mapInArrow(_judged, "id long, item long, n_words long, item_windows long, item_templates long, n_templates long, n_slots long")
     as_words = F.col("n_words") >= F.least(F.lit(HITS), "item_windows")
-    as_template = (F.col("item_templates") > 0) & (F.col("t.n_templates") >= F.least(F.lit(HITS), "item_templates"))
-    kept = judged.where(as_words | as_template).select(*group[:2], "item_windows", F.greatest("n_words", "t.n_templates").alias("n_windows"), "t.n_slots")
+    as_template = (F.col("item_templates") > 0) & (F.col("n_templates") >= F.least(F.lit(HITS), "item_templates"))
+    kept = judged.where(as_words | as_template).select(*group[:2], "item_windows", F.greatest("n_words", "n_templates").alias("n_windows"), "n_slots")
     return kept.groupBy(F.col("id").alias(key), F.col("item").alias("item_id")).agg(
         F.max("n_windows").alias("n_windows"), F.max("item_windows").alias("item_windows"), F.max("n_slots").alias("n_slots")
     )

@@ -690,3 +690,35 @@ def test_windows_of_many_texts_equal_those_of_each():
             for w in {width, *(s for s in short if s < width)} - {0}:
                 want |= {(w, d, *x) for x in zip(*(v.tolist() for v in decontamination._windows_at(*own, w)))}
         assert got == want
+
+
+def test_decontamination_of_a_long_list_of_names_takes_bounded_memory():
+    """5 MB of one capitalised word a line: each window has up to 163 choices of words and names."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rng = random.Random(4)
+    names = ["".join(rng.choices(string.ascii_lowercase, k=5)).capitalize() for _ in range(3_000)]
+    text = "\n".join(rng.choice(names) for _ in range(900_000))[: 5 << 20]
+    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([text])], names=["id", "text"])
+    tracemalloc.start()
+    n = sum(b.num_rows for b in decontamination._windows_of([batch], np.zeros(decontamination.BITS // 8, np.uint8), []))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == 0 and peak < 500 << 20, peak
+
+
+def test_windows_in_steps_are_the_same(monkeypatch):
+    import pyarrow as pa
+
+    rng = random.Random(8)
+    words = ["Anna", "bought", "12", "kg", "of", "apples", "in", "Paris.", "Then", "Tom", "sold\n", "the", "rest", "7%"]
+    texts = [" ".join(rng.choices(words, k=rng.randint(0, 90))) for _ in range(30)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(30)), pa.array(texts)], names=["id", "text"])
+    found = []
+    for step, rows in ((1 << 20, 1 << 20), (7, 50), (1, 1)):
+        monkeypatch.setattr(decontamination, "STEP", step)
+        monkeypatch.setattr(decontamination, "ROWS", rows)
+        found.append(sorted(repr(r) for b in decontamination._windows_of([batch], None, [3]) for r in b.to_pylist()))
+    assert found[0] and found[0] == found[1] == found[2]
