@@ -39,6 +39,8 @@ UNKNOWN = "und"
 SHARD_WORDS, BITS = 600_000, 21
 RANGE_BYTES, CUT_SAMPLES = 32 << 20, 16
 TEXT_BYTES, PARTS = 1 << 18, 64
+#: Nodes that are merged at a time.
+BLOCK_NODES = 400_000
 #: Letters in lower case, the marks that end a piece as line feeds, tabs as spaces.
 MARKS = bytes(c + 32 if 65 <= c <= 90 else 10 if c in b".,;:!?" or 10 <= c <= 13 else 32 if c == 9 else c for c in range(256))
 Path = tuple[str, bytes, bytes, bytes]
@@ -142,34 +144,50 @@ def nodes_of(blob: bytes, n: int, vocabulary: int, unpress: zstandard.ZstdDecomp
 
 
 def above(depth: np.ndarray, of: int) -> np.ndarray:
-    """For each node in preorder the place of the latest node of a depth: where its path passes it."""
-    return np.maximum.accumulate(np.where(depth == of, np.arange(len(depth), dtype=np.int32), np.int32(0)))
+    """For each node in preorder the place of the latest node of a depth, where its path passes it; -1 before the first."""
+    return np.maximum.accumulate(np.where(depth == of, np.arange(len(depth), dtype=np.int32), np.int32(-1)))
 
 
-def merged(runs: list[tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]]) -> tuple[list[bytes], list[np.ndarray], np.ndarray]:
-    """(sorted words, ranks of the first, second and third word from 1 or 0, counts) of the sum of serialised tries, in preorder. Of each node
-    one packed number is held, or three if there are too many words for that."""
-    words = sorted({w for run in runs for w in run[0]})
+def merged(blobs: list[tuple[bytes, int, int]], block: int = BLOCK_NODES) -> Iterator[tuple[list[bytes], list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]]:
+    """(sorted words, ranks of the first, second and third word from 1 or 0, counts, counts of the nodes above at depth 1 and 2) of the sum of serialised tries (blob,
+    nodes, bytes of words), in preorder. Each run is sorted by its packed paths, and runs are merged some block nodes at a time, so that besides
+    the runs themselves, 12 bytes a node, little is held. Too many words to pack are merged at once."""
+    unpress = zstandard.ZstdDecompressor()
+    words = sorted({w for blob, _, size in blobs for w in unpress.decompress(blob)[:size].split(b" ")})
     rank = {w: k + 1 for k, w in enumerate(words)}
     bits = max(1, len(words).bit_length())
-    packs = 3 * bits <= 62
-    total = sum(len(run[1]) for run in runs)
-    keys, counts, at = [np.empty(total, np.int64 if packs else np.int32) for _ in range(1 if packs else 3)], np.empty(total, np.int64), 0
-    for own, depth, last, n in runs:
+    packs = 3 * bits <= 63
+    runs = []
+    for blob in blobs:
+        own, depth, last, n = nodes_of(*blob, unpress)
         r = np.fromiter(map(rank.__getitem__, own), np.int64, len(own))[last]
-        here = slice(at, at + len(r))
         path = r[above(depth, 1)], np.where(depth > 1, r[above(depth, 2)], 0), np.where(depth > 2, r, 0)
-        for key, part in zip(keys, [(path[0] << 2 * bits) | (path[1] << bits) | path[2]] if packs else path):
-            key[here] = part
-        counts[here], at = n, here.stop
-    order = np.argsort(keys[0], kind="stable") if packs else np.lexsort(keys[::-1])  # merges, as the runs are sorted
-    keys = [key[order] for key in keys]
-    new = np.flatnonzero(np.append(True, np.any([key[1:] != key[:-1] for key in keys], axis=0)))
-    counts = np.add.reduceat(counts[order], new)
-    del order
-    keys = [key[new] for key in keys]
-    mask = (1 << bits) - 1
-    return words, [(keys[0] >> shift & mask).astype(np.int32) for shift in (2 * bits, bits, 0)] if packs else keys, counts
+        runs.append(([(path[0] << 2 * bits) | (path[1] << bits) | path[2]] if packs else [x.astype(np.int32) for x in path], n.copy()))
+    del rank
+    total = sum(len(n) for _, n in runs)
+    cuts = np.zeros(0, np.int64)
+    if packs and total > block:
+        some = np.sort(np.concatenate([key[0][:: max(1, block // 512)] for key, _ in runs]))
+        cuts = np.unique(some[:: max(1, len(some) * block // total)])[1:]
+    ends = [np.concatenate([[0], np.searchsorted(key[0], cuts), [len(n)]]) for key, n in runs]
+    one = two = 0  # counts of the latest nodes of depth 1 and 2
+    for b in range(len(cuts) + 1):
+        here = [slice(e[b], e[b + 1]) for e in ends]
+        keys = [np.concatenate([key[part][h] for (key, _), h in zip(runs, here)]) for part in range(1 if packs else 3)]
+        if not len(keys[0]):
+            continue
+        counts = np.concatenate([n[h] for (_, n), h in zip(runs, here)])
+        order = np.argsort(keys[0], kind="stable") if packs else np.lexsort(keys[::-1])  # a stable sort of sorted runs merges them
+        keys = [key[order] for key in keys]
+        new = np.flatnonzero(np.append(True, np.any([key[1:] != key[:-1] for key in keys], axis=0)))
+        counts = np.add.reduceat(counts[order].astype(np.int64), new)
+        keys = [key[new] for key in keys]
+        ranks = [keys[0] >> shift & (1 << bits) - 1 for shift in (2 * bits, bits, 0)] if packs else keys
+        depth = 1 + (ranks[1] > 0).astype(np.uint8) + (ranks[2] > 0)
+        first, second = above(depth, 1), above(depth, 2)
+        first, second = np.where(first < 0, one, counts[first]), np.where(second < 0, two, counts[second])
+        one, two = int(first[-1]), int(second[-1])
+        yield words, ranks, counts, first, second
 
 
 def cut_points(df: DataFrame, ranges: int) -> list[Path]:
@@ -242,20 +260,15 @@ def frequent(df: DataFrame, least: int = LEAST, lang: str = "lang", text: str =
     totals = tries.groupBy("lang").agg(F.sum("words").alias("n"))
 
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unpress = zstandard.ZstdDecompressor()
-        runs: dict[tuple[str, int], list] = {}
+        held: dict[tuple[str, int], list] = {}
         for batch in batches:
             for name, at, blob, n, vocabulary in zip(*[batch.column(k).to_pylist() for k in range(5)]):
-                runs.setdefault((name, at), []).append((blob, n, vocabulary))
-        for (name, at), blobs in runs.items():
-            words, ranks, counts = merged([nodes_of(*b, unpress) for b in blobs])
-            depth = 1 + (ranks[1] > 0).astype(np.uint8) + (ranks[2] > 0)
+                held.setdefault((name, at), []).append((blob, n, vocabulary))
+        for name, at in list(held):
             start = cuts[at - 1] if at and cuts[at - 1][0] == name else None
-            often = np.flatnonzero(counts >= least)
-            first, second = counts[above(depth, 1)], counts[above(depth, 2)]
-            for here in np.array_split(often, max(1, len(often) // 50_000)):
+            for words, ranks, counts, first, second in merged(held.pop((name, at))):
                 rows = []
-                for k in here.tolist():
+                for k in np.flatnonzero(counts >= least).tolist():
                     path = tuple(words[r[k] - 1] if r[k] else b"" for r in ranks)
                     if start is None or (name, *path) >= start:  # nodes above the range's first belong to the range before
                         some = [w.decode() for w in path if w]

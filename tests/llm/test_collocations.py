@@ -78,21 +78,27 @@ def test_scores_are_exact_beyond_64_bits(spark):
     assert collocations.scored(df).first()["score"] == 1_000_000 * a * a // ((a + 7) * (a + 9))
 
 
-def test_merged_tries_equal_one_trie():
+@pytest.mark.parametrize("block", [10, 300, 1_000_000])
+def test_merged_tries_equal_one_trie(block):
     rng = random.Random(1)
     texts = [" ".join(rng.choice("abcdefg") for _ in range(200)).encode() for _ in range(4)]
-    one, runs = collocations.Shard(), []
+    one, blobs = collocations.Shard(), []
     for t in texts:
         own = collocations.Shard()
         for shard in (one, own):
             shard.add(t)
             shard.stop()
         words, nodes, counts, _ = own.trie(True)
-        blob, n, size = collocations.serialised(words, nodes, counts, collocations.zstandard.ZstdCompressor())
-        runs.append(collocations.nodes_of(blob, n, size, collocations.zstandard.ZstdDecompressor()))
+        blobs.append(collocations.serialised(words, nodes, counts, collocations.zstandard.ZstdCompressor()))
     words, nodes, counts, n = one.trie(True)
     assert n == 800
-    got_words, ranks, got = collocations.merged(runs)
-    ranks = [r.astype(np.int64) for r in ranks]
-    key = (ranks[0] << 42) | (ranks[1] << 21) | ranks[2]
-    assert got_words == words and np.array_equal(key, nodes) and np.array_equal(got, counts)
+    keys, sums, up = [], [], []
+    for got_words, ranks, got, first, second in collocations.merged(blobs, block):
+        assert got_words == words
+        keys += ((ranks[0] << 42) | (ranks[1] << 21) | ranks[2]).tolist()
+        sums += got.tolist()
+        up += zip(first.tolist(), second.tolist())
+    assert keys == nodes.tolist() and sums == counts.tolist()
+    of = dict(zip(keys, sums))
+    for k, (first, second) in zip(keys, up):
+        assert first == of[k >> 42 << 42] and (not k >> 21 & (1 << 21) - 1 or second == of[k >> 21 << 21])
