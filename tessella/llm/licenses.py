@@ -10,14 +10,16 @@ distinct shingles that the window has must reach CONTAINMENT.
 Only windows that share a shingle with some template can collide in a band; others are set aside before
 any MinHash is computed, which loses nothing.
 
+Templates are a parameter, a list or a table of notices or of whole licence bodies; their words and shingles are sent with the plan, so they should be some thousands of
+templates at most.
+
 Cases: null and empty texts have no windows; a text shorter than a window is one window; rows with one doc_id
-are reported as one document; an empty table gives an empty result; other columns are left out. Texts are read whole.
+are reported as one document, rows with a null doc_id by their texts, each unequal text as a row of its own; templates of fewer than SHINGLE words are never found; an empty
+table, of texts or templates, gives an empty result; other columns are left out. Texts are read whole.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,13 +47,17 @@ def _words(text: Column) -> Column:
     return F.filter(F.split(bare, r"\s+"), lambda w: w != "")
 
 
-def _shingles(words: Column) -> Column:
-    """The distinct hashes of runs of SHINGLE words."""
+def _bound(value: Column, use) -> Column:
+    """use(value), with value computed once however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _runs(words: Column) -> Column:
+    """The hashes of all runs of SHINGLE words, in order."""
     last = F.size(words) - SHINGLE + 1
-    runs = F.when(last >= 1, F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.xxhash64(F.slice(words, i, SHINGLE)))).otherwise(
+    return F.when(last >= 1, F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.xxhash64(F.slice(words, i, SHINGLE)))).otherwise(
         F.array().cast("array<bigint>")
     )
-    return F.array_distinct(runs)
 
 
 def _bands(shingles: Column) -> Column:
@@ -59,55 +65,73 @@ def _bands(shingles: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), F.lit(BANDS)), lambda b: F.xxhash64(b, F.array_min(F.transform(shingles, lambda s: F.xxhash64(s, b)))))
 
 
-def templates(spark: SparkSession, given: list[tuple[str, str]]) -> DataFrame:
-    """(template, license, t_words, length, t_shingles): length is the window length that looks it up."""
-    rows = spark.createDataFrame([(i, name, text) for i, (name, text) in enumerate(given)], "template int, license string, text string")
-    rows = rows.select("template", "license", _words(F.col("text")).alias("w"))
+Given = list[tuple[str, str]] | DataFrame
+
+
+def templates(spark: SparkSession, given: Given) -> DataFrame:
+    """(license, text, w, t_words, length, t_shingles): length is the window length that looks it up."""
+    rows = given.select("license", "text") if isinstance(given, DataFrame) else spark.createDataFrame(given, "license string, text string")
+    rows = rows.select("license", "text", _words(F.coalesce("text", F.lit(""))).alias("w")).where(F.size("w") >= SHINGLE)
     length = F.pow(F.lit(2.0), F.ceil(F.log2(F.size("w").cast("double"))) + 1).cast("int")
-    return rows.select("template", "license", F.size("w").alias("t_words"), length.alias("length"), _shingles(F.col("w")).alias("t_shingles"))
+    return rows.select("license", "text", "w", F.size("w").alias("t_words"), length.alias("length"), F.array_distinct(_runs(F.col("w"))).alias("t_shingles"))
 
 
-def scan(df: DataFrame, key: str = "doc_id", text: str = "text", given: list[tuple[str, str]] | None = None) -> DataFrame:
+#: Anchors up to which a text is searched for each of them; more are looked up among its words. Shingles up to which windows are filtered by them all.
+SEARCHED, FILTERED = 64, 5_000
+
+
+def scan(df: DataFrame, key: str = "doc_id", text: str = "text", given: Given | None = None) -> DataFrame:
     """Per document and license found: key, license, n_windows, best containment, and the first and last word of its windows."""
     known = templates(df.sparkSession, TEMPLATES if given is None else given)
-    facts = known.select("length", "t_shingles").collect()  # the templates are a parameter, not data
+    facts = known.select("length", "t_shingles", "w").collect()  # the templates are a parameter, not data
     lengths = sorted({r["length"] for r in facts})
     every = sorted({s for r in facts for s in r["t_shingles"]})
-    anchors = _anchors(df.sparkSession, TEMPLATES if given is None else given)
-    # the lambda's variable is lower(text), so that is computed once and not for each anchor
-    holds = lambda t: reduce(lambda x, y: x | y, [t.contains(a) for a in anchors], F.lit(False))
-    may = F.element_at(F.transform(F.array(F.lower(F.coalesce(F.col(text), F.lit("")))), holds), 1)
-    hashed = df.where(may).select(F.col(key), F.col(text).alias("_t"))
-    hashed = hashed.select(key, _words(F.col("_t")).alias("_w")).withColumn("_n", F.size("_w"))
+    anchors = _anchors([r["w"] for r in facts])
+    rows = df.select(F.col(key), F.when(F.col(key).isNull(), F.xxhash64(text)).alias("_row"), F.coalesce(F.col(text), F.lit("")).alias("_t"))
+    if not anchors:
+        rows = rows.where(F.lit(False))
+    elif len(anchors) <= SEARCHED:  # the lower case is computed once and not for each anchor
+        rows = rows.where(_bound(F.lower("_t"), lambda t: _any([t.contains(a) for a in anchors])))
+    words = rows.select(key, "_row", _words(F.col("_t")).alias("_w"))
+    if len(anchors) > SEARCHED:
+        words = words.where(F.arrays_overlap("_w", F.lit(anchors)))
+    hashed = words.select(key, "_row", F.size("_w").alias("_n"), _runs(F.col("_w")).alias("_h"))
+
     def starts(n: int) -> Column:
         every_half = F.sequence(F.lit(1), F.greatest(F.col("_n") - n // 2, F.lit(1)), F.lit(n // 2))
         return F.transform(every_half, lambda at: F.struct(F.lit(n).alias("length"), at.alias("at")))
 
-    cuts = F.flatten(F.array(*[starts(n) for n in lengths]))
-    windows = hashed.select(key, "_w", F.explode(cuts).alias("_c")).select(
-        key, "_c.length", "_c.at", _shingles(F.slice("_w", F.col("_c.at"), F.col("_c.length"))).alias("shingles")
+    cuts = F.flatten(F.array(*[starts(n) for n in lengths])) if lengths else F.array().cast("array<struct<length:int,at:int>>")
+    windows = hashed.select(key, "_row", "_h", F.explode(cuts).alias("_c")).select(
+        key, "_row", "_c.length", "_c.at", F.array_distinct(F.slice("_h", F.col("_c.at"), F.col("_c.length") - SHINGLE + 1)).alias("shingles")
     )
-    windows = windows.where(F.arrays_overlap("shingles", F.lit(every).cast("array<bigint>")))
-    banded = windows.select(key, "length", "at", "shingles", F.explode(_bands(F.col("shingles"))).alias("band"))
-    of_known = known.select("template", "license", "length", "t_shingles", F.explode(_bands(F.col("t_shingles"))).alias("band"))
+    if len(every) <= FILTERED:
+        windows = windows.where(F.arrays_overlap("shingles", F.lit(every).cast("array<bigint>")))
+    banded = windows.where(F.size("shingles") > 0).select(key, "_row", "length", "at", "shingles", F.explode(_bands(F.col("shingles"))).alias("band"))
+    of_known = known.select("license", "length", "t_shingles", F.explode(_bands(F.col("t_shingles"))).alias("band"))
     met = banded.join(F.broadcast(of_known), ["length", "band"])  # the templates' own rows: BANDS for each
     exact = F.size(F.array_intersect("shingles", "t_shingles")) / F.size("t_shingles")
-    sure = met.select(key, "license", "length", "at", exact.alias("c")).where(F.col("c") >= CONTAINMENT)
-    one = sure.groupBy(key, "license", "length", "at").agg(F.max("c").alias("c"))
-    return one.groupBy(key, "license").agg(
+    sure = met.select(key, "_row", "license", "length", "at", exact.alias("c")).where(F.col("c") >= CONTAINMENT)
+    one = sure.groupBy(key, "_row", "license", "length", "at").agg(F.max("c").alias("c"))
+    return one.groupBy(key, "_row", "license").agg(
         F.count(F.lit(1)).alias("n_windows"), F.round(F.max("c"), 6).alias("containment"), F.min("at").cast("long").alias("first_word"),
         F.max(F.col("at") + F.col("length") - 1).cast("long").alias("last_word"),
-    )
+    ).drop("_row")
+
+
+def _any(tests: list[Column]) -> Column:
+    """Whether one holds, as a tree of little depth."""
+    while len(tests) > 1:
+        tests = [a | b for a, b in zip(tests[::2], tests[1::2])] + tests[len(tests) // 2 * 2 :]
+    return tests[0]
 
 
-def _anchors(spark: SparkSession, given: list[tuple[str, str]]) -> list[str]:
+def _anchors(notices: list[list[str]]) -> list[str]:
     """Words of which each text that holds a notice has one. A containment of at least 0.8 lacks at most a fifth of
     the distinct shingles, so of any larger set of a notice's shingles one is there, with its words; of each
     shingle the longer word is taken, and the shingles with the longest words, as these are rare."""
-    rows = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(given)], "i int, text string")
     chosen = set()
-    for row in rows.select("i", _words(F.col("text")).alias("w")).orderBy("i").collect():
-        words = row["w"]
+    for words in notices:
         pairs = sorted({tuple(words[i : i + SHINGLE]) for i in range(len(words) - SHINGLE + 1)}, key=lambda p: (-max(map(len, p)), p))
         lacking = int((1 - CONTAINMENT) * len(pairs) + 1e-9)
         chosen |= {max(p, key=lambda w: (len(w), w)) for p in pairs[: lacking + 1]}

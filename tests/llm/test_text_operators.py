@@ -438,6 +438,64 @@ def bare(t):
     return [w for w in map(strip, t.lower().split()) if w]
 
 
+def brute_licenses(rows, given):
+    """Every column, by comparing every window of every length with every notice."""
+    import regex
+
+    def words(t):
+        t = regex.sub(r"(?<![\p{L}\p{N}])[^\p{L}\p{N}\s]+|[^\p{L}\p{N}\s]+(?![\p{L}\p{N}])", "", (t or "").lower())
+        return [w for w in re.split(r"[ \t\n\x0b\x0c\r]+", t) if w]
+
+    runs = lambda w: {tuple(w[i : i + 2]) for i in range(len(w) - 1)}
+    known = [(name, len(words(t)), runs(words(t))) for name, t in given]
+    hits = collections.defaultdict(dict)
+    for n, (i, t) in enumerate(rows):
+        w = words(t)
+        for name, size, own in known:
+            if size < 2:
+                continue
+            length = 2 ** (math.ceil(math.log2(size)) + 1)
+            for at in range(1, max(len(w) - length // 2, 1) + 1, length // 2):
+                c = len(runs(w[at - 1 : at - 1 + length]) & own) / len(own)
+                if c >= 0.8:
+                    here = hits[i, n if i is None else 0, name]
+                    here[length, at] = max(c, here.get((length, at), 0))
+    return sorted(((i, name, len(h), round(max(h.values()), 6), min(a for _, a in h), max(l + a - 1 for l, a in h)) for (i, _, name), h in hits.items()), key=repr)
+
+
+def test_licenses_equal_brute_force(spark, docs):
+    """All columns, on the given texts and on notices that are edited, cut, repeated, without ids, and beside each other."""
+    columns = ["doc_id", "license", "n_windows", "containment", "first_word", "last_word"]
+    shown = lambda df: sorted((tuple(r) for r in df.select(*columns).collect()), key=repr)
+    rng, rows = random.Random(6), []
+    for k in range(120):
+        parts = []
+        for _ in range(rng.randint(1, 3)):
+            name, notice = rng.choice(licenses.TEMPLATES)
+            w = notice.split()
+            for _ in range(rng.choice([0, 0, 1, 2, 4])):
+                w[rng.randrange(len(w))] = rng.choice(["other", "(c)", "THE", "and/or", "--"])
+            parts += [" ".join(rng.choices(["plain", "words,", "of", "a", "license", "text."], k=rng.choice([0, 3, 40, 200]))), " ".join(w)]
+        rows.append((rng.choice([None, k, k, 7]), " ".join(parts)))
+    seen = set()
+    rows = [r for r in rows if r[0] not in seen and (r[0] is None or not seen.add(r[0]))]
+    assert shown(licenses.scan(spark.createDataFrame(rows, "doc_id long, text string"))) == brute_licenses(rows, licenses.TEMPLATES)
+    assert shown(licenses.scan(docs)) == brute_licenses(texts(docs), licenses.TEMPLATES)
+
+
+def test_licenses_of_whole_bodies(spark, empty):
+    """A table of templates of 6,000 words and many anchors, and a null, an empty and a one-word template."""
+    rng = random.Random(3)
+    bodies = [("long-%d" % k, " ".join("".join(rng.choices("abcdefghij", k=rng.randint(2, 9))) for _ in range(6_000 - 2_000 * k))) for k in range(3)]
+    given = spark.createDataFrame([*bodies, ("none", None), ("empty", ""), ("one", "word")], "license string, text string")
+    half = " ".join(bodies[1][1].split()[:2_000])
+    edited = " ".join(w if k % 40 else "edited" for k, w in enumerate(bodies[2][1].split()))
+    rows = [(1, "before " * 300 + bodies[0][1] + " after" * 9), (2, half), (3, edited), (None, edited), (None, bodies[1][1]), (4, None), (5, "word")]
+    found = licenses.scan(spark.createDataFrame(rows, "doc_id long, text string"), given=given)
+    assert sorted(((r["doc_id"], r["license"]) for r in found.collect()), key=repr) == [(1, "long-0"), (3, "long-2"), (None, "long-1"), (None, "long-2")]
+    assert licenses.scan(empty, given=given).count() == 0 == licenses.scan(spark.createDataFrame(rows, "doc_id long, text string"), given=given.limit(0)).count()
+
+
 def test_licenses(spark, docs, odd, empty):
     found = {(r["doc_id"], r["license"]) for r in licenses.scan(docs).collect()}
     want = set()
