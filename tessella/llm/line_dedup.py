@@ -3,9 +3,9 @@
 Pass 1 hashes each document's distinct line keys (128 bits) and counts documents per key, pre-aggregated
 before the shuffle. Keys found in two documents or more (one document cannot repeat itself) are dealt to shards by hash; each
 shard becomes one row with a minimal perfect hash and three compact arrays in its order: fingerprints (the other 64 bits of
-the hash), document counts and the largest doc_id. Pass 2 packs the documents' key hashes by shard, a few
-binary rows a batch, meets each pack with its shard's arrays and probes them: fingerprint, count and largest doc_id decide;
-lines are never joined. The hits (doc_id, line hash) return to their documents, which drop those lines.
+the hash), document counts and the largest doc_id. Pass 2 packs the documents' key hashes by shard. A shard's packs come to
+tasks in which its arrays, sorted before them, are loaded once and probed by one pack after another: fingerprint, count and largest doc_id decide;
+lines are never joined. A shard that many probes ask for is sent to as many tasks as they need. The hits (doc_id, line hash) return to their documents, which drop those lines.
 
 A very common line would send a probe of every document to one shard. Keys of at least HOT_DOCS documents and of at least
 one in HOT_KEYS of all probes, so HOT_KEYS keys at most (some 300 KB), have an index of the same form of their own, which every
@@ -38,6 +38,8 @@ HOT_KEYS, HOT_DOCS = 10_000, 1_000
 STRIPPED = WORD_BREAK.encode()
 #: Slots of a level of the minimal perfect hash per key that is left.
 SPARE = 2.0
+#: Probes of a shard that one task takes, about; probes that a task packs at a time.
+TASK_PROBES, PACK_PROBES = 100_000, 100_000
 
 
 def long_keys(text: bytes, least: int) -> dict[bytes, bytes]:
@@ -169,8 +171,8 @@ def _hashes(text: bytes, least_chars: int) -> np.ndarray:
     return np.frombuffer(b"".join(sorted(set(long_keys(text, least_chars).values()))), np.int64).reshape(-1, 2)
 
 
-def line_index(df: DataFrame, key: str, text: str, least_chars: int, least_docs: int) -> tuple[DataFrame, int, Shard]:
-    """(rows of INDEX, number of shards, index of the hot keys) for the keys found in two documents or more."""
+def line_index(df: DataFrame, key: str, text: str, least_chars: int, least_docs: int) -> tuple[DataFrame, int, int, Shard]:
+    """(rows of INDEX, number of shards, tasks for the probes of each, index of the hot keys) for the keys found in two documents or more."""
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
@@ -189,13 +191,25 @@ def line_index(df: DataFrame, key: str, text: str, least_chars: int, least_docs:
     shards = max(1, -(-keys // SHARD_KEYS))
     dealt = often.where(~is_hot).withColumn("shard", F.pmod(F.col("a"), F.lit(shards)))
     index = dealt.repartition("shard").sortWithinPartitions("shard", "a").mapInArrow(_build_shards, INDEX)
-    return saved(index, "line-index"), shards, hot
+    parts = max(-(-probes // shards // TASK_PROBES), -(-int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) // shards))
+    return saved(index, "line-index"), shards, parts, hot
 
 
-def hits(df: DataFrame, index: DataFrame, shards: int, hot: Shard, key: str, text: str, least_chars: int, least_docs: int) -> DataFrame:
+def hits(df: DataFrame, index: DataFrame, shards: int, parts: int, hot: Shard, key: str, text: str, least_chars: int, least_docs: int) -> DataFrame:
     """(id, lines): the 16-byte hashes of the lines that each document loses, but those of hot keys."""
 
+    def sent(held: list[np.ndarray]) -> pa.RecordBatch:
+        rows = np.concatenate(held)
+        shard, part = rows[:, 1] % shards, (rows[:, 0] & 0x7FFFFFFF) % parts
+        to = shard * parts + part
+        order = np.argsort(to, kind="stable")
+        names, starts = np.unique(to[order], return_index=True)
+        rows = rows[order]
+        packs = [rows[x:y].tobytes() for x, y in zip(starts, [*starts[1:], len(rows)], strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(names // parts), pa.array(names % parts), pa.array(packs, pa.binary())], names=["shard", "part", "pack"])
+
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for part in slices(batches, 1024):
             ids = part.column(0).to_numpy()
             found = [_hashes(t, least_chars) for t in utf8(part.column(1))]
@@ -204,26 +218,32 @@ def hits(df: DataFrame, index: DataFrame, shards: int, hot: Shard, key: str, tex
             if len(hot.prints) and len(both):
                 cold = hot.probe(both[:, 0].copy(), both[:, 1].copy()) < 0
                 both, of = both[cold], of[cold]
-            if not len(both):
-                continue
-            shard = both[:, 0] % shards
-            order = np.argsort(shard, kind="stable")
-            names, starts = np.unique(shard[order], return_index=True)
-            rows = np.column_stack([of, both])[order]
-            packs = [rows[x:y].tobytes() for x, y in zip(starts, [*starts[1:], len(rows)], strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(packs, pa.binary())], names=["shard", "pack"])
+            held.append(np.column_stack([of, both]))
+            size += len(both)
+            if size >= PACK_PROBES:
+                yield sent(held)
+                held, size = [], 0
+        if size:
+            yield sent(held)
 
     def probed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(batch.num_rows):
-                probes = np.frombuffer(batch.column("pack")[k].as_py(), np.int64).reshape(-1, 3)
-                shard = Shard.of_row(*[batch.column(c)[k].as_py() for c in ARRAYS])
-                gone = probes[shard.lost(probes[:, 1].copy(), probes[:, 2].copy(), probes[:, 0], least_docs)]
-                yield pa.RecordBatch.from_arrays([pa.array(gone[:, 0]), pa.array([x.tobytes() for x in gone[:, 1:]], pa.binary())], names=["id", "line"])
+        at, shard = None, None
+        for part in slices(batches, 64):
+            names = part.column("shard").to_pylist()
+            for k, pack in enumerate(part.column("pack").to_pylist()):
+                if pack is None:
+                    at, shard = names[k], Shard.of_row(*[part.column(c)[k].as_py() for c in ARRAYS])
+                elif at == names[k]:  # a shard without arrays has no keys
+                    probes = np.frombuffer(pack, np.int64).reshape(-1, 3)
+                    gone = probes[shard.lost(probes[:, 1].copy(), probes[:, 2].copy(), probes[:, 0], least_docs)]
+                    yield pa.RecordBatch.from_arrays([pa.array(gone[:, 0]), pa.array([x.tobytes() for x in gone[:, 1:]], pa.binary())], names=["id", "line"])
 
     given = df.select(named(key).cast("long").alias("id"), named(text).alias("text")).where(F.col("id").isNotNull())
-    packs = given.mapInArrow(packed, "shard long, pack binary")
-    found = packs.join(index, "shard").mapInArrow(probed, "id long, line binary")
+    kinds = {f.name: f.dataType for f in index.schema.fields}
+    packs = given.mapInArrow(packed, "shard long, part long, pack binary").select("*", *[F.lit(None).cast(kinds[c]).alias(c) for c in ARRAYS])
+    arrays = index.select("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))).alias("part"), F.lit(None).cast("binary").alias("pack"), *ARRAYS)
+    both = packs.unionByName(arrays).repartition("shard", "part").sortWithinPartitions("shard", "part", F.col("pack").isNotNull())
+    found = both.mapInArrow(probed, "id long, line binary")
     return found.groupBy("id").agg(F.collect_set("line").alias("lines"))
 
 
@@ -231,8 +251,8 @@ def deduplicated(
     df: DataFrame, key: str = "doc_id", text: str = "text", least_chars: int = 40, least_docs: int = 5, counts: tuple[str, str] | None = None
 ) -> DataFrame:
     """df with text without the lost lines; with counts also the numbers of lines (before) and of those dropped, under these names."""
-    index, shards, hot = line_index(df, key, text, least_chars, least_docs)
-    lost = hits(df, index, shards, hot, key, text, least_chars, least_docs)
+    index, shards, parts, hot = line_index(df, key, text, least_chars, least_docs)
+    lost = hits(df, index, shards, parts, hot, key, text, least_chars, least_docs)
     id, lines = fresh(df, "id"), fresh(df, "lines")
     own = df.withColumn(id, named(key).cast("long"))
     given = own.where(named(id).isNotNull()).join(lost.toDF(id, lines), id, "left")

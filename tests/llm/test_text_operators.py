@@ -780,3 +780,20 @@ def test_windows_in_steps_are_the_same(monkeypatch):
         monkeypatch.setattr(decontamination, "ROWS", rows)
         found.append(sorted(repr(r) for b in decontamination._windows_of([batch], None, [3]) for r in b.to_pylist()))
     assert found[0] and found[0] == found[1] == found[2]
+
+
+def test_line_dedup_over_many_shards_and_parts(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "SHARD_KEYS", 10)
+    monkeypatch.setattr(line_dedup, "TASK_PROBES", 20)
+    rng = random.Random(12)
+    lines = [f"{k:03d} " + "a line of the corpus that is long enough " * rng.randint(0, 2) for k in range(150)]
+    rows = [(k, "\n".join(rng.choices(lines, k=rng.randint(0, 9)))) for k in range(400)]
+    keys = [{i: x.strip().lower() for i, x in enumerate(t.split("\n"))} for _, t in rows]
+    often = collections.Counter(x for own in keys for x in set(own.values()) if len(x) >= 40)
+    largest = {x: k for k, own in enumerate(keys) for x in own.values()}
+    want = []
+    for k, (i, t) in enumerate(rows):
+        kept = [x for x, key in zip(t.split("\n"), keys[k].values()) if not (often[key] >= 5 and largest[key] != k)]
+        want.append((i, t.count("\n") + 1, t.count("\n") + 1 - len(kept), hashlib.sha256("\n".join(kept).encode()).hexdigest()))
+    got = line_dedup.report(spark.createDataFrame(rows, "doc_id long, text string").repartition(6))
+    assert sorted(tuple(r) for r in got.select("doc_id", "n_lines", "n_dropped", "kept_sha256").collect()) == want and sum(r[2] for r in want) > 500
