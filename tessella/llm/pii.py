@@ -33,6 +33,12 @@ KINDS = ["email", "ip", "card", "phone"]
 OUTSIDE, LABELS = 0, 5
 FIT_DOCS = 4000
 SURE, ROUNDS = 0.85, 8
+#: Chain links, skip links by text, skip links by digits.
+LINKS = "ctd"
+#: Pairs of equal labels that each kind of link is taken to have had before any was counted: tokens with the same text nearly always, those that share five
+#: digits or more as good as surely name one thing, and a
+#: sample has few such pairs.
+SAME = (0.0, 100.0, 100_000.0)
 
 #: Fixed values of the contract; possessive and bounded forms that match the same.
 AT = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -133,11 +139,11 @@ def forms_of(token: str) -> set[tuple[str, str]]:
     return forms
 
 
-def links(text: str, spans: list[tuple[int, int]], base: list[tuple[int, int, int]]) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
-    """(chain links, skip links) between candidates, as pairs of positions. A base span of several candidates lends its own
-    forms to the last of them."""
+def links(text: str, spans: list[tuple[int, int]], base: list[tuple[int, int, int]]) -> tuple[list[tuple[int, int]], ...]:
+    """(chain links, skip links by text, skip links by digits) between candidates, as pairs of positions; what digits link is not linked by text too. A base span of
+    several candidates lends its own forms to the last of them."""
     chain = [(k, k + 1) for k in range(len(spans) - 1) if spans[k + 1][0] - spans[k][1] == 1]
-    skip, seen, at = [], {}, 0
+    skip, seen, at = {"t": set(), "d": set(), "e": set()}, {}, 0
     ends = sorted(base, key=lambda x: (x[2], x[0]))
     for k, (a, b) in enumerate(spans):
         forms = forms_of(text[a:b])
@@ -147,9 +153,10 @@ def links(text: str, spans: list[tuple[int, int]], base: list[tuple[int, int, in
             at += 1
         for form in forms:
             if form in seen:
-                skip.append((seen[form], k))
+                skip[form[0]].add((seen[form], k))
             seen[form] = k
-    return chain, sorted(set(skip))
+    digits = skip["d"] | skip["e"]
+    return chain, sorted(skip["t"] - digits), sorted(digits)
 
 
 def labels_of(spans: list[tuple[int, int]], base: list[tuple[int, int, int]]) -> list[int]:
@@ -163,13 +170,13 @@ def labels_of(spans: list[tuple[int, int]], base: list[tuple[int, int, int]]) ->
 
 
 class Model:
-    """Unary weights and the log potentials of chain and skip links."""
+    """Unary weights and the log potentials of chain links, skip links by text and skip links by digits."""
 
-    def __init__(self, unary: np.ndarray, chain: np.ndarray, skip: np.ndarray):
-        self.unary, self.chain, self.skip = unary, chain, skip
+    def __init__(self, unary: np.ndarray, *pairs: np.ndarray):
+        self.unary, self.pairs = unary, pairs
 
     @classmethod
-    def fitted(cls, shapes: list[tuple[tuple[int, ...], int, int]], chain: np.ndarray, skip: np.ndarray, steps: int = 200) -> Model:
+    def fitted(cls, shapes: list[tuple[tuple[int, ...], int, int]], *pairs: np.ndarray, steps: int = 200) -> Model:
         """shapes: (features, label, count). Piecewise: softmax regression for the unary part, counts for the links."""
         unary = np.zeros((N_FEATURES, LABELS))
         if shapes:
@@ -183,22 +190,22 @@ class Model:
                 p /= p.sum(1, keepdims=True)
                 unary -= 2.0 * (x.T @ ((p - y) * n) / n.sum() + 1e-4 * unary)
 
-        def odds(counts: np.ndarray) -> np.ndarray:
-            both = counts + counts.T + 0.5
+        def odds(counts: np.ndarray, same: float) -> np.ndarray:
+            both = counts + counts.T + 0.5 + same * np.eye(LABELS)
             joint = both / both.sum()
             own = joint.sum(1)
             return np.log(joint / np.outer(own, own))
 
-        return cls(unary, odds(chain), odds(skip))
+        return cls(unary, *map(odds, pairs, SAME))
 
 
-def marginals(model: Model, unary: np.ndarray, chain: np.ndarray, skip: np.ndarray) -> np.ndarray:
-    """Loopy belief propagation over all candidates of a slice of documents at once; links are (n, 2) arrays."""
-    n, ends = len(unary), np.concatenate([chain, skip]).astype(np.int64).reshape(-1, 2)
+def marginals(model: Model, unary: np.ndarray, *links: np.ndarray) -> np.ndarray:
+    """Loopy belief propagation over all candidates of a slice of documents at once; links are (n, 2) arrays, one for each of the model's pairs."""
+    ends = np.concatenate(links).astype(np.int64).reshape(-1, 2)
     if not len(ends):
         p = np.exp(unary - unary.max(1, keepdims=True))
         return p / p.sum(1, keepdims=True)
-    potential = np.concatenate([np.repeat(model.chain[None], len(chain), 0), np.repeat(model.skip[None], len(skip), 0)])
+    potential = np.concatenate([np.repeat(of[None], len(own), 0) for of, own in zip(model.pairs, links, strict=True)])
     source, target = np.concatenate([ends[:, 0], ends[:, 1]]), np.concatenate([ends[:, 1], ends[:, 0]])
     potential, back = np.concatenate([potential, potential]), np.concatenate([np.arange(len(ends), 2 * len(ends)), np.arange(len(ends))])
     messages = np.zeros((2 * len(ends), LABELS))
@@ -230,32 +237,31 @@ def fit(df: DataFrame, key: str = "doc_id", text: str = "text", rows: int = FIT_
                 base = base_spans(t)
                 own = labels_of(spans, base)
                 found += [("u", ",".join(map(str, features(t[a:b]))), y) for (a, b), y in zip(spans, own, strict=True)]
-                for kind, pairs in zip("cs", links(t, spans, base), strict=True):
+                for kind, pairs in zip(LINKS, links(t, spans, base), strict=True):
                     found += [(kind, "", own[i] * LABELS + own[j]) for i, j in pairs]
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], kind) for k, kind in enumerate((pa.string(), pa.string(), pa.int32()))], names=["what", "shape", "label"])
 
-    shapes, pairs = [], {"c": np.zeros((LABELS, LABELS)), "s": np.zeros((LABELS, LABELS))}
+    shapes, pairs = [], {kind: np.zeros((LABELS, LABELS)) for kind in LINKS}
     counts = chosen.select(F.col(text).alias("text")).mapInArrow(counted, "what string, shape string, label int").groupBy("what", "shape", "label").count()
     for row in counts.orderBy("what", "shape", "label").collect():  # at most the number of shapes that features() can name
         if row["what"] == "u":
             shapes.append((tuple(map(int, row["shape"].split(","))), row["label"], row["count"]))
         else:
             pairs[row["what"]][divmod(row["label"], LABELS)] += row["count"]
-    return Model.fitted(shapes, pairs["c"], pairs["s"])
+    return Model.fitted(shapes, *pairs.values())
 
 
 def added_spans(texts: list[str], bases: list[list[tuple[int, int, int]]], model: Model) -> list[list[tuple[int, int, int]]]:
     """For each text the spans that the model adds: (start, index in KINDS, end), disjoint from the base."""
     spans = [candidates(t) for t in texts]
     own = [labels_of(s, b) for s, b in zip(spans, bases, strict=True)]
-    chain, skip, rows, firsts = [], [], [], []
+    linked, rows, firsts = tuple([] for _ in LINKS), [], []
     for t, s, y, base in zip(texts, spans, own, bases, strict=True):
         first = len(rows)
         firsts.append(first)
         if any(y) or len(s) > 1:
-            c, k = links(t, s, base)
-            chain += [(first + i, first + j) for i, j in c]
-            skip += [(first + i, first + j) for i, j in k]
+            for every, some in zip(linked, links(t, s, base), strict=True):
+                every += [(first + i, first + j) for i, j in some]
         for (a, b), label in zip(s, y, strict=True):
             unary = model.unary[features(t[a:b])].sum(0)
             if label:
@@ -263,7 +269,7 @@ def added_spans(texts: list[str], bases: list[list[tuple[int, int, int]]], model
             rows.append(unary)
     if not rows:
         return [[] for _ in texts]
-    p = marginals(model, np.array(rows), np.array(chain).reshape(-1, 2), np.array(skip).reshape(-1, 2))
+    p = marginals(model, np.array(rows), *[np.array(x).reshape(-1, 2) for x in linked])
     out = []
     for t, s, y, first in zip(texts, spans, own, firsts, strict=True):
         found: list[tuple[int, int, int]] = []

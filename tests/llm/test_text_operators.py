@@ -157,7 +157,7 @@ def test_pii_recall_of_variants(spark):
         planted += 1
         found += any(s < at + len(variant) and at < e for s, _, e in added)
         wrong += any(e <= at or s >= at + len(variant) for s, _, e in added)
-    assert found >= 0.75 * planted and wrong == 0  # 0.8: a phone number rewritten with dots stays below the least marginal
+    assert found >= 0.9 * planted and wrong == 0
 
 
 # --- secrets
