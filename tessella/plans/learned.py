@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
+from bisect import bisect_right
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tessella.functions.curves import with_hilbert
 from tessella.functions.grid import GridSpec
@@ -25,31 +24,31 @@ def train(df: DataFrame, knots: int = KNOTS, accuracy: int = 10_000) -> DataFram
 
 
 def transform(v: float, knots: list[float]) -> float:
-    """The share of the distribution below v, between knots linear, clamped."""
-    return float(np.interp(v, knots, np.linspace(0, 1, len(knots))))
+    """The share of the distribution below v, between knots linear, clamped; the operations are those of mapped(), so that no point falls beside its rectangle."""
+    at = bisect_right(knots, v)
+    if at == 0 or at == len(knots):
+        return float(at > 0)
+    return (at - 1 + (v - knots[at - 1]) / (knots[at] - knots[at - 1])) / (len(knots) - 1)
 
 
-#: Rows of one group that meet its knots in one task, about.
-PART_ROWS = 100_000
+def mapped(v: Column, knots: Column, most: int = KNOTS) -> Column:
+    """transform() of a column by an array column of at most most knots: the last knot that is not above v by halving steps, then the line to the next."""
+    steps = F.array(*[F.lit(1 << k) for k in range(most.bit_length() - 1, -1, -1)])
+    n = F.size(knots)
+    at = F.aggregate(steps, F.lit(0), lambda at, step: F.when((at + step <= n) & (F.get(knots, F.least(at + step, n) - 1) <= v), at + step).otherwise(at))
+    # bound once as a lambda's variable, since four places refer to it
+    low, high = lambda k: F.get(knots, k - 1), lambda k: F.get(knots, k)
+    share = lambda k: F.when(k == 0, 0.0).when(k == n, 1.0).otherwise((k - 1 + (v - low(k)) / (high(k) - low(k))) / (n - 1))
+    return F.element_at(F.transform(F.array(at), share), 1)
 
 
 def with_learned_key(df: DataFrame, model: DataFrame, order: int = 8, out: str = "l_key", class_code: Column | None = None) -> DataFrame:
-    """df with u, v (the mapped coordinates) and the key; rows of groups without a model are left out. A group's rows are dealt to
-    parts and its knots to each of them, whatever the number of groups. With a class code also lc_key, the composite learned key."""
-    parts = F.ceil(F.col("n") / PART_ROWS).cast("int")
-    own = model.select(F.col("group_id").alias("_g"), "xs", "ys", parts.alias("_parts"))
-    dealt = df.join(own.select("_g", "_parts"), F.col("group_id") == F.col("_g"))
-    dealt = dealt.withColumn("_part", F.pmod(F.xxhash64("x", "y"), F.col("_parts")).cast("int")).drop("_parts", "_g")
-    knots = own.select(F.col("_g").alias("_of"), "xs", "ys", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_at"))
-    schema = T.StructType([*dealt.schema.fields, T.StructField("u", T.DoubleType()), T.StructField("v", T.DoubleType())])
-
-    def mapped(rows: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
-        if not len(rows) or not len(known):
-            return rows.iloc[:0].assign(u=pd.Series(dtype=float), v=pd.Series(dtype=float))
-        on = lambda axis, c: np.interp(rows[axis].astype(float), known[c].iloc[0], np.linspace(0, 1, len(known[c].iloc[0])))
-        return rows.assign(u=on("x", "xs"), v=on("y", "ys"))
-
-    met = dealt.groupBy("group_id", "_part").cogroup(knots.groupBy("_of", "_at")).applyInPandas(mapped, schema).drop("_part")
+    """df with u, v (the mapped coordinates) and the key; rows of groups without a model are left out. Knots meet their group's rows by a join, whose side is a row
+    for each group; all else is expressions. With a class code also lc_key, the composite learned key."""
+    own = model.select(F.col("group_id").alias("_g"), F.col("xs").alias("_xs"), F.col("ys").alias("_ys"))
+    met = df.join(own, F.col("group_id") == F.col("_g"))
+    u, v = (F.when(F.col(axis).isNotNull(), mapped(F.col(axis).cast("double"), F.col(knots))) for axis, knots in (("x", "_xs"), ("y", "_ys")))
+    met = met.select(*df.columns, u.alias("u"), v.alias("v"))
     cx, cy = GridSpec(1.0, 1.0, order).columns(F.col("u"), F.col("v"))
     keyed = with_hilbert(met, cx, cy, order, out)
     return keyed if class_code is None else keyed.withColumn("lc_key", composite(class_code, F.col(out)))

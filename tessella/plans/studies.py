@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.operators import rebalance, select, stats
-from tessella.plans import batches, calibration, clients, models, scans, workload
+from tessella.plans import batches, calibration, clients, learned, models, scans, workload
+from tessella.plans import ranges as R
 from tessella.plans.queries import (
-    BUCKETS, EMBED, EMBED_SQL, EVENT_KEYS, EVENTS, EVENTS_SQL, LINES_SQL, RECT, SHOWN, VIEWPORT, WIDE, between, embed, events, keyed, layout, lines, named_after,
+    BUCKETS, EMBED, EMBED_RECT, EMBED_SQL, EVENT_KEYS, EVENTS, EVENTS_SQL, LINES_SQL, RECT, SHOWN, VIEWPORT, WIDE, between, embed, events, keyed, layout, lines, named_after,
     query, stored_events,
 )
 from tessella.streaming import monitor
@@ -226,6 +227,35 @@ def rebalanced_viewport(spark, d):
     return rebalance.viewport_bounded(spark.read.parquet(path), EVENTS, RECT, after).select(*SHOWN)
 
 
+# --- stored forms of queries that otherwise compute keys for all rows
+
+
+@query(VIEWPORT)
+def viewport_morton_stored(spark, d):
+    """By folders of Morton buckets and pushed ranges of the Morton key."""
+    found = R.key_ranges(EVENTS, RECT, "morton")
+    rows = stored_events(spark, d, "two_level_z").read(spark).where(F.col("z_bucket").isin(R.buckets_of(found, BUCKETS, EVENTS.order)))
+    return select.viewport_pruned(rows, EVENTS, RECT, "g0", curve="morton").select(*SHOWN)
+
+
+@query(f"SELECT object_id, x, y, class_label FROM {EMBED_SQL} WHERE {between(EMBED_RECT)}")
+def viewport_all_groups_stored(spark, d):
+    kept = layout.kept(spark, "two_level", named_after("embed", d), lambda: embed(spark, d), EMBED, BUCKETS)
+    return select.viewport_pruned(kept.read(spark), EMBED, EMBED_RECT, buckets=BUCKETS).select(*SHOWN)
+
+
+@query(f"SELECT object_id, x, y, class_label FROM {EMBED_SQL} WHERE {between(EMBED_RECT)} AND group_id = 'e0'")
+def learned_viewport_stored(spark, d):
+    """Keys of the learned curve are written once, in their order; ranges of the mapped rectangle reach the scan."""
+    df = embed(spark, d).where("group_id = 'e0'")
+    model = learned.train(df, 65)
+    path = f"{layout.shared_dir(spark)}/learned-{layout.uuid.uuid4().hex}"
+    learned.with_learned_key(df, model).repartitionByRange("l_key").sortWithinPartitions("l_key").write.parquet(path)
+    m = model.first()
+    rows = spark.read.parquet(path).where(select.in_ranges("l_key", learned.learned_ranges(EMBED_RECT, m["xs"], m["ys"])))
+    return select.viewport(rows, EMBED_RECT).select(*SHOWN)
+
+
 # --- samples and fits
 
 

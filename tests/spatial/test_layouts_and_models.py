@@ -132,8 +132,7 @@ def test_cumulative_counts_and_quantiles(spark):
     assert aggregate.mann_whitney(df.withColumn("s", F.col("g") == "big").where("g IS NOT NULL"), "v", "s").first()["p"] <= 1
 
 
-def test_learned_keys_and_staleness(spark, objects, monkeypatch):
-    monkeypatch.setattr(learned, "PART_ROWS", 50)
+def test_learned_keys_and_staleness(spark, objects):
     model = learned.train(objects, 33)
     keyed = learned.with_learned_key(objects.select("object_id", "group_id", "x", "y"), model, class_code=F.lit(3))
     rows = keyed.collect()

@@ -246,3 +246,22 @@ def test_changes_to_null_and_clashing_names(spark):
     changes = spark.createDataFrame([(1, None), (2, "z")], "k int, v string")
     assert sorted(map(tuple, joins.updated(df, changes, "k", "v").collect())) == [(1, None, "kept"), (2, "z", "kept"), (3, "c", "kept")]
 
+
+
+def test_mapped_coordinates_are_those_of_the_driver(spark):
+    import numpy as np
+
+    from tessella.plans import learned
+
+    knots = [0.0, 1.0, 1.0, 1.0, 2.5, 7.0, 7.25, 100.0]
+    values = [-5.0, 0.0, 0.3, 1.0, 1.7, 2.5, 6.99, 7.0, 7.1, 99.9, 100.0, 1e9, None]
+    df = spark.createDataFrame([("a", v, v) for v in values] + [("b", 1.0, 1.0)], "group_id string, x double, y double")
+    model = spark.createDataFrame([("a", knots, knots[::2], 5)], "group_id string, xs array<double>, ys array<double>, n long")
+    rows = learned.with_learned_key(df, model).collect()
+    assert len(rows) == len(values)
+    for r in rows:
+        want = None if r["x"] is None else learned.transform(r["x"], knots)
+        assert r["u"] == want and (want is None or (abs(want - np.interp(r["x"], knots, np.linspace(0, 1, 8))) < 1e-12 and r["v"] == learned.transform(r["y"], knots[::2])))
+    assert {r["l_key"] is None for r in rows if r["x"] is None} == {True}
+    one = learned.with_learned_key(df, model.withColumn("xs", F.array(F.lit(3.0))).withColumn("ys", F.array(F.lit(3.0)))).where("x IS NOT NULL").select("u").distinct().collect()
+    assert sorted(r[0] for r in one) == [0.0, 1.0]
