@@ -23,6 +23,16 @@ def cells_of(spec: GridSpec, rect: tuple[float, float, float, float]) -> tuple[i
     return x0, y0, x1, y1
 
 
+def key_ranges_or_all(spec: GridSpec, rect: tuple[float, float, float, float], on_empty: str = "empty", **options) -> Ranges:
+    """key_ranges; for a rectangle without cells, one with its ends in the wrong order, no interval, the interval of all keys ("full") or an error ("raise")."""
+    if on_empty not in ("empty", "full", "raise"):
+        raise ValueError(f"unknown choice {on_empty}")
+    found = key_ranges(spec, rect, **options)
+    if not found and on_empty == "raise":
+        raise ValueError("the rectangle has no cells")
+    return found or ([(0, 1 << 2 * spec.order)] if on_empty == "full" else [])
+
+
 def key_ranges(spec: GridSpec, rect: tuple[float, float, float, float], curve: str = "hilbert", cap: int | None = CAP, order: int | None = None) -> Ranges:
     """Sorted disjoint [low, high) that hold all keys of the rectangle's cells, at most cap of them. An order other than the
     spec's walks coarser quadrants, or, if finer, smaller cells; the intervals are in keys of the spec's order all the same."""

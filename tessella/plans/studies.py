@@ -8,12 +8,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.operators import rebalance, select, stats
-from tessella.plans import batches, calibration, clients, learned, models, scans, workload
+from tessella.plans import batches, calibration, clients, learned, models, scans, tables, workload
 from tessella.plans import ranges as R
 from tessella.plans.queries import (
     BUCKETS, EMBED, EMBED_RECT, EMBED_SQL, EVENT_KEYS, EVENTS, EVENTS_SQL, LINES_SQL, RECT, SHOWN, VIEWPORT, WIDE, between, embed, events, keyed, layout, lines, named_after,
     query, stored_events,
 )
+from tessella.sources import readers
 from tessella.streaming import monitor
 
 # --- many rectangles
@@ -297,3 +298,131 @@ def mean_intervals(spark, d):
     return stats.mean_interval(strips, ["tile"], "y").select("tile", "n", *[F.round(c, 6).alias(c) for c in ("mean", "low", "high")])
 
 
+
+
+# --- models over a catalog of groups
+
+CATALOG_SQL = f"(SELECT group_id, count(*) AS n FROM {LINES_SQL} GROUP BY 1)"
+FRACTIONS_SQL = "(VALUES " + ", ".join(f"({f!r}e0)" for f in tables.FRACTIONS) + ") AS fs(fraction)"
+
+
+def catalog(spark, d) -> DataFrame:
+    return lines(spark, d).groupBy("group_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"""SELECT group_id, "order", fraction, b AS buckets, round(e, 9) AS expected, round(1 - e / b, 9) AS pruning, round(4 / (sqrt(fraction) * 2e0 ** "order"), 9) AS fp_bound FROM (
+SELECT *, least(fraction * b + 2e0 * sqrt(fraction * b), b) AS e FROM (SELECT *, least(greatest(1e0, floor(n / 500)), 4e0 ** "order") AS b FROM {CATALOG_SQL}, (VALUES (4), (6), (8), (10)) AS os("order"), {FRACTIONS_SQL}))""")
+def prediction_table(spark, d):
+    t = tables.prediction_table(catalog(spark, d), 500)
+    return t.select("group_id", "order", "fraction", "buckets", *[F.round(c, 9).alias(c) for c in ("expected", "pruning", "fp_bound")])
+
+
+SURFACE_SQL = f"""(SELECT group_id, target, fraction, b, n, least(fraction * b + {models.CALIBRATED}e0 * sqrt(fraction * b), b) AS m FROM (SELECT *, greatest(1e0, n / target) AS b
+FROM {CATALOG_SQL}, (VALUES {", ".join(f"({t})" for t in tables.TARGETS)}) AS ts(target), {FRACTIONS_SQL}))"""
+
+
+@query(f"SELECT group_id, target, fraction, round(b, 9) AS buckets, round(0.05e0 * m + 2e-5 * m * n / b, 9) AS cost FROM {SURFACE_SQL}")
+def cost_surface(spark, d):
+    t = tables.cost_surface(catalog(spark, d))
+    return t.select("group_id", "target", "fraction", F.round("buckets", 9).alias("buckets"), F.round("cost", 9).alias("cost"))
+
+
+@query(f"""SELECT group_id, fraction, target, round(cost, 9) AS cost FROM (SELECT *, row_number() OVER (PARTITION BY group_id, fraction ORDER BY cost, target DESC) AS k FROM (
+SELECT *, 0.05e0 * m + 2e-5 * m * n / b AS cost FROM {SURFACE_SQL})) WHERE k = 1""")
+def best_targets(spark, d):
+    return tables.best_targets(tables.cost_surface(catalog(spark, d))).withColumn("cost", F.round("cost", 9))
+
+
+@query(f"""SELECT count(*) AS groups, sum(greatest(1, n // 500))::BIGINT AS partitions, 60 AS ceiling,
+CASE WHEN sum(greatest(1, n // 500)) <= 60 THEN 'two_level' WHEN count(*) <= 60 THEN 'grouped_clustered' ELSE 'mono_clustered' END AS layout FROM {CATALOG_SQL}""")
+def layout_advice(spark, d):
+    return tables.layout_advice(catalog(spark, d), 60, 500)
+
+
+@query(f"""SELECT coalesce(s.group_id, c.group_id) AS group_id, round(CASE WHEN c.w > 0 THEN c.w WHEN s.w > 0 AND s.h > 0 THEN s.w ELSE 100000 END, 6) AS width,
+round(CASE WHEN c.w > 0 THEN c.h WHEN s.w > 0 AND s.h > 0 THEN s.h ELSE 100000 END, 6) AS height, CASE WHEN c.w > 0 THEN 'catalog' WHEN s.w > 0 AND s.h > 0 THEN 'objects' ELSE 'default' END AS source
+FROM (SELECT group_id, max(x) * 1.05e0 AS w, max(y) * 1.05e0 AS h FROM {EVENTS_SQL} GROUP BY 1) s FULL JOIN
+(SELECT 'g' || r_regionkey AS group_id, CASE WHEN r_regionkey IN (1, 2) THEN 1000e0 * r_regionkey ELSE 0e0 END AS w, 500e0 AS h FROM region) c ON s.group_id = c.group_id""")
+def group_dims(spark, d):
+    """Sizes of groups: of a catalog that knows two of five, else from the objects, else a default."""
+    known = spark.read.parquet(f"{d}/region.parquet").selectExpr("concat('g', r_regionkey) AS group_id", "CASE WHEN r_regionkey IN (1, 2) THEN 1000.0D * r_regionkey ELSE 0.0D END AS width", "500.0D AS height")
+    return tables.group_dims(events(spark, d), known).select("group_id", F.round("width", 6).alias("width"), F.round("height", 6).alias("height"), "source")
+
+
+# --- files of other shapes, written from the given tables and read back by their readers
+
+
+def rewritten(spark, df: DataFrame, kind: str, **options) -> str:
+    path = f"{layout.shared_dir(spark)}/{kind}-{layout.uuid.uuid4().hex}"
+    df.write.options(**options).format(kind).save(path)
+    return path
+
+
+POINTS = ["group_id", "x", "y", "class_label", "area"]
+ROUNDED = "group_id, round(x, 4) AS x, round(y, 4) AS y, class_label, round(area, 4) AS area"
+
+
+def rounded(df: DataFrame) -> DataFrame:
+    return df.select("group_id", *[F.round(c, 4).alias(c) for c in ("x", "y")], "class_label", F.round("area", 4).alias("area"))
+
+
+@query(f"SELECT group_id, round(x, 4) AS x, round(y, 4) AS y, class_label, round((object_id % 50 + 1) * 0.25e0, 4) AS area FROM {EVENTS_SQL} WHERE object_id % 11 <> 0")
+def read_polygons_parquet(spark, d):
+    """Squares around the events, those of every eleventh without vertices."""
+    h = F.col("object_id") % 3 + 1
+    corner = lambda a, b: F.struct((F.col("x") + a * h).alias("x"), (F.col("y") + b * h).alias("y"))
+    square = F.array(corner(-1, -1), corner(1, -1), corner(1, 1), corner(-1, 1))
+    nuclei = events(spark, d).select(
+        F.col("group_id").alias("case_id"), F.floor("x").alias("tile_minx"), F.floor("y").alias("tile_miny"), (F.col("object_id") % 50 + 1).alias("AreaInPixels"), F.lit(0.5).alias("mpp"),
+        F.when(F.col("object_id") % 11 != 0, square).alias("Polygon"), F.col("class_label").alias("type"),
+    )
+    return rounded(readers.polygons_parquet(spark, rewritten(spark, nuclei, "parquet")))
+
+
+@query(f"SELECT 'slide' AS group_id, round(x, 4) AS x, round(y, 4) AS y, 'nucleus' AS class_label, round(object_id % 50 + 1, 4)::DOUBLE AS area FROM {EVENTS_SQL} WHERE object_id % 11 <> 0")
+def read_polygons_csv(spark, d):
+    """The same as lines of text, with headers, blank lines and short lines among them."""
+    pair = lambda a: F.concat_ws(":", (F.col("x") + a).cast("string"), (F.col("y") - a).cast("string"))
+    line = F.concat_ws(",", (F.col("object_id") % 50 + 1).cast("string"), F.lit("1.0"), F.concat_ws(":", pair(-2.0), pair(0.0), pair(2.0)))
+    bad = F.when(F.col("object_id") % 2 == 0, "").when(F.col("object_id") % 3 == 0, "AreaInPixels,PhysicalSize,Polygon").otherwise("5,1.0,17.5")
+    text = events(spark, d).select(F.when(F.col("object_id") % 11 != 0, line).otherwise(bad).alias("value"))
+    return rounded(readers.polygons_csv(spark, rewritten(spark, text, "text"), "slide"))
+
+
+@query(f"SELECT {ROUNDED} FROM {EVENTS_SQL} WHERE object_id % 11 <> 0")
+def read_cells_csv(spark, d):
+    x = F.when(F.col("object_id") % 11 != 0, F.col("x"))
+    cells = events(spark, d).select(
+        F.lit("i").alias("image_id"), F.col("group_id").alias("tissue_type"), F.col("object_id").alias("nucleus_id"), F.col("class_label").alias("category"), x.alias("centroid_x"), F.col("y").alias("centroid_y"),
+        "area", F.lit(1.0).alias("perimeter"),
+    )
+    return rounded(readers.cells_csv(spark, rewritten(spark, cells, "csv", header=True)))
+
+
+STAR_BINS = " ".join(f"WHEN c >= {a} AND c < {b} THEN '{name}'" for a, b, name in readers.COLOUR_BINS)
+
+
+@query(f"""SELECT object_id, round(ra, 6) AS x, round(dec, 6) AS y, CASE WHEN c IS NULL THEN 'Unknown' {STAR_BINS} ELSE 'Unknown' END AS class_label FROM (
+SELECT object_id, (x + 0.5e0) * 360 AS ra, y * 90 AS dec, CASE WHEN object_id % 13 <> 0 THEN round(y * 20, 2) END AS c FROM {EMBED_SQL} WHERE object_id % 7 <> 0)""")
+def read_stars_csv(spark, d):
+    """The embedding's plane as a sky: no magnitude in every seventh row, no colour in every thirteenth."""
+    stars = embed(spark, d).select(
+        F.col("object_id").alias("source_id"), ((F.col("x") + 0.5) * 360).alias("ra"), (F.col("y") * 90).alias("dec"), F.when(F.col("object_id") % 7 != 0, 12.5).alias("phot_g_mean_mag"),
+        F.when(F.col("object_id") % 13 != 0, F.round(F.col("y") * 20, 2)).alias("bp_rp"),
+    )
+    found = readers.stars_csv(spark, rewritten(spark, stars, "csv", header=True))
+    return found.select("object_id", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"), "class_label")
+
+
+PAID = " ".join(f"WHEN object_id % 8 = {k} THEN '{name}'" for k, name in readers.PAYMENTS.items())
+
+
+@query(f"""SELECT round(lon, 6) AS x, round(lat, 6) AS y, CASE {PAID} ELSE 'unknown' END AS class_label, object_id % 5 AS rate_code FROM (
+SELECT object_id, -75.2e0 + x / {EVENTS.width!r}e0 * 2.4e0 AS lon, 39.9e0 + y / {EVENTS.height!r}e0 * 2 AS lat FROM {EVENTS_SQL}) WHERE lon BETWEEN -75 AND -73 AND lat BETWEEN 40 AND 41.5""")
+def read_trips_parquet(spark, d):
+    trips = events(spark, d).select(
+        (F.lit(-75.2) + F.col("x") / EVENTS.width * 2.4).alias("Pickup_Longitude"), (F.lit(39.9) + F.col("y") / EVENTS.height * 2).alias("Pickup_Latitude"),
+        (F.col("object_id") % 8).cast("int").alias("payment_type"), (F.col("object_id") % 5).cast("double").alias("RatecodeID"),
+    )
+    found = readers.trips_parquet(spark, rewritten(spark, trips, "parquet"))
+    return found.select(F.round("x", 6).alias("x"), F.round("y", 6).alias("y"), "class_label", "rate_code")

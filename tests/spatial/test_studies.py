@@ -265,3 +265,36 @@ def test_mapped_coordinates_are_those_of_the_driver(spark):
     assert {r["l_key"] is None for r in rows if r["x"] is None} == {True}
     one = learned.with_learned_key(df, model.withColumn("xs", F.array(F.lit(3.0))).withColumn("ys", F.array(F.lit(3.0)))).where("x IS NOT NULL").select("u").distinct().collect()
     assert sorted(r[0] for r in one) == [0.0, 1.0]
+
+
+def test_model_tables_equal_the_models(spark):
+    from tessella.plans import models, tables
+
+    catalog_ = spark.createDataFrame([("a", 1_000_000), ("b", 3), ("c", 120_000)], "group_id string, n long")
+    n = {"a": 1_000_000, "b": 3, "c": 120_000}
+    for r in tables.prediction_table(catalog_).collect():
+        b = min(max(1, n[r["group_id"]] // 50_000), 4 ** r["order"])
+        assert (r["buckets"], r["expected"]) == (b, pytest.approx(models.expected_buckets(r["fraction"], b))) and r["fp_bound"] == pytest.approx(models.false_positive_bound(r["fraction"], r["order"]))
+    surface = tables.cost_surface(catalog_, range(2_000, 200_000, 1_000), (0.05,))
+    rows = surface.collect()
+    assert all(r["cost"] == pytest.approx(models.bucket_cost(r["target"], n[r["group_id"]], 0.05)) for r in rows)
+    step = lambda t: models.bucket_cost(t, 1_000_000, 0.05)
+    for r in rows:
+        if r["group_id"] == "a" and r["slope"] is not None and r["target"] < 190_000:
+            assert r["slope"] == pytest.approx((step(r["target"] + 1) - step(r["target"] - 1)) / 2, rel=1e-3, abs=1e-9)
+    best = {r["group_id"]: r["target"] for r in tables.best_targets(surface).collect()}
+    assert abs(best["a"] - models.best_target(1_000_000, 0.05)) <= 2_000
+    assert {r[0]: r[1] for r in tables.least_order(catalog_).collect()} == {"a": 7, "b": 7, "c": 7}
+    assert [tables.layout_advice(catalog_, c).first()["layout"] for c in (23, 22, 2)] == ["two_level", "grouped_clustered", "mono_clustered"]
+    assert tables.layout_advice(catalog_.limit(0), 5).first()["partitions"] == 0
+
+
+def test_ranges_of_rectangles_without_cells():
+    from tessella.plans import ranges
+
+    none = (5.0, 0.0, 1.0, 9.0)
+    assert ranges.key_ranges_or_all(SPEC, none) == [] and ranges.key_ranges_or_all(SPEC, none, "full") == [(0, 1 << 16)]
+    assert ranges.key_ranges_or_all(SPEC, (1.0, 0.0, 5.0, 9.0), "full") == ranges.key_ranges(SPEC, (1.0, 0.0, 5.0, 9.0))
+    for choice, rect in (("raise", none), ("other", none)):
+        with pytest.raises(ValueError):
+            ranges.key_ranges_or_all(SPEC, rect, choice)
