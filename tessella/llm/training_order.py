@@ -37,6 +37,8 @@ ROUNDS = 6
 BLOCK_DOCS, GROUP_BLOCKS = 20_000, 1_000
 #: Copies of one row that one task cuts, at most; more are dealt out again.
 COPIES = 1_000
+#: Bytes that a task sorts and writes, at most about.
+TASK_BYTES = 256 << 20
 #: Sequences that a task hands on at a time.
 ROWS = 1_024
 KINDS = {1: np.uint8, 2: np.uint16, 4: np.uint32}
@@ -142,10 +144,11 @@ def sequences(
     return made, total
 
 
-def write_shards(rows: DataFrame, total: int, path: str, stride: int = STRIDE) -> None:
-    """Writes rows in slot order, one folder per shard. Each task has a range of whole shards; a failed task is run again whole."""
+def write_shards(rows: DataFrame, total: int, path: str, stride: int = STRIDE, row_bytes: int = LENGTH) -> None:
+    """Writes rows in slot order, one folder per shard. Each task has a range of whole shards, TASK_BYTES of them or less unless one shard is
+    larger, so a task does not grow with the corpus; a failed task is run again whole."""
     shards = max(1, -(-total // stride))
-    tasks = min(shards, max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    tasks = min(shards, max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total * row_bytes // TASK_BYTES)))
     shard = F.expr(f"slot div {stride}")
     dealt = rows.withColumn("shard", shard).withColumn("row", F.expr(f"cast(slot % {stride} as int)"))
     dealt = dealt.repartitionById(tasks, F.expr(f"cast(shard * {tasks} div {shards} as int)"))
@@ -164,7 +167,7 @@ def materialised(
     """Writes all sequences of df to new shards in the shared folder; returns their path and number."""
     rows, total = sequences(df, key, tokens, length, seed, width)
     path = f"{shared_dir(df.sparkSession)}/training-{uuid.uuid4().hex}"
-    write_shards(rows, total, path, stride)
+    write_shards(rows, total, path, stride, length * width)
     return path, total
 
 

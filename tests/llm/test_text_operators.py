@@ -51,6 +51,15 @@ def test_training_order_holds_every_byte_once(spark, docs, odd):
         assert later.count() == total - total // 2
 
 
+def test_shards_are_dealt_to_tasks_by_their_bytes(spark, docs, monkeypatch, tmp_path):
+    monkeypatch.setattr(training_order, "TASK_BYTES", 16 * 256)
+    rows, total = training_order.sequences(docs, length=256)
+    training_order.write_shards(rows, total, str(tmp_path / "t"), 8, 256)
+    read = spark.read.parquet(str(tmp_path / "t"))
+    per_task = read.groupBy(F.regexp_extract(F.input_file_name(), r"part-(\d+)", 1).alias("task")).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("shard").alias("s")).collect()
+    assert sum(r["n"] for r in per_task) == total and max(r["s"] for r in per_task) <= 2 and len(per_task) >= total // 16
+
+
 def brute_order(rows, length, seed=20_240_601):
     """{slot: (id, part, tokens)} of a table of one block and distinct ids: numbered in order of id, nulls first."""
     made = []
