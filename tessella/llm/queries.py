@@ -147,5 +147,32 @@ SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, p
 FROM kept JOIN (SELECT lang, sum(a)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang) USING (lang) QUALIFY rank <= 2000"""
 
 
+#: The crc32 of each feature by a walk over its bytes and the table of the polynomial's remainders; all features of a step go on together.
+IMPORTANCE_SQL = r"""
+WITH RECURSIVE src AS (
+  SELECT 0 AS side, doc_id AS id, row_number() OVER () AS rid, text FROM documents UNION ALL SELECT 1, item_id, row_number() OVER (), text FROM benchmark
+), ws AS MATERIALIZED (
+  SELECT side, id, rid, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM src
+), feats AS MATERIALIZED (SELECT side, rid, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i+1]))) AS f FROM ws),
+tab AS MATERIALIZED (
+  SELECT i, list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[], lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS t FROM range(256) AS r(i)
+), walk AS (
+  SELECT f, hex(encode(f)) AS h, 1 AS pos, 4294967295::BIGINT AS c FROM (SELECT DISTINCT f FROM feats)
+  UNION ALL SELECT f, h, pos + 2, xor(c >> 8, t) FROM walk JOIN tab ON tab.i = xor(c & 255, ('0x' || substr(h, pos, 2))::BIGINT) WHERE pos < length(h)
+), crc AS MATERIALIZED (SELECT f, xor(c, 4294967295) % 10000 AS b FROM walk WHERE pos > length(h)),
+counts AS (SELECT side, b, count(*) AS n FROM feats JOIN crc USING (f) GROUP BY 1, 2),
+gains AS (
+  SELECT bs.b, CAST(floor(1000 * ln((coalesce(t.n, 0) + 1)::DOUBLE * ((SELECT coalesce(sum(n), 0) FROM counts WHERE side = 0) + 10000)::DOUBLE
+    / ((coalesce(s.n, 0) + 1)::DOUBLE * ((SELECT coalesce(sum(n), 0) FROM counts WHERE side = 1) + 10000)::DOUBLE))) AS BIGINT) AS gain
+  FROM range(10000) AS bs(b) LEFT JOIN counts s ON s.b = bs.b AND s.side = 0 LEFT JOIN counts t ON t.b = bs.b AND t.side = 1
+), sums AS (SELECT rid, count(*) AS n, sum(gain) AS g FROM feats JOIN crc USING (f) JOIN gains USING (b) WHERE side = 0 GROUP BY 1),
+docs AS (
+  SELECT id AS doc_id, len(w) AS n_words, coalesce(n, 0) AS n_features, CAST(coalesce(floor(g / n), 0) AS BIGINT) AS weight, ('0x' || sha256('7:' || coalesce(id::VARCHAR, ''))[1:8])::BIGINT AS h
+  FROM ws LEFT JOIN sums USING (rid) WHERE side = 0
+), scored AS (SELECT *, weight + CAST(floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score FROM docs),
+placed AS (SELECT *, row_number() OVER (PARTITION BY n_words >= 20 ORDER BY score DESC, doc_id NULLS LAST, n_features) AS k FROM scored)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_words >= 20 AND k <= 25 * (SELECT count(*) FROM scored WHERE n_words >= 20) // 100 THEN k END AS rank FROM placed"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_quality": QUALITY_SQL, "op5_line_dedup": LINES_SQL, "op9_urls": urls.sql(), "op13_collocations": COLLOCATIONS_SQL}
+    return {"op4_quality": QUALITY_SQL, "op5_line_dedup": LINES_SQL, "op9_urls": urls.sql(), "op11_importance": IMPORTANCE_SQL, "op13_collocations": COLLOCATIONS_SQL}

@@ -100,3 +100,16 @@ def test_draw_cuts_scores_with_many_rows_by_id(spark, share):
     drawn = share[0] * len(fit) // share[1]
     want = [(r[0], *r[2:], k + 1 if k < drawn else None) for k, r in enumerate(fit)] + [(r[0], *r[2:], None) for r in rows if r[1] < 20]
     assert got == sorted(want, key=repr)
+
+
+def test_sql_equals_the_query(spark, small):
+    import duckdb
+
+    from tessella.llm.queries import oracle_sql
+
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{small}/{t}.parquet'")
+    got = con.sql(oracle_sql()["op11_importance"])
+    assert [c for c in got.columns] == ["doc_id", "n_features", "weight", "score", "rank"]
+    assert sorted(got.fetchall(), key=repr) == sorted((tuple(r) for r in op11_importance(spark, small).collect()), key=repr)
