@@ -147,6 +147,18 @@ SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, p
 FROM kept JOIN (SELECT lang, sum(a)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang) USING (lang) QUALIFY rank <= 2000"""
 
 
+#: Every 200-byte string of every text, counted by its 64-bit hash; bytes as pairs of hex digits.
+REPEATS_SQL = r"""
+WITH docs AS MATERIALIZED (SELECT row_number() OVER () AS rid, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+wins AS (SELECT rid, pos, hash(substr(h, 2 * pos + 1, 400)) AS k FROM (SELECT rid, h, unnest(range(0, length(h) // 2 - 199)) AS pos FROM docs)),
+often AS (SELECT rid, pos FROM (SELECT rid, pos, count(*) OVER (PARTITION BY k) AS n FROM wins) WHERE n > 1),
+begun AS (SELECT rid, pos, coalesce((pos > lag(pos) OVER (PARTITION BY rid ORDER BY pos) + 200)::INT, 1) AS fresh FROM often),
+spans AS (SELECT rid, min(pos) AS a, max(pos) + 200 AS z FROM (SELECT rid, pos, sum(fresh) OVER (PARTITION BY rid ORDER BY pos) AS nth FROM begun) GROUP BY rid, nth),
+gaps AS (SELECT rid, a, z, coalesce(lag(z) OVER (PARTITION BY rid ORDER BY a), 0) AS low FROM spans),
+kept AS (SELECT rid, count(*) AS n, sum(z - a)::BIGINT AS gone, max(z) AS top, string_agg(substr(h, 2 * low + 1, 2 * (a - low)), '' ORDER BY a) AS k FROM gaps JOIN docs USING (rid) GROUP BY rid)
+SELECT doc_id, length(h) // 2 AS n_bytes, coalesce(gone, 0) AS n_removed, coalesce(n, 0) AS n_spans, sha256(unhex(coalesce(k, '') || substr(h, 2 * coalesce(top, 0) + 1))) AS kept_sha256
+FROM docs LEFT JOIN kept USING (rid)"""
+
 #: The crc32 of each feature by a walk over its bytes and the table of the polynomial's remainders; all features of a step go on together.
 IMPORTANCE_SQL = r"""
 WITH RECURSIVE src AS (
@@ -175,4 +187,4 @@ SELECT doc_id, n_features, weight, score, CASE WHEN n_words >= 20 AND k <= 25 *
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_quality": QUALITY_SQL, "op5_line_dedup": LINES_SQL, "op9_urls": urls.sql(), "op11_importance": IMPORTANCE_SQL, "op13_collocations": COLLOCATIONS_SQL}
+    return {"op4_quality": QUALITY_SQL, "op5_line_dedup": LINES_SQL, "op9_urls": urls.sql(), "op11_importance": IMPORTANCE_SQL, "op12_suffix_dedup": REPEATS_SQL, "op13_collocations": COLLOCATIONS_SQL}
