@@ -98,7 +98,7 @@ def files_of_or_none(spark: SparkSession, path: str) -> list:
     return files_of(spark, [path]) if place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place) else []
 
 
-class DatasetRegistry:
+class LoadedDatasets:
     """Datasets that were loaded, with their kind, numbers of groups and objects, time and notes: rows of JSON in root/datasets; the
     latest of a name counts."""
 

@@ -153,12 +153,12 @@ def test_kept_layouts_do_not_go_stale(spark, tmp_path):
 
 
 def test_registry_of_datasets(spark, made, tmp_path):
-    r = catalog.DatasetRegistry(spark, str(tmp_path))
+    r = catalog.LoadedDatasets(spark, str(tmp_path))
     assert r.datasets().count() == 0
     r.register("made", "points", made, {"by": "test"})
     r.register("made", "points", made.where("group_id = 'g1'"))
     r.register("other", "points", made.limit(0))
-    got = {x["name"]: (x["n_groups"], x["n_objects"], x["notes"]) for x in catalog.DatasetRegistry(spark, str(tmp_path)).datasets().collect()}
+    got = {x["name"]: (x["n_groups"], x["n_objects"], x["notes"]) for x in catalog.LoadedDatasets(spark, str(tmp_path)).datasets().collect()}
     assert got == {"made": (1, made.where("group_id = 'g1'").count(), {}), "other": (0, 0, {})}
 
 
