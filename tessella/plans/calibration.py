@@ -10,17 +10,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.functions.grid import GridSpec
-from tessella.plans.batches import LEVEL, viewport_batch
+from tessella.plans.batches import COUNT_LEVEL, counted
 from tessella.plans.models import CALIBRATED
 
 
-def buckets_met(df: DataFrame, spec: GridSpec, rects: DataFrame, level: int = LEVEL, buckets: int | None = None) -> DataFrame:
+def buckets_met(df: DataFrame, spec: GridSpec, rects: DataFrame, level: int = COUNT_LEVEL, buckets: int | None = None) -> DataFrame:
     """(rect_id, group_id, fraction, met, total, n): for each rectangle (rect_id, group_id, fraction, x0, y0, x1, y1) over its group's objects (bucket, h_key, ...)
     the buckets that hold objects in it, all the group's buckets, and the objects. Rectangles of groups without objects are left out."""
-    hits = viewport_batch(df, spec, rects, ("bucket",), level, buckets)
-    each = hits.groupBy("rect_id", "bucket").agg(F.count(F.lit(1)).alias("n")).groupBy("rect_id").agg(F.count(F.lit(1)).alias("met"), F.sum("n").alias("n"))
-    total = df.groupBy("group_id", "bucket").agg(F.lit(1)).groupBy("group_id").agg(F.count(F.lit(1)).alias("total"))
-    met = rects.select("rect_id", "group_id", "fraction").join(total, "group_id").join(each, "rect_id", "left")
+    each = counted(df, spec, rects, ("bucket",), level, buckets).groupBy("rect_id").agg(F.count(F.lit(1)).alias("met"), F.sum("n").alias("n"))
+    total = df.groupBy("group_id", "bucket").agg(F.lit(1)).groupBy("group_id").agg(F.count(F.lit(1)).alias("total"))  # a row for each group
+    met = rects.select("rect_id", "group_id", "fraction").join(F.broadcast(total), "group_id").join(each, "rect_id", "left")
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
     return met.select("rect_id", "group_id", "fraction", zero("met"), "total", zero("n"))
 
