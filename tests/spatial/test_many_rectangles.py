@@ -39,7 +39,7 @@ def most_rows(df) -> dict[str, int]:
     return out
 
 
-@pytest.mark.parametrize("name", ["viewport_batch", "fraction_sweep", "buckets_met", "curve_constant", "curve_constant_interval", "density_fit", "group_constants"])
+@pytest.mark.parametrize("name", ["viewport_batch", "fraction_sweep", "buckets_met", "curve_constant", "curve_constant_interval", "density_fit", "group_constants", "model_validation"])
 def test_neither_pairs_nor_cells_are_sent_or_made(spark, crowded, name):
     most = most_rows(Q.QUERIES[name](spark, crowded))
     assert most["BroadcastExchange"] <= 10_000 and 0 < most["Join"] <= 500_000
