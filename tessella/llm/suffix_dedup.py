@@ -10,8 +10,8 @@ array tells which windows they share. Its text has a symbol for each BLOCK bytes
 that of the bytes. It is built by linear grouping: suffixes are grouped by Lyndon prefix, groups are processed in descending order through pointers to
 the previous smaller suffix, and then each group's order is emitted along these pointers; no symbols are renamed on the way. In suffix order
 the suffixes that share LENGTH - d bytes stand together, and those among them with the same d bytes before start equal windows; d below BLOCK reaches
-windows that start between blocks. Anchors with more than HOT different segments are dealt out by the hashes (128 bits) of their windows instead, counted before
-any shuffle, so that no task ever holds all segments of a common passage.
+windows that start between blocks. Anchors with more than HOT different segments are dealt out by the hashes (128 bits) of their windows instead, so that no task ever holds
+all segments of a common passage.
 
 Texts are known by a 64-bit hash and their length; copies of a text have one result. Spans are joined per text and cut out of it.
 
@@ -363,7 +363,8 @@ def compared(cold: DataFrame) -> DataFrame:
 
 
 def counted(hot: DataFrame) -> DataFrame:
-    """The same for anchors with very many different segments: by the windows' hashes."""
+    """The same for anchors with very many different segments: by the windows' hashes. A segment that came with several copies of its text makes its
+    windows once, and they are made once for both the count and the answer."""
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
@@ -379,7 +380,8 @@ def counted(hot: DataFrame) -> DataFrame:
             columns = [pa.array(hashes.window(at, 1).view(np.int64)), pa.array(hashes.window(at, 2).view(np.int64)), part.column(0).take(where), part.column(1).take(where), pa.array(start.astype(np.int32)), part.column(4).take(where)]
             yield pa.RecordBatch.from_arrays(columns, names=["x", "y", "a", "b", "start", "open"])
 
-    own = hot.select("a", "b", "start", "bytes", "open").mapInArrow(windows, "x long, y long, a long, b int, start int, open boolean")
+    one = hot.dropDuplicates(["h", "g"]).select("a", "b", "start", "bytes", "open")
+    own = saved(one.mapInArrow(windows, "x long, y long, a long, b int, start int, open boolean"), "hot-windows")
     often = own.groupBy("x", "y").agg(F.sum(F.when(F.col("open"), 1).otherwise(2)).alias("n")).where("n > 1").select("x", "y")
     return own.where("open").join(often, ["x", "y"]).select("a", "b", "start", (F.col("start") + LENGTH).cast("int").alias("end"))
 

@@ -7,6 +7,7 @@ import pytest
 
 from tessella.llm import suffix_dedup
 from tessella.llm.queries import op12_suffix_dedup
+from tessella.plans import scans
 
 L = suffix_dedup.LENGTH
 
@@ -118,3 +119,31 @@ def test_shared_windows_of_segments():
     want = [(i, k) for i, (t, o) in enumerate(zip(texts, offsets)) for k in range(min(o, len(t) - L) + 1) if seen[k - o, t[k : k + L]] > 1]
     of, at = suffix_dedup.shared_windows(texts, np.array(offsets))
     assert sorted(set(zip(of.tolist(), at.tolist()))) == want and want
+
+
+def test_copies_of_a_text_make_windows_once(spark, monkeypatch):
+    """A segment of a common anchor that came with forty copies of its text, and one that came once."""
+    rng = random.Random(4)
+    core = "".join(rng.choices("abcdefgh", k=240))
+    twice, once = ("x" * 20 + core).encode(), (core + "y" * 30).encode()
+    rows = [(1, 1, 10, 260, 0, False, bytearray(twice))] * 40 + [(1, 2, 20, 270, 0, True, bytearray(once))]
+    hot = spark.createDataFrame(rows, "h long, g long, a long, b int, start int, open boolean, bytes binary").repartition(8)
+    made = []
+
+    def noted(df):
+        """Adds the rows that the tasks in Arrow of df's plan make."""
+        run = df._jdf.queryExecution()
+        run.toRdd().count()
+        left = [run.executedPlan()]
+        while left:
+            plan = left.pop()
+            left += scans._below(plan)
+            if plan.getClass().getSimpleName() == "MapInArrowExec":
+                made.append(int(plan.metrics().apply("pythonNumRowsReceived").value()))
+        return df
+
+    real = suffix_dedup.saved
+    monkeypatch.setattr(suffix_dedup, "saved", lambda df, name: real(noted(df), name))
+    spans = noted(suffix_dedup.counted(hot))
+    assert sorted(map(tuple, spans.collect())) == [(20, 270, k, k + L) for k in range(len(core) - L + 1)]
+    assert sum(made) == len(twice) + len(once) - 2 * (L - 1)
