@@ -10,8 +10,9 @@ array tells which windows they share. Its text has a symbol for each BLOCK bytes
 that of the bytes. It is built by linear grouping: suffixes are grouped by Lyndon prefix, groups are processed in descending order through pointers to
 the previous smaller suffix, and then each group's order is emitted along these pointers; no symbols are renamed on the way. In suffix order
 the suffixes that share LENGTH - d bytes stand together, and those among them with the same d bytes before start equal windows; d below BLOCK reaches
-windows that start between blocks. Anchors with more than HOT different segments are dealt out by the hashes (128 bits) of their windows instead, so that no task ever holds
-all segments of a common passage.
+windows that start between blocks. Anchors with more than HOT different segments are dealt out instead, so that no task ever holds all segments of a common passage: cut
+in pieces of WIDTHS windows at the same places around the anchor, which are settled like segments, by hashes (128 bits) of the bytes that all windows of a piece share, as its anchor, and
+of the piece; what is left, pieces that occur once among others that share those bytes, by the hashes of their windows.
 
 Texts are known by a 64-bit hash and their length; copies of a text have one result. Spans are joined per text and cut out of it.
 
@@ -24,6 +25,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +38,8 @@ from tessella.llm.common import mix, named, saved, slices, utf8
 LENGTH, GRAM, BLOCK = 200, 40, 8
 #: Segments of one anchor that a suffix array takes, and symbols of one suffix array, about.
 HOT, SYMBOLS = 2_000, 100_000
+#: Windows of the pieces that the segments of an anchor with more segments are cut in, one width after the other, each a multiple of the next and of 8.
+WIDTHS = (32, 8)
 #: Bytes whose anchors are found at a time.
 PIECE = 1 << 20
 #: Texts whose hashes a task remembers, so as to send a copy once.
@@ -129,12 +133,12 @@ class Hashes:
         self.of8, self.of32 = kept[8], kept[32]
         self.gram = mix(joined(self.of32[: len(data) - GRAM + 1], self.of8[32 : len(data) - 8 + 1])) if len(data) >= GRAM else h[:0]
 
-    def window(self, at: np.ndarray, seed: int = 0) -> np.ndarray:
-        """Of LENGTH bytes from each place."""
+    def window(self, at: np.ndarray, seed: int = 0, length: int = LENGTH) -> np.ndarray:
+        """Of length bytes, a multiple of 8, from each place."""
         h = np.full(len(at), seed, np.uint64)
-        for k in range(0, LENGTH // 32 * 32, 32):
+        for k in range(0, length // 32 * 32, 32):
             h = mix(joined(h, self.of32[at + k]))
-        for k in range(LENGTH // 32 * 32, LENGTH, 8):
+        for k in range(length // 32 * 32, length, 8):
             h = mix(joined(h, self.of8[at + k]))
         return h
 
@@ -362,8 +366,57 @@ def compared(cold: DataFrame) -> DataFrame:
     return cold.select(*columns).repartition("h").sortWithinPartitions("h", "g").mapInArrow(scanned, SPAN)
 
 
+PIECES = "x long, y long, u long, v long, a long, b int, start int, anchor short, open boolean, bytes binary"
+
+
+def narrowed(hot: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
+    """Of different segments (a, b, start, anchor, open, bytes) spans of the open ones' pieces that occur more than once, and the different pieces that are to be looked
+    into, in the same columns. A piece is up to width windows: those with the anchor at the same places, by width. x and y are of the bytes that all windows there share, u and v of the piece."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches):
+            raw = utf8(part.column(5))
+            n = np.array([len(x) for x in raw])
+            base = np.cumsum(n) - n
+            hashes = Hashes(np.frombuffer(b"".join(raw), np.uint8))
+            each = n - LENGTH + 1
+            of = np.repeat(np.arange(len(raw)), each)
+            inside = np.arange(len(of)) - np.repeat(np.cumsum(each) - each, each)
+            anchor = part.column(3).to_numpy().astype(np.int64)
+            place = (anchor[of] - inside) // width
+            first = np.flatnonzero(np.append(True, (of[1:] != of[:-1]) | (place[1:] != place[:-1])))
+            last = np.append(first[1:], len(of)) - 1
+            of, low, high, place = of[first], inside[first], inside[last], place[first]
+            core = base[of] + anchor[of] - width * place
+            columns = [pa.array(hashes.window(core, seed, LENGTH - width).view(np.int64)) for seed in (1, 2)]
+            columns += [pa.array(mix(joined(hashes.window(base[of] + low, seed), hashes.window(base[of] + high, seed)) + (high - low).astype(np.uint64)).view(np.int64)) for seed in (1, 2)]
+            where = pa.array(of)
+            columns += [part.column(0).take(where), part.column(1).take(where), pa.array((part.column(2).to_numpy()[of] + low).astype(np.int32)), pa.array((anchor[of] - low).astype(np.int16)), part.column(4).take(where)]
+            columns.append(pa.array([raw[k][i : j + LENGTH] for k, i, j in zip(of.tolist(), low.tolist(), high.tolist())], pa.binary()))
+            yield pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in PIECES.split(", ")])
+
+    pieces = saved(hot.select("a", "b", "start", "anchor", "open", "bytes").mapInArrow(cut, PIECES), "pieces")
+    rep = F.min(F.struct("a", "b", "start", "anchor", "bytes"))
+    kinds = saved(pieces.groupBy("x", "y", "u", "v").agg(F.sum(F.when(F.col("open"), 1).otherwise(2)).alias("n"), rep.alias("rep")), "piece-kinds")
+    whole = pieces.where("open").join(kinds.where("n > 1").select("x", "y", "u", "v"), ["x", "y", "u", "v"])
+    sure = whole.select("a", "b", "start", (F.col("start") + F.length("bytes")).cast("int").alias("end"))
+    cores = kinds.groupBy("x", "y").agg(F.count(F.lit(1)).alias("kinds"), F.min("n").alias("least")).where("kinds > 1 AND least = 1").select("x", "y")
+    return sure, kinds.join(cores, ["x", "y"]).select(F.col("x").alias("h"), F.col("u").alias("g"), "rep.*", (F.col("n") == 1).alias("open"))
+
+
+def dealt(hot: DataFrame) -> DataFrame:
+    """The same for anchors with very many different segments: by pieces that repeat whole, ever narrower, then by windows."""
+    left, found = hot.dropDuplicates(["h", "g"]), []
+    for width in WIDTHS:
+        if left.isEmpty():
+            break
+        sure, left = narrowed(left, width)
+        found.append(sure)
+    return reduce(DataFrame.unionByName, found, counted(left))
+
+
 def counted(hot: DataFrame) -> DataFrame:
-    """The same for anchors with very many different segments: by the windows' hashes. A segment that came with several copies of its text makes its
+    """The same by the windows' hashes. A segment that came with several copies of its text makes its
     windows once, and they are made once for both the count and the answer."""
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -400,7 +453,7 @@ def repeats(texts: DataFrame, hot: int = HOT) -> DataFrame:
     groups = kinds.groupBy("h").agg(F.count(F.lit(1)).alias("kinds"), F.min("n").alias("least")).where("kinds > 1 AND least = 1")
     wanted = kinds.join(groups, "h").select("h", "g", "rep.*", (F.col("n") == 1).alias("open"), (F.col("kinds") > hot).alias("hot"))
     bytes_ = saved(fetched(wanted, texts), "segment-bytes")
-    return sure.unionByName(compared(bytes_.where("NOT hot"))).unionByName(counted(bytes_.where("hot")))
+    return sure.unionByName(compared(bytes_.where("NOT hot"))).unionByName(dealt(bytes_.where("hot")))
 
 
 def removed(df: DataFrame, key: str = "doc_id", text: str = "text", hot: int = HOT) -> DataFrame:

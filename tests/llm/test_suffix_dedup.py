@@ -147,3 +147,41 @@ def test_copies_of_a_text_make_windows_once(spark, monkeypatch):
     spans = noted(suffix_dedup.counted(hot))
     assert sorted(map(tuple, spans.collect())) == [(20, 270, k, k + L) for k in range(len(core) - L + 1)]
     assert sum(made) == len(twice) + len(once) - 2 * (L - 1)
+
+
+def test_near_copies_make_few_rows(spark, monkeypatch):
+    """Of 400 copies of a passage, each with a word of its own, nearly all windows repeat: what is made and joined for them follows the copies, not the windows."""
+    rng = random.Random(6)
+    words = ["".join(rng.choices("abcdefgh", k=5)) for _ in range(120)]
+    texts = []
+    for k in range(400):
+        at = rng.randrange(len(words))
+        texts.append(" ".join([*words[:at], f"{k:05d}", *words[at + 1 :]]))
+    rows = list(enumerate(texts))
+    made = []
+
+    def noted(df):
+        run = df._jdf.queryExecution()
+        run.toRdd().count()
+        left = [run.executedPlan()]
+        while left:
+            plan = left.pop()
+            left += scans._below(plan)
+            if "Join" in plan.getClass().getSimpleName():
+                made.append(int(plan.metrics().apply("numOutputRows").value()))
+            if plan.getClass().getSimpleName() == "MapInArrowExec":
+                made.append(int(plan.metrics().apply("pythonNumRowsReceived").value()))
+        return df
+
+    windows, real = [], suffix_dedup.saved
+
+    def kept(df, name):
+        out = real(noted(df) if name in ("pieces", "piece-kinds", "hot-windows", "spans") else df, name)
+        if name == "segment-bytes":
+            windows.append(out.where("hot").selectExpr(f"sum(length(bytes) - {L - 1})").first()[0])
+        return out
+
+    monkeypatch.setattr(suffix_dedup, "saved", kept)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert shown(suffix_dedup.removed(df, hot=3).withColumn("kept_sha256", suffix_dedup.F.sha2("kept", 256))) == brute(rows)
+    assert windows[0] > 50_000 and max(made) < windows[0] / 5
